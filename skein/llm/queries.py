@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import automaton, media, seekable
+from skein.llm import automaton, langid, media, notices, privacy, seekable
 from skein.session import ship_package
 
 
@@ -26,11 +26,25 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.predict(docs, langid.fit(langid.learnable(docs)), keep=["doc_id"])
+    return found.selectExpr("doc_id", "crc32(cast(doc_id AS string)) % 4 = 2 AS held_out", "lang_pred", "score")
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, folder = seekable.token_files(spark, documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
     return seekable.digests(seekable.read_tokens(files, folder))
 
 
+def op3_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices.digest(notices.scan(documents(spark, sf_dir)))
+
+
+def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return privacy.digest(privacy.find(spark, documents(spark, sf_dir)))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(ids: bytes, decoded: bytes) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
@@ -43,7 +57,10 @@ def op10_media_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_byte_cnn": op1_byte_cnn,
     "op2_token_files": op2_token_files,
+    "op3_notices": op3_notices,
+    "op4_disclosure": op4_disclosure,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_media_tiles": op10_media_tiles,
 }
