@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 SPLIT_BYTES = 2 << 20
+MOST_ROWS = 8192
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -58,13 +59,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SPLIT_BYTES) -> Iterator[pa.RecordBatch]:
-    """Rows in runs of about ``limit`` bytes of text, so that memory doesn't follow the batch size."""
+    """Rows in runs of about ``limit`` bytes of text and ``MOST_ROWS`` at most, so that memory doesn't follow the batch size."""
     if not batch.num_rows:
         return
     _, offsets = buffers(batch.column(batch.schema.get_field_index(column)))
     i = 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1)
+        j = min(i + MOST_ROWS, max(i + 1, int(np.searchsorted(offsets, offsets[i] + limit, side="right")) - 1))
         yield batch.slice(i, j - i)
         i = j
 
@@ -116,7 +117,7 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
     full = np.arange(n) + width <= last
     total = np.zeros(n, np.uint64)
     for k in range(width):
-        total[: n - k] += hashes[k:] * step[k]
+        total[: max(0, n - k)] += hashes[k:] * step[k]
     got, owner = mix(total[full] + step[width]), text_of[full]
     short = np.flatnonzero((counts > 0) & (counts < width))
     if len(short):

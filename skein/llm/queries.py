@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import automaton, langid, media, notices, positional, privacy, seekable
+from skein.llm import automaton, langid, media, ngram_join, notices, positional, privacy, seekable
 from skein.session import ship_package
 
 
@@ -45,6 +45,10 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(privacy.find(spark, documents(spark, sf_dir)))
 
 
+def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_components(spark, documents(spark, sf_dir))
+
+
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = positional.contamination(spark, documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return positional.digest(found)
@@ -66,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_notices": op3_notices,
     "op4_disclosure": op4_disclosure,
+    "op6_count_vector_join": op6_count_vector_join,
     "op7_positional_index": op7_positional_index,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_media_tiles": op10_media_tiles,
