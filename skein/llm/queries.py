@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import automaton, langid, media, ngram_join, notices, positional, privacy, seekable
+from skein.llm import automaton, langid, line_dedup, media, ngram_join, notices, positional, privacy, seekable
 from skein.session import ship_package
 
 
@@ -54,6 +54,10 @@ def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.digest(found)
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.duplicate_lines(spark, documents(spark, sf_dir)))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(ids: bytes, decoded: bytes) -> tuple:
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_disclosure": op4_disclosure,
     "op6_count_vector_join": op6_count_vector_join,
     "op7_positional_index": op7_positional_index,
+    "op8_fuzzy_lines": op8_fuzzy_lines,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_media_tiles": op10_media_tiles,
 }
