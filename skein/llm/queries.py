@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skein.llm import automaton, langid, line_dedup, media, ngram_join, notices, positional, privacy, seekable
+from skein.llm import automaton, html_layout, langid, line_dedup, media, ngram_join, notices, positional, privacy, seekable
 from skein.session import ship_package
 
 
@@ -45,6 +45,11 @@ def op4_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return privacy.digest(privacy.find(spark, documents(spark, sf_dir)))
 
 
+def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
+    return html_layout.visible_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link_components(spark, documents(spark, sf_dir))
 
@@ -74,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_files": op2_token_files,
     "op3_notices": op3_notices,
     "op4_disclosure": op4_disclosure,
+    "op5_layout_text": op5_layout_text,
     "op6_count_vector_join": op6_count_vector_join,
     "op7_positional_index": op7_positional_index,
     "op8_fuzzy_lines": op8_fuzzy_lines,
