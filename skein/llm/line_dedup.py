@@ -161,16 +161,17 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def apart(rows: DataFrame, reach: int) -> DataFrame:
-    """(a, b, more): in each bucket, lines of components still apart, ``reach`` of the other for each line.
+    """(a, b, token): in each bucket, lines of components still apart, ``reach`` of the other for each line.
 
-    Lines whose lengths already exclude the similarity are passed over.
+    If that left some, the bucket's token is set, for a wider round; one without is done with,
+    as components only grow. Lines whose lengths already exclude the similarity are passed over.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, int, int, int]] = []
 
         def out() -> pa.RecordBatch:
-            a, b, more = [], [], []
+            a, b, token = [], [], []
             groups: dict[int, list[tuple[int, int]]] = {}
             for _, node, comp, size in held:
                 groups.setdefault(comp, []).append((node, size))
@@ -184,11 +185,11 @@ def apart(rows: DataFrame, reach: int) -> DataFrame:
                                 continue
                             a.append(min(node, other))
                             b.append(max(node, other))
-                            more.append(taken >= reach)
+                            token.append(held[0][0] if taken >= reach else None)
                             taken += 1
                             if taken > reach:
                                 break
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], ["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(token, pa.int64())], ["a", "b", "token"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -200,7 +201,7 @@ def apart(rows: DataFrame, reach: int) -> DataFrame:
             yield out()
 
     rows = rows.repartition("token").sortWithinPartitions("token", "node")
-    return rows.select("token", "node", "component", "size").mapInArrow(run, "a long, b long, more boolean")
+    return rows.select("token", "node", "component", "size").mapInArrow(run, "a long, b long, token long")
 
 
 def line_components(spark: SparkSession, lines: DataFrame, scratch: Scratch) -> DataFrame:
@@ -218,22 +219,24 @@ def line_components(spark: SparkSession, lines: DataFrame, scratch: Scratch) ->
     leaders = members.groupBy("token").agg(F.min("node").alias("a"))
     pairs = scratch.table(members.join(leaders, "token").filter("a < node").selectExpr("a", "node AS b").distinct(), "pairs")
     checked = scratch.table(verify(pairs, texts), "checked")
-    reach = 2
+    reach, left = 8, None
     while True:
         joined = components(spark, checked.filter("linked").select("a", "b"))
         rows = members.join(joined, "node", "left").join(texts.select("node", "size"), "node").withColumn("component", F.coalesce("component", "node"))
+        if left is not None:
+            rows = rows.join(left, "token", "left_semi")
         split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
         asked = scratch.table(apart(rows.join(split, "token", "left_semi"), reach), "asked")
-        more = asked.filter("more").limit(1).count() > 0
-        pairs = scratch.table(asked.filter("NOT more").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        scratch.drop(asked)
+        left = asked.filter("token IS NOT NULL").select("token").distinct()
+        pairs = scratch.table(asked.filter("token IS NULL").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
         if pairs.limit(1).count():
             after = scratch.table(checked.unionByName(verify(pairs, texts)), "checked")
             scratch.drop(checked)
             checked = after
-        elif not more:
-            return joined
-        reach *= 4
+        scratch.drop(pairs)
+        if not left.limit(1).count():
+            return scratch.table(components(spark, checked.filter("linked").select("a", "b")), "joined")
+        reach *= 8
 
 
 def duplicate_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
