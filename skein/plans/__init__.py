@@ -1,4 +1,7 @@
 """Queries: operators applied to the tables, each with its SQL twin where SQL can express it."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from skein.plans import quality
+
+_PARTS = (quality,)
+QUERIES = {k: q for part in _PARTS for k, q in part.R.queries.items()}
+ORACLES = {k: q for part in _PARTS for k, q in part.R.oracles.items()}
