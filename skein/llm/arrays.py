@@ -106,7 +106,7 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: np.
 
 
 def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text index of each run of ``width`` words; a shorter text is one run of all its words."""
+    """Hash and text index (ascending) of each run of ``width`` words; a shorter text is one run of all its words."""
     counts = np.diff(first)
     n = len(hashes)
     if not n:
@@ -124,13 +124,17 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int) -> tuple[np.ndar
         extra = np.array([int(np.sum(hashes[first[i] : first[i + 1]] * step[: counts[i]], dtype=np.uint64)) for i in short], dtype=np.uint64)
         got = np.concatenate([got, mix(extra + mix(counts[short].astype(np.uint64)))])
         owner = np.concatenate([owner, short])
+        order = np.argsort(owner, kind="stable")
+        got, owner = got[order], owner[order]
     return got, owner
 
 
 def distinct_by_owner(values: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted by owner, then value; each value once for an owner."""
-    order = np.lexsort((values, owner))
-    values, owner = values[order], owner[order]
+    """Sorted by owner, then value; each value once for an owner. ``owner`` must be sorted."""
+    values = values.copy()
+    begin = np.flatnonzero(np.diff(owner, prepend=-1)).tolist()
+    for a, b in zip(begin, [*begin[1:], len(values)], strict=False):
+        values[a:b].sort()
     keep = np.ones(len(values), bool)
     keep[1:] = (values[1:] != values[:-1]) | (owner[1:] != owner[:-1])
     return values[keep], owner[keep]

@@ -239,12 +239,15 @@ def prefixes(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
                     short = values >> np.uint64(shift)
                     at = np.minimum(np.searchsorted(known, short), len(known) - 1)
                     df = np.where(known[at] == short, often[at], 0)
-                order = np.lexsort((values, df, owner))
                 first = bounds(owner, len(ids))
                 n = np.diff(first)
                 limit = n - -(-percent * n // 100) + 1
+                place = np.arange(len(values))
+                for i in np.unique(owner[df > 0]).tolist():  # the rest is in order already
+                    a, b = first[i], first[i + 1]
+                    place[a:b] = a + np.argsort(df[a:b], kind="stable")
                 inside = np.arange(len(values)) - np.repeat(first[:-1], n) < np.repeat(limit, n)
-                chosen = order[inside]
+                chosen = place[inside]
                 yield pa.RecordBatch.from_arrays([pa.array(values[chosen].view(np.int64)), pa.array(ids[owner[chosen]].view(np.int64))], ["token", "cls"])
 
     return docs.mapInArrow(run, "token long, cls long")
@@ -331,14 +334,14 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
 
 
 def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
-    """(a, b, more) candidates between components that the R-tree of a block finds.
+    """(a, b, token) candidates between components that the R-tree of a block finds.
 
-    Of each point's candidates in one other component the ``width`` with the best bounds;
-    ``more`` tells that some were left for a wider round. A pair is given in the block of the
-    smallest token that both have.
+    Of each point's candidates in one other component the ``width`` with the best bounds; if
+    that left some, the block's token is set, for a wider round. A block without is done with:
+    components only grow. A pair is given in the block of the smallest token that both have.
     """
 
-    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, bool]]:
+    def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, int | None]]:
         token = rows[0][0]
         node = np.array([r[1] for r in rows])
         size = np.array([r[2] for r in rows])
@@ -361,17 +364,14 @@ def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
                 have = taken.get(int(comp[j]), 0)
                 if have <= width:
                     taken[int(comp[j])] = have + 1
-                    if have < width:
-                        yield int(node[i]), int(node[j]), False
-                    else:
-                        yield int(node[i]), int(node[j]), True
+                    yield int(node[i]), int(node[j]), token if have == width else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
             got = list(pairs(held)) if len({r[4] for r in held}) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.bool_())], ["a", "b", "more"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.int64())], ["a", "b", "token"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -384,7 +384,7 @@ def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
             yield out()
 
     sorted_rows = members.repartition("token").sortWithinPartitions("token", "node")
-    return sorted_rows.select("token", "node", "n", "point", "component", "tokens").mapInArrow(run, "a long, b long, more boolean")
+    return sorted_rows.select("token", "node", "n", "point", "component", "tokens").mapInArrow(run, "a long, b long, token long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -437,24 +437,26 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     pairs = scratch.table(first_pairs(members, percent), "pairs")
     checked = scratch.table(verify(pairs, docs, width, percent), "checked")
     scratch.drop(pairs)
-    reach = 2
+    reach, left = 8, None
     while True:
         joined = components(spark, checked.filter("linked").select("a", "b"))
         labelled = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = labelled.select("node", "n", "point", "component", "tokens", F.explode("tokens").alias("token"))
+        if left is not None:
+            rows = rows.join(left, "token", "left_semi")
         split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
         asked = scratch.table(later_pairs(rows.join(split, "token", "left_semi"), percent, reach), "asked")
-        more = asked.filter("more").limit(1).count() > 0
-        fresh = asked.filter("NOT more").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        left = asked.filter("token IS NOT NULL").select("token").distinct()
+        fresh = asked.filter("token IS NULL").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.table(fresh, "pairs")
-        scratch.drop(asked)
         if pairs.limit(1).count():
             after = scratch.table(checked.unionByName(verify(pairs, docs, width, percent)), "checked")
             scratch.drop(checked)
             checked = after
-        elif not more:
-            break
         scratch.drop(pairs)
-        reach *= 4
+        if not left.limit(1).count():
+            break
+        reach *= 8
+    joined = scratch.table(components(spark, checked.filter("linked").select("a", "b")), "joined")
     named = classes.join(joined, "node", "left").selectExpr("cls", "coalesce(component, node) AS component_id")
     return sets.select("doc_id", "n", "cls").join(named, "cls", "left").selectExpr("doc_id", "n AS n_shingles", "if(n = 0, doc_id, component_id) AS component_id")
