@@ -1,7 +1,7 @@
 """Queries: operators applied to the tables, each with its SQL twin where SQL can express it."""
 
-from skein.plans import duplicates, quality, report
+from skein.plans import duplicates, joins, quality, report, statistics
 
-_PARTS = (quality, report, duplicates)
+_PARTS = (quality, report, duplicates, joins, statistics)
 QUERIES = {k: q for part in _PARTS for k, q in part.R.queries.items()}
 ORACLES = {k: q for part in _PARTS for k, q in part.R.oracles.items()}
