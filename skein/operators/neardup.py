@@ -51,7 +51,8 @@ def signatures(docs: DataFrame, permutations: int = 64, width: int = WIDTH) -> D
     Shingles are exploded and reduced by partial aggregates of ``permutations`` minima, so a
     long document is spread over memory-friendly rows instead of one array of arrays.
     """
-    h = docs.select("doc_id", F.explode(shingles(T.words("text"), width)).alias("s")).select("doc_id", hash31(F.col("s")).alias("h"))
+    w = docs.select("doc_id", T.words("text").alias("w"))  # a column, so that the lambda doesn't split the text anew
+    h = w.select("doc_id", F.explode(shingles(F.col("w"), width)).alias("s")).select("doc_id", hash31(F.col("s")).alias("h"))
     minima = [F.min((F.col("h") * a + b) % PRIME).alias(f"m{i}") for i, (a, b) in enumerate(coefficients(permutations))]
     return h.groupBy("doc_id").agg(*minima).select("doc_id", F.array(*(F.col(f"m{i}") for i in range(permutations))).alias("sig"))
 
@@ -121,7 +122,7 @@ def containment(held: DataFrame, train: DataFrame, width: int = WIDTH) -> DataFr
     Every item that owns a shingle is credited for it. The item side's distinct shingles
     reduce the training side by a semi join before anything is grouped.
     """
-    own = held.select("item_id", F.explode(shingles(T.words(F.lower("text")), width)).alias("s"))
-    seen = train.select(F.explode(shingles(T.words(F.lower("text")), width)).alias("s")).join(own.select("s").distinct(), "s", "left_semi").distinct()
+    own = held.select("item_id", T.words(F.lower("text")).alias("w")).select("item_id", F.explode(shingles(F.col("w"), width)).alias("s"))
+    seen = train.select(T.words(F.lower("text")).alias("w")).select(F.explode(shingles(F.col("w"), width)).alias("s")).join(own.select("s").distinct(), "s", "left_semi").distinct()
     g = own.join(seen.withColumn("hit", F.lit(1)), "s", "left").groupBy("item_id").agg(F.count("*").alias("n"), F.count("hit").alias("matched"))
     return g.withColumn("containment", F.round(F.col("matched") / F.col("n"), 6))
