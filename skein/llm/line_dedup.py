@@ -3,24 +3,27 @@
 A line's set is its distinct character shingles (``WIDTH`` code points; A-Z lower-cased,
 blanks alike). Equal lines are one node from the start. ``BANDS`` bands of ``ROWS`` minima
 bring together lines that may be similar: at the threshold 0.75 two lines share a band with
-probability 0.99, at 0.85 with 0.9998. Candidates are verified on the lines' sets. In a band's
-bucket every line is first met with one leader, then lines of components that are still
-apart with one another, a few at a time until none is left, so components are those of all
-candidate pairs. One line of each component stays: the first by document id, then line.
+probability 0.99, at 0.85 with 0.9998. Buckets with the same members are taken once. A
+bucket's lines come to one task, which verifies on their sets as many pairs as it takes to
+know the components among them, and gives a tree of verified links for each; its memory is
+that of the bucket's distinct lines. Links of all buckets meet in the distributed
+union-find. One line of each component stays: the first by document id, then line.
 
 Lines of fewer than ``SHORTEST`` characters are left as they are: as sets they say too little.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import LOWER, bounds, buffers, distinct_by_owner, hash_spans, mix, slices
+from skein.llm.arrays import LOWER, bounds, buffers, distinct_by_owner, mix, slices
 from skein.llm.components import components
 from skein.llm.ngram_join import blocks
 from skein.session import Scratch, ship_package
@@ -28,8 +31,10 @@ from skein.session import Scratch, ship_package
 WIDTH, BANDS, ROWS = 8, 12, 4
 SHORTEST = 20
 PERCENT = 75
+FILTER_BITS = 26
 FOLD = LOWER.copy()
 FOLD[9:14] = 32
+_TABLE = FOLD.tobytes()
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
@@ -53,190 +58,241 @@ def line_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, first
 
 
-def characters(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Folded code points (as their UTF-8 bytes in one number) of the spans, and where each span's begin."""
-    lens = ends - starts
-    begin = np.cumsum(lens) - lens
-    raw = FOLD[data[np.arange(int(lens.sum())) - np.repeat(begin, lens) + np.repeat(starts, lens)]]
+def characters(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points (as their UTF-8 bytes in one number) of spans that follow one another, and where each span's begin."""
     lead = np.flatnonzero((raw & 0xC0) != 0x80)
+    if len(lead) == len(raw):
+        return raw.astype(np.uint64), begin
     value = raw[lead].astype(np.uint64)
     size = np.diff(np.append(lead, len(raw)))
     for k in range(1, 4):
         more = np.flatnonzero(size > k)
         value[more] = value[more] << np.uint64(8) | raw[lead[more] + k]
-    return value, np.searchsorted(lead, np.append(begin, len(raw)))
+    return value, np.searchsorted(lead, begin)
 
 
-def line_shingles(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of each span (none if it is shorter than ``width``), and where each span's begin."""
-    value, first = characters(data, starts, ends)
-    h, step = value.copy(), np.uint64(0x9E3779B97F4A7C15)
-    size = 1
+def line_shingles(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each folded line (none if it is shorter than ``width``), and where each line's begin."""
+    begin = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
+    h, first = characters(np.frombuffer(b"".join(lines), np.uint8), begin)
+    step, size = np.uint64(0x9E3779B97F4A7C15), 1
     while size < width:
-        h[: len(h) - size] += h[size:] * step
+        h[: max(0, len(h) - size)] += h[size:] * step
         step *= step
         size *= 2
-    last = np.repeat(first[1:], np.diff(first))
-    keep = np.arange(len(h)) + width <= last
-    count = np.concatenate([[0], np.cumsum(keep)])
-    return mix(h[keep]), count[first]
+    keep = np.ones(len(h), bool)
+    for k in range(1, width):  # the last places of a line begin no shingle
+        ends = first[1:] - k
+        keep[ends[ends >= first[:-1]]] = False
+    return mix(h[keep]), np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - (width - 1), 0))])
 
 
-def band_keys(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(spans, BANDS) bucket keys of MinHash signatures; all spans must have a shingle."""
+def band_keys(hashes: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+    """(spans, BANDS) bucket keys of MinHash signatures; all spans must have a shingle.
+
+    Spans are taken in runs whose shingles fit into the processor's cache.
+    """
     short = (hashes >> np.uint64(32)).astype(np.uint32)
+    minima = np.empty((BANDS * ROWS, len(first) - 1), np.uint32)
+    i = 0
+    while i < len(first) - 1:
+        j = max(i + 1, int(np.searchsorted(first, first[i] + block, side="right")) - 1)
+        part, begin = short[first[i] : first[j]], first[i:j] - first[i]
+        moved = np.empty_like(part)
+        for r in range(BANDS * ROWS):
+            np.bitwise_xor(part, _XOR[r], out=moved)
+            np.multiply(moved, _MUL[r], out=moved)
+            np.minimum.reduceat(moved, begin, out=minima[r, i:j])
+        i = j
     out = np.empty((len(first) - 1, BANDS), np.uint64)
     for b in range(BANDS):
         key = np.full(len(first) - 1, b + 1, np.uint64)
         for r in range(b * ROWS, (b + 1) * ROWS):
-            key = mix(key + np.minimum.reduceat((short ^ _XOR[r]) * _MUL[r], first[:-1]).astype(np.uint64))
+            key = mix(key + minima[r].astype(np.uint64))
         out[:, b] = key
     return out
 
 
-READ = "doc_id long, n_lines long, numbers array<int>, hashes array<long>, line long, bands array<long>, text binary"
-_READ = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("numbers", pa.list_(pa.int32())), ("hashes", pa.list_(pa.int64())), ("line", pa.int64()), ("bands", pa.list_(pa.int64())), ("text", pa.binary())])
+class Lines:
+    """The lines of a run of texts that are long enough to be compared: folded, and their hashes."""
 
+    def __init__(self, column: pa.Array):
+        data, offsets = buffers(column)
+        starts, ends, first = line_spans(data, offsets)
+        self.n_lines = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(first))
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        long = lead[ends] - lead[starts] >= SHORTEST
+        number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
+        self.number = number[long]
+        self.first = np.concatenate([[0], np.cumsum(long)])[first]
+        folded = data.tobytes().translate(_TABLE)
+        self.lines = [folded[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+        self.hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.lines], np.uint64)
+
+    def new(self, seen: set[int]) -> np.ndarray:
+        """Places of the distinct lines that this task hasn't met; they are met now."""
+        distinct, where = np.unique(self.hashes, return_index=True)
+        out = np.array([i for i, h in zip(where.tolist(), distinct.tolist(), strict=True) if h not in seen], np.int64)
+        seen.update(distinct.tolist())
+        if len(seen) > 500_000:
+            seen.clear()
+        return out
+
+
+def number_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_lines, numbers, hashes) of each document's comparable lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                x = Lines(part.column("text"))
+                at = pa.array(x.first, pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.n_lines, pa.int64()), pa.ListArray.from_arrays(at, pa.array(x.number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64)))], ["doc_id", "n_lines", "numbers", "hashes"])
+
+    return docs.mapInArrow(run, "doc_id long, n_lines long, numbers array<int>, hashes array<long>")
 
-def read_lines(docs: DataFrame) -> DataFrame:
-    """One pass: a row for each document with its comparable lines' numbers and hashes, and a row for
-    each distinct line of a task with its buckets and text.
-    """
+
+def line_buckets(docs: DataFrame) -> DataFrame:
+    """(token, cls): the buckets of each distinct line of a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                data, offsets = buffers(part.column(1))
-                starts, ends, first = line_spans(data, offsets)
-                n_lines = np.where(part.column(1).is_null().to_numpy(zero_copy_only=False), 0, np.diff(first))
-                long = (ends - starts) >= SHORTEST
-                chars = np.zeros(len(starts), np.int64)
-                lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-                chars[long] = lead[ends[long]] - lead[starts[long]]
-                long &= chars >= SHORTEST
-                number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
-                starts, ends, number = starts[long], ends[long], number[long]
-                hashes = hash_spans(data, starts, ends, FOLD)
-                at = np.concatenate([[0], np.cumsum(long)])[first].astype(np.int32)
-                n = part.num_rows
-                arrays = [part.column(0), pa.array(n_lines, pa.int64()), pa.ListArray.from_arrays(at, pa.array(number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(hashes.view(np.int64)))]
-                yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(n, t) for t in _READ.types[4:])], schema=_READ)
-                distinct, where = np.unique(hashes, return_index=True)
-                new = np.array([i for i, h in zip(where.tolist(), distinct.tolist(), strict=True) if h not in seen], np.int64)
-                seen.update(distinct.tolist())
-                if len(seen) > 500_000:
-                    seen.clear()
-                if not len(new):
-                    continue
-                s, e = starts[new], ends[new]
-                keys = band_keys(*line_shingles(data, s, e))
-                m = len(new)
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, m * BANDS + 1, BANDS), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-                lines = pa.array([data[a:b].tobytes() for a, b in zip(s, e, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.nulls(m, t) for t in _READ.types[:4]), pa.array(hashes[new].view(np.int64)), bands, lines], schema=_READ)
-
-    return docs.mapInArrow(run, READ)
-
-
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, linked): the exact decision on the shingle sets of both lines."""
+                x = Lines(part.column("text"))
+                new = x.new(seen)
+                if len(new):
+                    keys = band_keys(*line_shingles([x.lines[i] for i in new]))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(x.hashes[new].view(np.int64), BANDS))], ["token", "cls"])
+
+    return docs.mapInArrow(run, "token long, cls long")
+
+
+def wanted_bits(nodes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size (8 MB) with the nodes' leading ``FILTER_BITS`` bits: what isn't in it isn't wanted."""
+    top = f"shiftrightunsigned(node, {64 - FILTER_BITS})"
+    rows = nodes.selectExpr(f"shiftrightunsigned({top}, 6) AS word", f"shiftleft(1L, cast({top} & 63 AS int)) AS bit").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
+    return bits
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the lines asked for, folded: most others stop at the bitmap, the rest at the join."""
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, seen = sent.value, set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
-                n = part.num_rows
-                data, offsets = buffers(pa.concat_arrays([part.column(2), part.column(3)]))
-                hashes, first = line_shingles(data, offsets[:-1], offsets[1:])
-                values, owner = distinct_by_owner(hashes, np.repeat(np.arange(2 * n), np.diff(first)))
-                begin = bounds(owner, 2 * n)
-                size = np.diff(begin)
-                both = np.array([len(np.intersect1d(values[begin[i] : begin[i + 1]], values[begin[n + i] : begin[n + i + 1]], assume_unique=True)) for i in range(n)], np.int64)
-                linked = 100 * both >= PERCENT * (size[:n] + size[n:] - both)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    joined = pairs.join(texts.selectExpr("node AS a", "text AS x"), "a").join(texts.selectExpr("node AS b", "text AS y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, linked boolean")
-
-
-def apart(rows: DataFrame, reach: int) -> DataFrame:
-    """(a, b, token): in each bucket, lines of components still apart, ``reach`` of the other for each line.
-
-    If that left some, the bucket's token is set, for a wider round; one without is done with,
-    as components only grow. Lines whose lengths already exclude the similarity are passed over.
+            for part in slices(batch, "text", 1 << 20):
+                x = Lines(part.column("text"))
+                new = x.new(seen)
+                top = x.hashes[new] >> np.uint64(64 - FILTER_BITS)
+                new = new[(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                lines = pa.array([x.lines[i] for i in new], pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(x.hashes[new].view(np.int64)), lines], ["node", "text"])
+
+    return docs.mapInArrow(run, "node long, text binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+
+
+def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Verified links that connect what all verified links among ``n`` sets would connect.
+
+    A set is expanded by counting its shingles in the others' through their inverted lists.
+    Sets that no expansion has reached are expanded in turn; then all sets outside the largest
+    component, so that no link between components can be left unseen.
     """
+    begin = bounds(owner, n)
+    size = np.diff(begin)
+    if n == 2:
+        both = len(np.intersect1d(values[: begin[1]], values[begin[1] :], assume_unique=True))
+        return [(0, 1)] if 100 * both >= PERCENT * (len(values) - both) else []
+    shingle = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    lists = owner[order]
+    start = np.searchsorted(shingle[order], np.arange(int(shingle.max(initial=-1)) + 2))
+    root = list(range(n))
+    links: list[tuple[int, int]] = []
+    expanded = np.zeros(n, bool)
+    reached = np.zeros(n, bool)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def expand(i: int) -> None:
+        expanded[i] = True
+        own = shingle[begin[i] : begin[i + 1]]
+        low, count = start[own], start[own + 1] - start[own]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        both = np.bincount(lists[at], minlength=n)
+        for j in np.flatnonzero(100 * both >= PERCENT * (size + size[i] - both)).tolist():
+            reached[j] = True
+            a, b = find(i), find(j)
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                links.append((i, j))
+
+    for i in range(n):
+        if not reached[i]:
+            expand(i)
+    label = [find(i) for i in range(n)]
+    largest = Counter(label).most_common(1)[0][0]
+    for i in range(n):
+        if label[i] != largest and not expanded[i]:
+            expand(i)
+    return links
+
+
+def verified_links(members: DataFrame) -> DataFrame:
+    """(a, b): links of all buckets, from rows (token, node, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, int, int]] = []
-
-        def out() -> pa.RecordBatch:
-            a, b, token = [], [], []
-            groups: dict[int, list[tuple[int, int]]] = {}
-            for _, node, comp, size in held:
-                groups.setdefault(comp, []).append((node, size))
-            order = sorted(groups)
-            for i, c in enumerate(order[1:], 1):
-                for node, size in groups[c]:
-                    for d in order[:i]:
-                        taken = 0
-                        for other, theirs in groups[d]:
-                            if 100 * min(size, theirs) < PERCENT * max(size, theirs):
-                                continue
-                            a.append(min(node, other))
-                            b.append(max(node, other))
-                            token.append(held[0][0] if taken >= reach else None)
-                            taken += 1
-                            if taken > reach:
-                                break
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(token, pa.int64())], ["a", "b", "token"])
+        token: list[int] = []
+        node: list[int] = []
+        text: list[bytes] = []
+
+        def out(upto: int) -> pa.RecordBatch:
+            hashes, first = line_shingles(text[:upto])
+            values, owner = distinct_by_owner(hashes, np.repeat(np.arange(upto), np.diff(first)))
+            at = bounds(owner, upto)
+            cuts = [0, *(np.flatnonzero(np.diff(np.array(token[:upto]))) + 1).tolist(), upto]
+            found = []
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if j - i > 1:
+                    part = slice(at[i], at[j])
+                    found += [(node[i + x], node[i + y]) for x, y in bucket_links(values[part], owner[part] - i, j - i)]
+            return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield out()
-                    held = []
-                held.append(row)
-        if held:
-            yield out()
-
-    rows = rows.repartition("token").sortWithinPartitions("token", "node")
-    return rows.select("token", "node", "component", "size").mapInArrow(run, "a long, b long, token long")
-
-
-def line_components(spark: SparkSession, lines: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of the distinct lines that are linked with another one."""
-    tokens = lines.select(F.explode("bands").alias("token"), F.col("line").alias("cls"))
-    found = scratch.table(blocks(tokens), "blocks")
+            token += batch.column(0).to_pylist()
+            node += batch.column(1).to_pylist()
+            text += batch.column(2).to_pylist()
+            while token and token[0] != token[-1] and len(token) >= 2000:
+                last = len(token) - 1
+                while token[last - 1] == token[-1]:
+                    last -= 1
+                yield out(last)
+                del token[:last], node[:last], text[:last]
+        if token:
+            yield out(len(token))
+
+    return members.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "text").mapInArrow(run, "a long, b long").distinct()
+
+
+def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, component) of the distinct lines that are linked with another one; ``docs`` has the column text."""
+    found = scratch.table(blocks(line_buckets(docs)), "blocks")
     spark.sparkContext._jvm.System.gc()
     kept = found.join(found.groupBy("digest").agg(F.min("token").alias("token")), ["digest", "token"], "left_semi")
     members = scratch.table(kept.selectExpr("token", "cls AS node").distinct(), "members")
     scratch.drop(found)
-    some = members.select("node").distinct()
-    text = lines.selectExpr("line AS node", "text").join(some, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    texts = scratch.table(text.selectExpr("node", "text", f"char_length(cast(text AS string)) - {WIDTH - 1} AS size"), "texts")
+    texts = scratch.table(texts_of(docs, members.select("node").distinct()), "texts")
     spark.sparkContext._jvm.System.gc()
-    leaders = members.groupBy("token").agg(F.min("node").alias("a"))
-    pairs = scratch.table(members.join(leaders, "token").filter("a < node").selectExpr("a", "node AS b").distinct(), "pairs")
-    checked = scratch.table(verify(pairs, texts), "checked")
-    reach, left = 8, None
-    while True:
-        joined = components(spark, checked.filter("linked").select("a", "b"))
-        rows = members.join(joined, "node", "left").join(texts.select("node", "size"), "node").withColumn("component", F.coalesce("component", "node"))
-        if left is not None:
-            rows = rows.join(left, "token", "left_semi")
-        split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-        asked = scratch.table(apart(rows.join(split, "token", "left_semi"), reach), "asked")
-        left = asked.filter("token IS NOT NULL").select("token").distinct()
-        pairs = scratch.table(asked.filter("token IS NULL").select("a", "b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-        if pairs.limit(1).count():
-            after = scratch.table(checked.unionByName(verify(pairs, texts)), "checked")
-            scratch.drop(checked)
-            checked = after
-        scratch.drop(pairs)
-        if not left.limit(1).count():
-            return scratch.table(components(spark, checked.filter("linked").select("a", "b")), "joined")
-        reach *= 8
+    links = scratch.table(verified_links(members.join(texts, "node")), "links")
+    return scratch.table(components(spark, links), "joined")
 
 
 def duplicate_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -249,9 +305,8 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     ship_package(spark)
     scratch = Scratch(spark, "lines")
     docs = docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL")
-    read = scratch.table(read_lines(docs), "read")
-    joined = line_components(spark, read.filter("line IS NOT NULL").select("line", "bands", "text"), scratch)
-    rows = read.filter("line IS NULL")
+    rows = scratch.table(number_lines(docs), "numbered")
+    joined = line_components(spark, docs.select("text"), scratch)
     places = rows.selectExpr("doc_id", "explode(arrays_zip(numbers, hashes)) AS x").selectExpr("doc_id", "x.numbers AS number", "x.hashes AS node")
     nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"))
     named = nodes.join(joined, "node", "left")

@@ -125,3 +125,22 @@ def test_line_spans(texts):
     starts, ends, first = line_dedup.line_spans(data, offsets)
     got = [[data[a:b].tobytes() for a, b in zip(starts[i:j], ends[i:j], strict=True)] for i, j in zip(first, first[1:], strict=False)]
     assert got == [t.split(b"\n") for t in texts]
+
+
+def test_bucket_links_connect_what_all_pairs_connect():
+    rng = random.Random(4)
+    for n, spread in ((2, 0.1), (3, 0.1), (40, 0.12), (120, 0.2)):
+        base = [rng.sample(range(1000), 60) for _ in range(3)]
+        sets = [set(x if rng.random() > spread * rng.random() * 2 else rng.randrange(1000, 9000) for x in rng.choice(base)) for _ in range(n)]
+        values = np.array([v for s in sets for v in sorted(s)], np.uint64)
+        owner = np.repeat(np.arange(n), [len(s) for s in sets])
+
+        def labels(links):
+            root = list(range(n))  # noqa: B023
+            for a, b in [*links, *links[::-1]] * n:  # noqa: B023
+                root[a] = root[b] = min(root[a], root[b])
+            return root
+
+        every = [(i, j) for i in range(n) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
+        links = line_dedup.bucket_links(values, owner, n)
+        assert labels(links) == labels(every) and len(links) <= n - 1
