@@ -54,9 +54,10 @@ def _sigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.signatures(table(spark, sf_dir, "documents"), PERMS)
 
 
-@R.add(f"WITH {_SIG} SELECT doc_id, sig FROM g")
+@R.add(f"WITH {_SIG} SELECT doc_id, array_to_string(sig, ',') AS sig FROM g")
 def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sigs(spark, sf_dir)
+    """The minima of all permutations, as text."""
+    return _sigs(spark, sf_dir).select("doc_id", F.array_join(F.col("sig").cast("array<string>"), ",").alias("sig"))
 
 
 @R.add(f"WITH {_PAIRS} SELECT a, b FROM p")
@@ -171,7 +172,7 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     most = n.agg(F.max("take")).first()[0] or 1
     ranked = d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("h"))).filter(F.col("k") <= most)
     cut = ranked.join(n, "source").filter("k = take").select("source", F.col("h").alias("last"))
-    return d.join(F.broadcast(cut), "source").select("doc_id", "source", F.when(F.col("h") <= F.col("last"), "val").otherwise("train").alias("side"))
+    return d.join(cut, "source").select("doc_id", "source", F.when(F.col("h") <= F.col("last"), "val").otherwise("train").alias("side"))
 
 
 @R.add(
@@ -188,7 +189,7 @@ def positional_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = d.groupBy("source").agg(F.sum("b").alias("s"))
     s = s.select("source", (F.sum("s").over(Window.orderBy("source")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
     w = Window.partitionBy("source").orderBy("doc_id")
-    r = d.join(F.broadcast(s), "source").withColumn("cursor", F.col("before") + F.sum("b").over(w) - F.col("b"))
+    r = d.join(s, "source").withColumn("cursor", F.col("before") + F.sum("b").over(w) - F.col("b"))
     return r.filter(F.col("cursor") + F.col("b") > F.col("total") * 0.9).groupBy("source").agg(F.count("*").alias("docs"), F.sum("b").alias("bytes"), F.min("cursor").alias("first_byte"))
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import neardup as N
+from skein.operators.ordering import ordinals
 from skein.plans.base import Registry, table, words
 
 R = Registry()
@@ -101,19 +102,12 @@ def state_of_place(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The n-th row of a stream with the n-th of a ledger, verified by size.
 
-    Ordinals are dealt without one task that sees all rows: rows are range-partitioned and
-    sorted, partition sizes are summed up, and each row adds its place in its partition.
+    Ordinals are dealt in ranges, so no task sees all rows.
     """
-
-    def numbered(df: DataFrame) -> DataFrame:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = df.repartitionByRange(n, "doc_id").withColumn("p", F.spark_partition_id())
-        sizes = spread.groupBy("p").agg(F.count("*").alias("c"))
-        before = sizes.select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
-        return spread.join(F.broadcast(before), "p").withColumn("k", F.col("before") + F.row_number().over(Window.partitionBy("p").orderBy("doc_id")))
-
     d = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").alias("b"))
-    return numbered(d).select("k", "b").join(numbered(d).select("k", F.col("b").alias("c")), "k").agg(F.count("*").alias("n"), F.count_if(F.col("b") == F.col("c")).alias("verified"))
+    stream = ordinals(spark, d, ["doc_id"], "k").select("k", "b")
+    ledger = ordinals(spark, d.withColumnRenamed("b", "c"), ["doc_id"], "k").select("k", "c")
+    return stream.join(ledger, "k").agg(F.count("*").alias("n"), F.count_if(F.col("b") == F.col("c")).alias("verified"))
 
 
 @R.add("SELECT p_brand, arg_max(p_partkey, p_retailprice * 100000 + p_partkey) AS latest, count(*) AS writes FROM part GROUP BY p_brand")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein import config
 from skein.config import WESTERN
 from skein.functions import text as T
+from skein.operators.ordering import following
 from skein.plans.base import BLANK, Registry, count_of, table, words
 
 R = Registry()
@@ -144,7 +145,7 @@ def marker_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").withColumn("low", F.lower("text"))
     hit = d.select("doc_id", "text", "low", F.explode(F.filter(F.array(*map(F.lit, _B.stems)), lambda s: F.col("low").contains(s))).alias("marker"))
     w = Window.partitionBy("marker").orderBy("doc_id")
-    ranked = hit.select("doc_id", "marker").withColumn("rank", F.row_number().over(w)).filter("rank <= 8")
+    ranked = hit.select("doc_id", "marker").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 8")
     context = F.coalesce(*(F.when(F.col("marker") == s, T.snippet(F.col("text"), F.col("low"), s)) for s in _B.stems))
     return ranked.join(d, "doc_id").select("marker", "rank", "doc_id", context.alias("context"))
 
@@ -288,13 +289,13 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bigram_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional entropy of adjacent words, over the stream of all documents.
 
-    Pairs inside a document are zipped there; those across documents come from a window
-    with one row (first and last word) for each document, not from a global order of words.
+    Pairs inside a document are zipped there; those across documents come from one row (first
+    and last word) for each document, ordered in ranges, not from a global order of words.
     """
     d = _stream(spark, sf_dir).filter(F.size("w") > 0)
     inner = d.select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w)), (a, b) -> struct(a, b))")).alias("p")).select("p.a", "p.b")
     ends = d.select("doc_id", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("a"))
-    across = ends.select("a", F.lead("first").over(Window.orderBy("doc_id")).alias("b")).filter("b IS NOT NULL")
+    across = following(spark, ends, ["doc_id"], "first", "b").select("a", "b").filter("b IS NOT NULL")
     c = inner.union(across).groupBy("a", "b").agg(F.count("*").alias("n"))
     f = c.groupBy("a").agg(F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     g = f.agg(F.sum("m").alias("pairs"), F.sum("k").alias("types"), F.sum(F.col("m") * F.ln("m") - F.col("s")).alias("h"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.functions import text as T
+from skein.operators.ordering import ordinals, running
 from skein.plans.base import Registry, table, words
 
 R = Registry()
@@ -22,7 +23,7 @@ def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keep the latest two of each lineage and every fiftieth."""
     w = Window.partitionBy("user_id").orderBy(F.desc("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("rank", F.row_number().over(w)).filter("rank <= 2 OR event_id % 50 = 0")
+    return table(spark, sf_dir, "events").select("user_id", "event_id").withColumn("rank", F.row_number().over(w).cast("long")).filter("rank <= 2 OR event_id % 50 = 0")
 
 
 @R.add(
@@ -58,7 +59,7 @@ def interleaved_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A queue with repeats at fractional places, each at least five after its original; sorted by ``pos`` when read."""
     h = F.conv(F.substring(F.md5(F.concat(F.lit("q:"), F.col("conv_id").cast("string")).cast("binary")), 1, 6), 16, 10).cast("long")
     c = table(spark, sf_dir, "conversations").select("conv_id").distinct().withColumn("h", h)
-    o = c.withColumn("home", F.row_number().over(Window.orderBy("h", "conv_id")) - 1).crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
+    o = ordinals(spark, c, ["h", "conv_id"], "home").crossJoin(F.broadcast(c.agg(F.count("*").alias("n"))))
     again = o.filter("home < 0.7 * n AND h % 10 = 0").select("conv_id", F.lit("again").alias("kind"), (F.col("home") + 5 + (F.col("h") % 1000) / 1000.0 * F.greatest(F.lit(0), F.col("n") - F.col("home") - 5)).alias("pos"))
     return o.select("conv_id", F.lit("first").alias("kind"), F.col("home").cast("double").alias("pos")).unionByName(again)
 
@@ -113,17 +114,16 @@ def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_append(code, F.lit(0).cast("long")).alias("ids"))
 
 
-def bounds(ids: DataFrame) -> DataFrame:
-    """(doc_id, start, stop) in the stream of all documents: sums over one row for each document."""
+def bounds(spark: SparkSession, ids: DataFrame) -> DataFrame:
+    """(doc_id, start, stop) in the stream of all documents: sums over one row for each document, in ranges."""
     n = ids.select("doc_id", F.size("ids").cast("long").alias("n"))
-    w = Window.orderBy("doc_id")
-    return n.withColumn("stop", F.sum("n").over(w)).select("doc_id", (F.col("stop") - F.col("n")).alias("start"), "stop")
+    return running(spark, n, ["doc_id"], "n", "start").selectExpr("doc_id", "start", "start + n AS stop")
 
 
 @R.add(f"WITH s AS (SELECT doc_id, {_IDS} AS ids FROM documents), b AS (SELECT doc_id, sum(len(ids)) OVER (ORDER BY doc_id) AS stop, len(ids) AS n FROM s) SELECT doc_id, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM b")
 def document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies in the stream; a document ends where its end id stands."""
-    return bounds(stream(spark, sf_dir))
+    return bounds(spark, stream(spark, sf_dir))
 
 
 @R.add(
@@ -138,7 +138,7 @@ def evaluation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     only the overlapping slices are exploded.
     """
     ids = stream(spark, sf_dir)
-    b = bounds(ids)
+    b = bounds(spark, ids)
     total = b.agg(F.max("stop").alias("total"))
     v = spark.range(16).crossJoin(F.broadcast(total)).selectExpr("id AS i", "cast(floor(id * (total div 256 - 1) / 15.0D) AS long) * 256 AS at")
     d = ids.join(b, "doc_id").withColumn("block", F.explode(F.expr("sequence(start div 256, (stop - 1) div 256)")))

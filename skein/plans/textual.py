@@ -116,12 +116,12 @@ _LEX = {"group": "(?:the|la|der|el) [a-z]{8,}", "closure": "[a-z]+tion (?:of|and
 
 
 @R.add(
-    f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, nullif(regexp_extract(low, '{_LEX['group']}'), '') AS group_term, {count_of('low', _LEX['closure'])} AS closures, list_sort(list_distinct(regexp_extract_all(low, '{_LEX['charged']}'))) AS charged FROM d WHERE regexp_matches(low, '{_LEX['charged']}')"""
+    f"""WITH d AS (SELECT doc_id, lower(text) AS low FROM documents) SELECT doc_id, nullif(regexp_extract(low, '{_LEX['group']}'), '') AS group_term, {count_of('low', _LEX['closure'])} AS closures, array_to_string(list_sort(list_distinct(regexp_extract_all(low, '{_LEX['charged']}'))), ',') AS charged FROM d WHERE regexp_matches(low, '{_LEX['charged']}')"""
 )
 def lexicon_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First group term, closures and charged words of each text that has any of these."""
     d = table(spark, sf_dir, "documents").withColumn("low", F.lower("text")).filter(F.col("low").rlike(_LEX["charged"]))
-    return d.select("doc_id", F.nullif(F.regexp_extract("low", _LEX["group"], 0), F.lit("")).alias("group_term"), T.count_of("low", _LEX["closure"]).alias("closures"), F.array_sort(F.array_distinct(F.regexp_extract_all("low", F.lit(_LEX["charged"]), F.lit(0)))).alias("charged"))
+    return d.select("doc_id", F.nullif(F.regexp_extract("low", _LEX["group"], 0), F.lit("")).alias("group_term"), T.count_of("low", _LEX["closure"]).alias("closures"), F.array_join(F.array_sort(F.array_distinct(F.regexp_extract_all("low", F.lit(_LEX["charged"]), F.lit(0)))), ",").alias("charged"))
 
 
 _WORDS_0_9 = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine")
