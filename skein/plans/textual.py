@@ -188,7 +188,7 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 def place_of(coverage):
     """The first place of a list, without brackets and country codes; null if it is unknown."""
     parts = F.transform(F.split(coverage, r"\s*;\s*", -1), lambda p: F.btrim(F.regexp_replace(F.regexp_replace(p, r"\(.*?\)", ""), r"[\[\]?]", ""), F.lit(" .,")))
-    first = F.filter(parts, lambda p: (p != "") & ~p.rlike("^[a-z]{2}$"))[0]
+    first = F.get(F.filter(parts, lambda p: (p != "") & ~p.rlike("^[a-z]{2}$")), 0)
     return F.when(first != "miejsce nieznane", first)
 
 
