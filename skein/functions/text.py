@@ -15,6 +15,8 @@ from skein.config import Gate, Profile
 
 BLANK = r"\t-\r\x1c-\x20\x{85}\p{Z}"
 WORD = f"[^{BLANK}]+"
+#: the same characters one by one, for trimming
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 
 
 def col(c: Column | str) -> Column:
@@ -32,13 +34,27 @@ def lines(text: Column | str) -> Column:
 
 def strip(text: Column) -> Column:
     """Without Unicode blanks at both ends."""
-    return F.regexp_replace(F.regexp_replace(text, f"^[{BLANK}]+", ""), f"[{BLANK}]+$", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def count_of(text: Column | str, pattern: str) -> Column:
     return F.regexp_count(col(text), F.lit(pattern)).cast("long")
 
 
+def count_without(text: Column | str, rest: str) -> Column:
+    """Characters that are left when runs of ``rest`` are taken out: fewer matches than counting one by one."""
+    return F.length(F.regexp_replace(col(text), f"{rest}+", "")).cast("long")
+
+
+def count_letters(text: Column | str) -> Column:
+    return count_without(text, r"\P{L}")
+
+
+def count_filled(text: Column | str) -> Column:
+    """Characters that aren't blank."""
+    return count_without(text, f"[{BLANK}]")
+
+
 def share(part: Column, whole: Column) -> Column:
     """part / whole as a double; 0 if there is nothing."""
     return F.when(whole == 0, F.lit(0.0)).otherwise(part.cast("double") / whole)
@@ -51,26 +67,26 @@ def matching(items: Column, pattern: str) -> Column:
 # ---- measures of one text
 
 
-def clean_word_share(text: Column | str, profile: Profile) -> Column:
-    """Words of nothing but the profile's letters and hyphens, among all words."""
-    w = words(text)
+def clean_word_share(text: Column | str, profile: Profile, w: Column | None = None) -> Column:
+    """Words of nothing but the profile's letters and hyphens, among all words (``w`` if they are known)."""
+    w = words(text) if w is None else w
     letters = profile.letters + profile.letters.upper()
     return share(matching(w, f"^[A-Za-z{letters}-]+$"), F.size(w))
 
 
 def letter_share(text: Column | str) -> Column:
     """Letters among all characters that aren't blank."""
-    return share(count_of(text, r"\p{L}"), count_of(text, f"[^{BLANK}]"))
+    return share(count_letters(text), count_filled(text))
 
 
-def one_char_share(text: Column | str) -> Column:
-    w = words(text)
+def one_char_share(text: Column | str, w: Column | None = None) -> Column:
+    w = words(text) if w is None else w
     return share(F.size(F.filter(w, lambda x: F.length(x) == 1)).cast("long"), F.size(w))
 
 
-def caps_share(text: Column | str, profile: Profile) -> Column:
+def caps_share(text: Column | str, profile: Profile, w: Column | None = None) -> Column:
     """Words of one to four capitals among all words: what garbled headings look like."""
-    w = words(text)
+    w = words(text) if w is None else w
     return share(matching(w, f"^[A-Z{profile.letters.upper()}]{{1,4}}$"), F.size(w))
 
 
@@ -116,9 +132,9 @@ def character_classes(text: Column | str, profile: Profile) -> dict[str, Column]
         "bytes": F.octet_length(c).cast("long"),
         "chars": F.length(c).cast("long"),
         "words": F.size(words(c)).cast("long"),
-        "alpha": count_of(c, r"\p{L}"),
-        "digit": count_of(c, r"\p{Nd}"),
-        "blank": count_of(c, f"[{BLANK}]"),
+        "alpha": count_letters(c),
+        "digit": count_without(c, r"\P{Nd}"),
+        "blank": F.length(c).cast("long") - count_filled(c),
         "cyrillic": count_of(c, "[Ѐ-ӿ]"),
         "diacritic": count_of(c, f"[{profile.diacritics}{profile.diacritics.upper()}]"),
     }
@@ -193,12 +209,13 @@ def is_page_furniture(line: Column) -> Column:
     return s.rlike(config.PAGE_NUMBER) | ((F.length(s) <= 14) & s.rlike("(?iu)" + config.RUNNING_HEAD))
 
 
-def is_garbage(line: Column, profile: Profile) -> Column:
-    s = strip(line)
-    n, letters = F.size(words(s)), letter_share(s)
-    return (F.length(s) > 0) & (
-        ((F.length(s) <= 6) & (letters < 0.5)) | ((n >= 3) & (caps_share(s, profile) > 0.5)) | ((n >= 4) & (one_char_share(s) > 0.45)) | ((F.length(s) >= 8) & (letters < 0.45))
-    )
+def is_garbage(line: Column, profile: Profile, w: Column | None = None) -> Column:
+    """Short symbols, capitals in pieces, single letters, symbol soup. ``w``: the line's words, if they are known."""
+    s = strip(line) if w is None else line
+    w = words(s) if w is None else w
+    n, size = F.size(w), F.length(s)
+    few = letter_share(s) < F.when(size <= 6, 0.5).otherwise(0.45)
+    return (size > 0) & ((((size <= 6) | (size >= 8)) & few) | ((n >= 3) & (caps_share(s, profile, w) > 0.5)) | ((n >= 4) & (one_char_share(s, w) > 0.45)))
 
 
 def is_masthead(line: Column, pattern: str = config.MASTHEAD) -> Column:
@@ -213,11 +230,19 @@ def is_junk(line: Column) -> Column:
     """Watermarks, archive addresses, and lines of numbers without a letter."""
     s = strip(line)
     low = F.array_join(words(F.lower(s)), " ")
-    return (F.length(s) > 0) & (low.contains("digitized by") | low.contains("archive.org") | (low == "google") | (~s.rlike(r"\p{L}") & s.rlike(r"\p{Nd}")))
+    marked = s.rlike("(?i)digitized|archive|google") & (low.contains("digitized by") | low.contains("archive.org") | (low == "google"))
+    return (F.length(s) > 0) & (marked | (~s.rlike(r"\p{L}") & s.rlike(r"\p{Nd}")))
+
 
+def keeps_line(line: Column, profile: Profile, gate: Gate, w: Column | None = None) -> Column:
+    w = words(line) if w is None else w
+    return ~is_junk(line) & ((F.size(w) < gate.line_min_words) | (clean_word_share(line, profile, w) >= gate.line_min_alpha))
 
-def keeps_line(line: Column, profile: Profile, gate: Gate) -> Column:
-    return ~is_junk(line) & ((F.size(words(line)) < gate.line_min_words) | (clean_word_share(line, profile) >= gate.line_min_alpha))
+
+def good_lines(text: Column | str, profile: Profile, gate: Gate) -> Column:
+    """The lines that ``keeps_line`` keeps; each line's words are found once."""
+    known = F.transform(lines(text), lambda x: F.struct(x.alias("l"), words(x).alias("w")))
+    return F.transform(F.filter(known, lambda x: keeps_line(x["l"], profile, gate, x["w"])), lambda x: x["l"])
 
 
 # ---- cleaners
@@ -257,7 +282,7 @@ def clean_fetched(text: Column | str, profile: Profile, gate: Gate) -> Column:
     """The cleaner of fetched scans, as one expression."""
     t = cut_head(unify_newlines(text))
     t = F.regexp_replace(F.regexp_replace(t, "[ \t]+\n", "\n"), "\n{3,}", "\n\n")
-    t = unwrap(filter_lines(t, lambda x: keeps_line(x, profile, gate)))
+    t = unwrap(F.array_join(good_lines(t, profile, gate), "\n"))
     t = filter_lines(t, lambda x: ~is_junk(x))
     return F.concat(strip(F.regexp_replace(t, "[ \t]{2,}", " ")), F.lit("\n"))
 
@@ -289,14 +314,16 @@ def reflow(text: Column) -> Column:
     return strip(F.regexp_replace(t, "[ \t]{2,}", " "))
 
 
-def drops_layout_line(line: Column, profile: Profile) -> Column:
-    return (F.length(strip(line)) > 0) & (is_page_furniture(line) | is_garbage(line, profile) | is_masthead(strip(line)) | is_digitisation(strip(line)))
-
-
 def clean_layout(text: Column, profile: Profile) -> Column:
-    """Columns, furniture lines, hyphens and paragraphs of normalised text, as one expression."""
-    ls = F.filter(lines(split_columns(text)), lambda x: ~drops_layout_line(x, profile))
-    kept = F.transform(ls, lambda x: F.when(F.length(strip(x)) == 0, "").otherwise(x))
+    """Columns, furniture lines, hyphens and paragraphs of normalised text, as one expression.
+
+    Each line is stripped and split once; the tests that follow read those fields.
+    """
+    known = F.transform(F.transform(lines(split_columns(text)), lambda x: F.struct(x.alias("l"), strip(x).alias("s"))), lambda x: F.struct(x["l"].alias("l"), x["s"].alias("s"), words(x["s"]).alias("w")))
+    furniture = lambda s: s.rlike(config.PAGE_NUMBER) | ((F.length(s) <= 14) & s.rlike("(?iu)" + config.RUNNING_HEAD))
+    masthead = lambda s: (F.length(s) < 65) & s.rlike("(?iu)" + config.MASTHEAD)
+    drop = lambda x: (F.length(x["s"]) > 0) & (furniture(x["s"]) | is_garbage(x["s"], profile, x["w"]) | masthead(x["s"]) | is_digitisation(x["s"]))
+    kept = F.transform(F.filter(known, lambda x: ~drop(x)), lambda x: F.when(x["s"] == "", "").otherwise(x["l"]))
     return reflow(dehyphenate(F.array_join(kept, "\n")))
 
 

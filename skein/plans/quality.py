@@ -83,7 +83,7 @@ _KEEP = f"(NOT {_JUNK} AND (len({words('l')}) < {G.line_min_words} OR {share(mat
 )
 def low_quality_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document after junk and low-quality lines are dropped."""
-    d = table(spark, sf_dir, "documents").withColumn("kept", F.filter(T.lines("text"), lambda x: T.keeps_line(x, P, G)))
+    d = table(spark, sf_dir, "documents").withColumn("kept", T.good_lines("text", P, G))
     return d.select("doc_id", F.size(T.lines("text")).cast("long").alias("n_lines"), F.size("kept").cast("long").alias("n_kept"), F.md5(F.array_join("kept", "\n").cast("binary")).alias("kept_md5"))
 
 
@@ -142,7 +142,7 @@ def route_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cleaning_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes that each step of cleaning takes away; the parts add up to the whole."""
     d = table(spark, sf_dir, "documents").select("source", "text", F.regexp_replace(T.unify_newlines("text"), "[ \t]+\n", "\n").alias("b"))
-    d = d.withColumn("j", T.filter_lines(F.col("b"), lambda x: ~T.is_junk(x))).withColumn("q", T.filter_lines(F.col("b"), lambda x: T.keeps_line(x, P, G)))
+    d = d.withColumn("j", T.filter_lines(F.col("b"), lambda x: ~T.is_junk(x))).withColumn("q", F.array_join(T.good_lines(F.col("b"), P, G), "\n"))
     d = d.withColumn("w", T.strip(F.regexp_replace("q", "[ \t\n]+", " ")))
     size = lambda c: F.octet_length(c)
     lost = lambda x, y, n: F.sum(size(x) - size(y)).cast("long").alias(n)
