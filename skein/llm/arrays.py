@@ -6,7 +6,9 @@ All functions work on one buffer that holds many texts; a text's bytes are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,39 @@ import pyarrow as pa
 SPLIT_BYTES = 2 << 20
 MOST_ROWS = 8192
 
+_LIBC: list = []
+
+
+def _libc():
+    """The C library, asked once to take large blocks from the system one by one; None if it can't."""
+    if not _LIBC:
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: freed blocks of that size go back at once
+            pa.set_memory_pool(pa.system_memory_pool())
+            _LIBC.append(libc)
+        except (AttributeError, OSError):
+            _LIBC.append(None)
+    return _LIBC[0]
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` in a worker process that gives its freed memory back: workers are used again and again,
+    by one operator after another, and would otherwise hold the peak of each.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        libc = _libc()
+        try:
+            yield from run(batches)
+        finally:
+            if libc is not None:
+                gc.collect()
+                libc.malloc_trim(0)
+
+    return wrapped
+
+
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 

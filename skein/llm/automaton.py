@@ -27,9 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.arrays import lean
 from skein.session import ship_package
 
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 #: The vocabulary's pre-split pattern, a fixed value; the same for the standard library's
 #: faster engine, whose classes differ only where ``ODD`` finds something. Texts without such
 #: characters are also composed already, and lower-cased alike by Python and the library.
@@ -96,7 +97,7 @@ class Automaton:
         key = state * self._size + label
         found = self._arcs.get(key)
         if found is None:
-            if len(self._arcs) > 2_000_000:
+            if len(self._arcs) > 400_000:
                 self._arcs.clear()
             found = self._arcs[key] = self.has_arc(state, label)
         return self.target[label] if found else None
@@ -226,6 +227,6 @@ def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows]) for i in range(len(names)))], [key, *names])
 
     kind = dict(df.dtypes)[key]
-    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, {schema}")
+    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(lean(run), f"`{key}` {kind}, {schema}")
 
 

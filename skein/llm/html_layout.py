@@ -19,6 +19,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.arrays import lean
 from skein.session import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -427,4 +428,4 @@ def visible_text(pages: DataFrame, key: str = "page_id", source: str = "html") -
                 types = [pa.string(), *[pa.int64()] * 4, pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], [key, "text", "n_chars", "n_lines", "n_items", "n_tables", "text_sha256"])
 
-    return pages.selectExpr(f"`{key}`", f"`{source}`").mapInArrow(run, f"`{key}` {kind}, text string, n_chars long, n_lines long, n_items long, n_tables long, text_sha256 string")
+    return pages.selectExpr(f"`{key}`", f"`{source}`").mapInArrow(lean(run), f"`{key}` {kind}, text string, n_chars long, n_lines long, n_items long, n_tables long, text_sha256 string")

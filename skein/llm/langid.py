@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import buffers, slices
+from skein.llm.arrays import buffers, lean, slices
 from skein.session import ship_package
 
 CLASSES = 128
@@ -170,7 +170,7 @@ def fit(labelled: DataFrame, label: str = "lang", text: str = "text", order: str
                 out.append(b"".join(grid[k].tobytes() for k in at))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["label", "h", "grid"])
 
-    got = sorted(taken.mapInArrow(pick, "label string, h long, grid binary").collect(), key=lambda r: (r.label, r.h % span, r.h, bytes(r.grid)))
+    got = sorted(taken.mapInArrow(lean(pick), "label string, h long, grid binary").collect(), key=lambda r: (r.label, r.h % span, r.h, bytes(r.grid)))
     labels = sorted(counts)
     kept: dict[str, int] = dict.fromkeys(labels, 0)
     grids, target = [], []
@@ -238,7 +238,7 @@ def predict(df: DataFrame, network: Network | None, text: str = "text", keep: li
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
 
     spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields), "lang_pred string", "score double"])
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("__text")).mapInArrow(run, spec)
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").alias("__text")).mapInArrow(lean(run), spec)
 
 
 def learnable(docs: DataFrame) -> DataFrame:

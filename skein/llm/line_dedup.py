@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import LOWER, bounds, buffers, distinct_by_owner, mix, slices
+from skein.llm.arrays import LOWER, bounds, buffers, distinct_by_owner, lean, mix, slices
 from skein.llm.components import components
 from skein.llm.ngram_join import blocks
 from skein.session import Scratch, ship_package
@@ -149,7 +149,7 @@ def number_lines(docs: DataFrame) -> DataFrame:
                 at = pa.array(x.first, pa.int32())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.n_lines, pa.int64()), pa.ListArray.from_arrays(at, pa.array(x.number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64)))], ["doc_id", "n_lines", "numbers", "hashes"])
 
-    return docs.mapInArrow(run, "doc_id long, n_lines long, numbers array<int>, hashes array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n_lines long, numbers array<int>, hashes array<long>")
 
 
 def line_buckets(docs: DataFrame) -> DataFrame:
@@ -165,7 +165,7 @@ def line_buckets(docs: DataFrame) -> DataFrame:
                     keys = band_keys(*line_shingles([x.lines[i] for i in new]))
                     yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(x.hashes[new].view(np.int64), BANDS))], ["token", "cls"])
 
-    return docs.mapInArrow(run, "token long, cls long")
+    return docs.mapInArrow(lean(run), "token long, cls long")
 
 
 def wanted_bits(nodes: DataFrame) -> np.ndarray:
@@ -192,7 +192,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 lines = pa.array([x.lines[i] for i in new], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashes[new].view(np.int64)), lines], ["node", "text"])
 
-    return docs.mapInArrow(run, "node long, text binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return docs.mapInArrow(lean(run), "node long, text binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
 
 
 def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -279,7 +279,7 @@ def verified_links(members: DataFrame) -> DataFrame:
         if token:
             yield out(len(token))
 
-    return members.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "text").mapInArrow(run, "a long, b long").distinct()
+    return members.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "text").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from skein.llm.arrays import lean
+
 ROW_BYTES = 192
 
 
@@ -181,7 +183,7 @@ def features(df: DataFrame, media: str = "media", key: str = "id", side: int = 1
 
     kind = dict(df.dtypes)[key]
     return df.selectExpr(f"`{key}` AS key", f"`{media}` AS media").mapInArrow(
-        run, f"key {kind}, height int, width int, channels int, tile binary, dhash string, reason string"
+        lean(run), f"key {kind}, height int, width int, channels int, tile binary, dhash string, reason string"
     )
 
 
@@ -228,7 +230,7 @@ def text_media(df: DataFrame, key: str = "doc_id", text: str = "text", side: int
 
     kind = dict(df.dtypes)[key]
     return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(
-        run,
+        lean(run),
         f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary",
     )
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, mix, shingles, slices, words
+from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, lean, mix, shingles, slices, words
 from skein.llm.components import components
 from skein.session import Scratch, ship_package
 
@@ -141,7 +141,7 @@ def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
                     [part.column(0), pa.array(np.diff(first)), pa.array(class_ids(values, first).view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())], ["doc_id", "n", "cls", "point"]
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, cls long, point binary")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long, point binary")
 
 
 def new_sets(part: pa.RecordBatch, width: int, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,7 +153,7 @@ def new_sets(part: pa.RecordBatch, width: int, seen: set[int]) -> tuple[np.ndarr
         if c not in seen and first[i + 1] > first[i]:
             keep[i] = True
             seen.add(c)
-    if len(seen) > 1_000_000:
+    if len(seen) > 300_000:
         seen.clear()
     owner = np.repeat(np.arange(len(ids)), np.diff(first))
     mask = keep[owner]
@@ -211,8 +211,8 @@ def frequent_shingles(docs: DataFrame, width: int, total: int, scratch: Scratch)
         if held:
             yield flush()
 
-    packed = docs.mapInArrow(pack, "bucket long, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
-    table = scratch.table(packed.mapInArrow(count, "shingle long, df long"), "frequent")
+    packed = docs.mapInArrow(lean(pack), "bucket long, hashes binary").repartition("bucket").sortWithinPartitions("bucket")
+    table = scratch.table(packed.mapInArrow(lean(count), "shingle long, df long"), "frequent")
     classes = table.groupBy(F.expr("cast(floor(log2(df)) AS int) AS level")).count().orderBy(F.desc("level")).collect()
     kept, level = 0, 64
     for r in classes:
@@ -250,7 +250,7 @@ def prefixes(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
                 chosen = place[inside]
                 yield pa.RecordBatch.from_arrays([pa.array(values[chosen].view(np.int64)), pa.array(ids[owner[chosen]].view(np.int64))], ["token", "cls"])
 
-    return docs.mapInArrow(run, "token long, cls long")
+    return docs.mapInArrow(lean(run), "token long, cls long")
 
 
 def blocks(tokens: DataFrame) -> DataFrame:
@@ -300,7 +300,7 @@ def blocks(tokens: DataFrame) -> DataFrame:
         if len(token) and (out := emit(token, cls)) is not None:
             yield out
 
-    return tokens.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(run, "digest long, token long, cls long")
+    return tokens.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lean(run), "digest long, token long, cls long")
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +330,7 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
 
     sorted_rows = members.repartition("token").sortWithinPartitions("token", F.desc("central"), "node")
-    return sorted_rows.select("token", "node", "n", "point").mapInArrow(run, "a long, b long").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").filter("a < b").distinct()
+    return sorted_rows.select("token", "node", "n", "point").mapInArrow(lean(run), "a long, b long").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").filter("a < b").distinct()
 
 
 def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
@@ -384,7 +384,7 @@ def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
             yield out()
 
     sorted_rows = members.repartition("token").sortWithinPartitions("token", "node")
-    return sorted_rows.select("token", "node", "n", "point", "component", "tokens").mapInArrow(run, "a long, b long, token long")
+    return sorted_rows.select("token", "node", "n", "point", "component", "tokens").mapInArrow(lean(run), "a long, b long, token long")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -406,9 +406,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     asked = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
-    have = docs.selectExpr("doc_id AS node", "text").join(asked, "node", "left_semi").mapInArrow(sets, "node long, shingles binary")
+    have = docs.selectExpr("doc_id AS node", "text").join(asked, "node", "left_semi").mapInArrow(lean(sets), "node long, shingles binary")
     joined = pairs.join(have.selectExpr("node AS a", "shingles AS x"), "a").join(have.selectExpr("node AS b", "shingles AS y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, linked boolean")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(decide), "a long, b long, linked boolean")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:

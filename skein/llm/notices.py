@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.arrays import ALNUM, LOWER
+from skein.llm.arrays import ALNUM, LOWER, lean
 from skein.session import ship_package
 
 
@@ -140,7 +140,7 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices: tuple[
                     spans.append(rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, span_type)], [key, "n_words", "spans"])
 
-    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(run, f"`{key}` {kind}, n_words long, spans {SPAN}")
+    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(lean(run), f"`{key}` {kind}, n_words long, spans {SPAN}")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -24,12 +24,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import ALNUM, buffers, hash_spans, slices, words
+from skein.llm.arrays import ALNUM, buffers, hash_spans, lean, slices, words
 from skein.session import Scratch, ship_package
 
 WIDTH = 10
 BLOCK_WORDS = 2_000_000
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 INDEX = "keys array<long>, counts binary, begins binary, terms binary, lists binary, postings binary"
 
 
@@ -68,7 +68,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
         if held:
             yield pa.RecordBatch.from_pylist([segment(held)], schema)
 
-    return docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL").mapInArrow(run, INDEX)
+    return docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL").mapInArrow(lean(run), INDEX)
 
 
 class Segment:
@@ -142,9 +142,9 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
     sizes = segment.lengths[rank[alive, lead]]
     edge = np.cumsum(sizes)
     at = 0
-    while at < len(alive):  # some million proposals at a time
+    while at < len(alive):  # a bounded number of proposals at a time
         base = edge[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(edge, base + 1_000_000)))
+        to = max(at + 1, int(np.searchsorted(edge, base + 250_000)))
         chosen, n = alive[at:to], sizes[at:to]
         window = np.repeat(chosen, n)
         first = segment.ends[rank[chosen, lead[at:to]]] - n
@@ -227,7 +227,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
     many = False
     for block in blocks(benchmark, item, item_text):
         sent = spark.sparkContext.broadcast((block.grid, block.length, block.owner))
-        part = segments.mapInArrow(_searcher(sent, slop, misses), MATCH)
+        part = segments.mapInArrow(lean(_searcher(sent, slop, misses)), MATCH)
         many = found is not None
         found = found.unionByName(scratch.table(part, "block")) if many else scratch.table(part, "block")
     scratch.drop(segments)

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import ALNUM, buffers, distinct_by_owner, hash_spans, slices, words
+from skein.llm.arrays import ALNUM, buffers, distinct_by_owner, hash_spans, lean, slices, words
 from skein.session import Scratch, ship_package
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -167,7 +167,7 @@ def search(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
         if seen:
             yield counted()
 
-    return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(run, FOUND.format(kind=kind))
+    return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(lean(run), FOUND.format(kind=kind))
 
 
 def disclosures(found: DataFrame, n: int, support: int, generalise: float) -> DataFrame:

@@ -29,12 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.llm.arrays import lean
 from skein.llm.automaton import byte_symbols
 from skein.session import Scratch, ship_package
 
 SKIPPABLE_IDS, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 0
-MAX_WORDS = 800_000
+MAX_WORDS = 400_000
 #: GPT-2's pre-split pattern, a fixed value of the byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -188,7 +189,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int,
             yield pa.RecordBatch.from_pylist([{"path": path.rpartition("/")[2], "first": first, "n_docs": len(writer.keys), "n_tokens": tokens, "n_bytes": n}])
 
     rows = docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").filter("k IS NOT NULL")
-    return rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t").mapInArrow(run, "path string, first long, n_docs long, n_tokens long, n_bytes long")
+    return rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t").mapInArrow(lean(run), "path string, first long, n_docs long, n_tokens long, n_bytes long")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
@@ -214,7 +215,7 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.keys[i:j]), "start": pa.array(starts[i:j]), "n_tokens": pa.array(counts[i:j]), "ids": pa.array(ids, pa.binary())})
                         i = j
 
-    return before.repartition(F.col("path")).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    return before.repartition(F.col("path")).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, partitions: int | None = None) -> tuple[DataFrame, str]:
