@@ -24,7 +24,7 @@ def _libc():
     if not _LIBC:
         try:
             libc = ctypes.CDLL(None)
-            libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: freed blocks of that size go back at once
+            libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: freed blocks of that size go back at once
             pa.set_memory_pool(pa.system_memory_pool())
             _LIBC.append(libc)
         except (AttributeError, OSError):
@@ -32,13 +32,20 @@ def _libc():
     return _LIBC[0]
 
 
-def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+#: what a worker process keeps from task to task, by operator, and how it is let go
+KEPT: dict[str, Callable[[], None]] = {}
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` in a worker process that gives its freed memory back: workers are used again and again,
-    by one operator after another, and would otherwise hold the peak of each.
+    by one operator after another, and would otherwise hold the peak of each. What other
+    operators than ``keeps`` have kept in the process goes first.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = _libc()
+        for owner in [k for k in KEPT if k != keeps]:
+            KEPT.pop(owner)()
         try:
             yield from run(batches)
         finally:

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from skein.llm.arrays import lean
+from skein.llm.arrays import KEPT, lean
 from skein.session import ship_package
 
 MAX_WORDS = 250_000
@@ -203,6 +203,7 @@ def loaded(path: str) -> WordBpe:
     """One automaton for each Python worker."""
     if path not in _LOADED:
         _LOADED[path] = WordBpe(path)
+    KEPT["automaton"] = _LOADED.clear
     return _LOADED[path]
 
 
@@ -227,6 +228,6 @@ def encode_decode(df: DataFrame, tokenizer: str, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([r[i] for r in rows]) for i in range(len(names)))], [key, *names])
 
     kind = dict(df.dtypes)[key]
-    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(lean(run), f"`{key}` {kind}, {schema}")
+    return df.selectExpr(f"`{key}`", f"`{text}`").mapInArrow(lean(run, "automaton"), f"`{key}` {kind}, {schema}")
 
 

@@ -29,13 +29,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import lean
+from skein.llm.arrays import KEPT, lean
 from skein.llm.automaton import byte_symbols
 from skein.session import Scratch, ship_package
 
 SKIPPABLE_IDS, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 0
-MAX_WORDS = 400_000
+MAX_WORDS = 800_000
 #: GPT-2's pre-split pattern, a fixed value of the byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -154,6 +154,7 @@ def encoder(path: str) -> Callable[[str], bytes]:
     """One encoder for each Python worker; its words stay known from task to task."""
     if path not in _ENCODERS:
         _ENCODERS[path] = byte_level_encoder(path)
+    KEPT["encoder"] = _ENCODERS.clear
     return _ENCODERS[path]
 
 
@@ -189,7 +190,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int,
             yield pa.RecordBatch.from_pylist([{"path": path.rpartition("/")[2], "first": first, "n_docs": len(writer.keys), "n_tokens": tokens, "n_bytes": n}])
 
     rows = docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").filter("k IS NOT NULL")
-    return rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t").mapInArrow(lean(run), "path string, first long, n_docs long, n_tokens long, n_bytes long")
+    return rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t").mapInArrow(lean(run, "encoder"), "path string, first long, n_docs long, n_tokens long, n_bytes long")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
