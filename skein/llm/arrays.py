@@ -7,7 +7,6 @@ All functions work on one buffer that holds many texts; a text's bytes are
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -25,6 +24,7 @@ def _libc():
         try:
             libc = ctypes.CDLL(None)
             libc.mallopt(-3, 16 << 20)  # M_MMAP_THRESHOLD: freed blocks of that size go back at once
+            libc.mallopt(-1, 64 << 20)  # M_TRIM_THRESHOLD: smaller ones are used again until a task ends
             pa.set_memory_pool(pa.system_memory_pool())
             _LIBC.append(libc)
         except (AttributeError, OSError):
@@ -50,7 +50,6 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
             yield from run(batches)
         finally:
             if libc is not None:
-                gc.collect()
                 libc.malloc_trim(0)
 
     return wrapped

@@ -120,7 +120,7 @@ class Lines:
         data, offsets = buffers(column)
         starts, ends, first = line_spans(data, offsets)
         self.n_lines = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(first))
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
         long = lead[ends] - lead[starts] >= SHORTEST
         number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
         self.number = number[long]
