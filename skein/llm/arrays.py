@@ -7,6 +7,7 @@ All functions work on one buffer that holds many texts; a text's bytes are
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -50,6 +51,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
             yield from run(batches)
         finally:
             if libc is not None:
+                gc.collect()
                 libc.malloc_trim(0)
 
     return wrapped
