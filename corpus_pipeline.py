@@ -1,7 +1,7 @@
 """A training-data pipeline of five stages over ``documents``.
 
 Language ID lets documents go that have no language or a guessed one; line dedup takes
-out lines that stand elsewhere (a document goes if nothing is left of it); the n-gram join
+out lines that stand elsewhere (a document goes if nothing or only blank lines are left of it); the n-gram join
 keeps one document of each group of near copies; decontamination lets documents go that
 hold a window of a benchmark item; the BPE automaton encodes what is left.
 

@@ -319,14 +319,15 @@ def duplicate_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
 
 
 def drop_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without their removed lines; those of which nothing is left go.
+    """The documents without their removed lines; those of which nothing or only blank lines are left go.
 
     Documents that lose no line, null ones too, stay as they are.
     """
     some = found.filter("size(removed) > 0").selectExpr("doc_id AS __key", "removed AS __removed", "n_lines AS __n")
     joined = docs.join(some, F.col(f"`{key}`") == F.col("__key"), "left").filter("__removed IS NULL OR size(__removed) < __n")
     kept = f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')"
-    return joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.expr(kept))).drop("__key", "__removed", "__n")
+    left = joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.expr(kept)))
+    return left.filter(F.col("__removed").isNull() | F.col(f"`{text}`").rlike(r"(?U)\S")).drop("__key", "__removed", "__n")
 
 
 def digest(found: DataFrame) -> DataFrame:

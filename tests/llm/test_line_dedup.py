@@ -109,6 +109,14 @@ def test_odd_rows_and_drop(spark):
     assert line_dedup.duplicate_lines(spark, frame(spark, [])).count() == 0
 
 
+def test_documents_with_only_blank_lines_left_go(spark):
+    long = "the same line stands here again"
+    texts = [(1, f"{long}\n\nend"), (2, f"{long}\n\n"), (3, f"\t\n{long}\n\u00a0 "), (4, f"{long}\nmore"), (5, "\n")]
+    found = line_dedup.duplicate_lines(spark, frame(spark, texts))
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(frame(spark, texts), found).collect()}
+    assert kept == {1: texts[0][1], 4: "more", 5: "\n"}
+
+
 def test_query_against_all_pairs(spark):
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     want, _ = plain([(r["doc_id"], r["text"]) for r in t])
