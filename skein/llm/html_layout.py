@@ -24,9 +24,13 @@ from skein.session import ship_package
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe object video audio canvas svg math datalist noembed noframes title meta link base param source track area map".split())
+UNSEEN = frozenset("head script style template noscript iframe object video audio canvas datalist noembed noframes title meta link base param source track area map".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure fieldset".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr caption details summary figcaption legend hr center dir menu hgroup search optgroup option".split())
+#: what SVG and MathML hold for machines
+DRAWN_UNSEEN = frozenset("defs desc metadata symbol clippath lineargradient radialgradient pattern mask marker filter annotation annotation-xml".split())
+#: elements of theirs whose text stands apart
+DRAWN_APART = frozenset("text foreignobject mtd".split())
 #: a start tag of the key ends an open element of the value, up to the border
 CLOSES: dict[str, frozenset[str]] = {
     "li": frozenset(["li"]),
@@ -51,7 +55,8 @@ BORDER: dict[str, frozenset[str]] = {
 IN_HEAD = frozenset("title meta link base style script noscript template".split())
 TOKEN = re.compile(r"<!--(?:.*?-->|.*\Z)|<(?:!|\?)[^>]*(?:>|\Z)|</([A-Za-z][^\s/>]*)[^>]*(?:>|\Z)|<([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+MARK = re.compile(r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|[{};]")
+AT_RULE = re.compile(r"@([\w-]+)\s*(.*)", re.S)
 HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
 COMMENT = re.compile(r"/\*.*?\*/", re.S)
 BLANKS = re.compile(r"[ \t\n\r\f]+")
@@ -168,7 +173,10 @@ def parse(source: str) -> Node:
                 close(frozenset(["p"]), frozenset(["td", "th", "table", "button"]))
             if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
                 push("tr", {})
-            if tag in VOID:
+            drawn = opened["svg"] or opened["math"]
+            if drawn and tag in DRAWN_UNSEEN:
+                attrs = attrs | {"hidden": ""}
+            if tag in VOID or drawn and (m[3] or "").endswith("/"):
                 stack[-1].children.append(Node(tag, attrs))
             elif tag in RAW:
                 end = re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -181,6 +189,34 @@ def parse(source: str) -> Node:
                 push(tag, attrs)
 
 
+def on_screen(condition: str) -> bool:
+    """Whether media queries hold on any screen; sizes and other features aren't known."""
+    return not condition.strip() or any(" ".join(q.lower().split()) in ("all", "screen", "only all", "only screen", "not print") for q in condition.split(","))
+
+
+def rules(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules that hold on any screen: not those inside other media's blocks."""
+    css = COMMENT.sub("", css)
+    stack: list[tuple[bool, str, list[str]]] = [(True, "", [])]
+    at = 0
+    for m in MARK.finditer(css):
+        if m[0] not in "{};":
+            continue
+        piece, at = css[at : m.start()], m.end()
+        holds, selectors, said = stack[-1]
+        if m[0] == ";":
+            said.append(piece + ";")
+        elif m[0] == "}":
+            if len(stack) > 1:
+                stack.pop()
+                if holds and selectors:
+                    yield selectors, "".join(said) + piece
+        elif a := AT_RULE.match(piece.strip()):
+            stack.append((holds and not selectors and (a[1].lower() in ("layer", "supports") or a[1].lower() == "media" and on_screen(a[2])), "", []))
+        else:
+            stack.append((holds and not selectors, piece.strip(), []))
+
+
 class Visibility:
     """Which elements are seen: by tag, attributes, inline style and simple rules of style elements."""
 
@@ -191,10 +227,10 @@ class Visibility:
         todo: list[Node] = [root]
         while todo:
             node = todo.pop()
-            if node.tag == "style":
-                for rule in RULE.finditer(COMMENT.sub("", "".join(c for c in node.children if isinstance(c, str)))):
-                    if HIDES.search(rule[2]):
-                        for selector in rule[1].split(","):
+            if node.tag == "style" and on_screen(node.attrs.get("media", "")):
+                for selectors, said in rules("".join(c for c in node.children if isinstance(c, str))):
+                    if HIDES.search(said):
+                        for selector in selectors.split(","):
                             self._add(selector.strip())
             todo += [c for c in node.children if isinstance(c, Node)]
 
@@ -253,26 +289,55 @@ class Flow:
         self.gap = self.gap or spaced
 
 
-def cells_of(table: Node, seen: Visibility) -> tuple[list[Node], list[list[tuple[Node, int]]]]:
-    """Captions, and the rows of a table: each cell with the columns that it spans."""
-    captions, rows = [], []
-    todo = list(reversed([c for c in table.children if isinstance(c, Node)]))
+def carriers(table: Node) -> set[int]:
+    """Elements of a table (not of those inside it) that hold rows, cells or captions somewhere below."""
+    out: set[int] = set()
+    todo: list[tuple[Node, tuple | None]] = [(table, None)]
     while todo:
-        node = todo.pop()
-        if seen.hidden(node):
+        node, above = todo.pop()
+        if node is not table and node.tag in ("tr", "td", "th", "caption"):
+            way = above
+            while way is not None and id(way[0]) not in out:
+                out.add(id(way[0]))
+                way = way[1]
+        if node is table or node.tag not in ("table", "td", "th", "caption"):
+            todo += [(c, (node, above)) for c in node.children if isinstance(c, Node)]
+    return out
+
+
+def cells_of(table: Node, seen: Visibility) -> tuple[list[Node], list[list[tuple[Node, int]]], list[Node]]:
+    """Captions, the rows of a table (each cell with the columns that it spans), and what stands in the table
+    outside of both, which is seen before it.
+    """
+    captions, rows, stray = [], [], []
+    within = carriers(table)
+    todo: list[tuple[Node | str, Node, list | None]] = [(c, table, None) for c in reversed(table.children)]
+    last: Node | None = None  # whose stray content the last piece is
+    while todo:
+        node, above, row = todo.pop()
+        if isinstance(node, Node) and seen.hidden(node):
+            continue
+        if isinstance(node, str) or node.tag not in ("caption", "tr", "td", "th") and id(node) not in within:
+            if isinstance(node, str) and not node.strip() and last is not above:
+                continue
+            if last is not above:
+                stray.append(Node("div"))
+            stray[-1].children.append(node)
+            last = above
             continue
+        last = None
         if node.tag == "caption":
             captions.append(node)
-        elif node.tag == "tr":
-            row = []
-            for c in node.children:
-                if isinstance(c, Node) and c.tag in ("td", "th") and not seen.hidden(c):
-                    span = c.attrs.get("colspan", "1")
-                    row.append((c, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
-            rows.append(row)
+        elif node.tag in ("td", "th"):
+            if row is None:  # a cell without a row has one of its own
+                rows.append(row := [])
+            span = node.attrs.get("colspan", "1")
+            row.append((node, min(max(int(span), 1), 1000) if span.isascii() and span.isdigit() and len(span) < 5 else 1))
         else:
-            todo += reversed([c for c in node.children if isinstance(c, Node)])
-    return captions, rows
+            if node.tag == "tr":
+                rows.append(row := [])
+            todo += [(c, node, row) for c in reversed(node.children)]
+    return captions, rows, stray
 
 
 def layout(rows: list[list[tuple[list[str], int]]]) -> list[str]:
@@ -339,6 +404,8 @@ def render(root: Node) -> str:
                         f.put(line)
                     f.block(True)
                     continue
+                if tag in DRAWN_APART:
+                    f.text(" ")
                 if tag in BLOCK and node is not top:
                     f.block(tag in SPACED and not (tag in ("ul", "ol") and counters))
                 if tag in ("ul", "ol", "menu", "dir"):
@@ -363,6 +430,8 @@ def render(root: Node) -> str:
                 pre -= 1
                 if raw.strip():
                     f.put(raw.rstrip())
+            if tag in DRAWN_APART:
+                f.text(" ")
             if tag in BLOCK and node is not top:
                 f.block(tag in SPACED and not (tag in ("ul", "ol") and len(counters) > 1))
             if tag in ("ul", "ol", "menu", "dir"):
@@ -378,8 +447,8 @@ def render(root: Node) -> str:
         return f.lines
 
     for table in reversed(visible_tables(root, seen)):  # inner ones first
-        captions, rows = cells_of(table, seen)
-        lines = [line for c in captions for line in flow(c)]
+        captions, rows, stray = cells_of(table, seen)
+        lines = [line for c in stray + captions for line in flow(c)]
         done[id(table)] = lines + layout([[(flow(cell), span) for cell, span in row] for row in rows])
     return "\n".join(flow(root))
 

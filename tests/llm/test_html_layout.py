@@ -38,6 +38,27 @@ def test_cases(source):
     assert html_layout.render(html_layout.parse(source)) == CASES[source]
 
 
+WHOLE = {
+    "<table><tr><form><td>x</td><td>y</td></form></tr></table>": "x  y",
+    "<table><form><tr><td>x<tr><td>y</form></table>": "x\ny",
+    "<table><p>x</p><tr><td>y</table>z": "x\ny\n\nz",
+    "<table><tr><div>x <b>b</b></div><td>y</tr></table>": "x b\ny",
+    "<table><tr><form>say: <i>x</i><td>y<td><input type=submit value=Go></form></tr></table>": "say: x\ny  Go",
+    "<table><tr><table><tr><td>in</table><td>y</table>": "in\ny",
+    "<table><tr><td>x</td><script>no</script><p hidden>no</p></table>": "x",
+    "<style>@media print{.a{display:none}} @media (max-width:9em){.a{display:none} p{color:red}} .b{display:none}</style><p class=a>x<p class=b>no": "x",
+    "<style>@media screen, print{.a{display:none}} @font-face{font-family:f} @import url(x); .b{content:'}';display:none}</style><p class=a>no<p class=b>no<p>x": "x",
+    "<style media=print>.a{display:none}</style><p class=a>x": "x",
+    "a <math><mi>E</mi><mo>=</mo><mi>m</mi><annotation>no</annotation></math> b": "a E=m b",
+    "<p>p <svg viewBox='0'><title>no</title><defs><text>no</text></defs><defs/><path d='M0'/><text x=1>two</text><text>words</text></svg> q</p>": "p two words q",
+}
+
+
+@pytest.mark.parametrize("source", WHOLE)
+def test_all_visible_text_is_kept(source):
+    assert html_layout.render(html_layout.parse(source)) == WHOLE[source]
+
+
 class Plain(html.parser.HTMLParser):
     """Text outside elements that are never seen, in order; an independent reading of the same markup."""
 
