@@ -19,10 +19,11 @@ P = WESTERN
 
 @R.add()
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits of the next turn's opening against this one's, micro-averaged."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.substring("text", 1, 200).alias("a"))
+    """Edits of the next turn against this one, whole texts, micro-averaged."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
-    return p.groupBy("conv_id").agg(F.count("*").alias("pairs"), F.sum(F.levenshtein("a", "b")).alias("edits"), F.sum(F.length("a")).cast("long").alias("chars"), F.round(F.sum(F.levenshtein("a", "b")) / F.sum(F.length("a")), 6).alias("cer"))
+    e = p.select("conv_id", F.levenshtein("a", "b").alias("e"), F.length("a").alias("n"))
+    return e.groupBy("conv_id").agg(F.count("*").alias("pairs"), F.sum("e").alias("edits"), F.sum("n").cast("long").alias("chars"), F.round(F.sum("e") / F.sum("n"), 6).alias("cer"))
 
 
 def word_code_points(a, b):

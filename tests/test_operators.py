@@ -105,6 +105,16 @@ def test_edit_distances(spark):
         assert (r.w, r.c, r.n) == (levenshtein(r.a.split(), r.b.split()), levenshtein(r.a, r.b), len(r.a.split()))
 
 
+def test_character_error_rate_takes_whole_turns(spark, tmp_path):
+    rng = random.Random(2)
+    turns = [(c, t, "user", "".join(rng.choices("aąb c", k=rng.choice([150, 260, 420])))) for c in range(4) for t in range(4)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    for r in textual.character_error_rate(spark, str(tmp_path)).collect():
+        own = [x[3] for x in turns if x[0] == r.conv_id]
+        edits, chars = sum(map(levenshtein, own, own[1:])), sum(map(len, own[:-1]))
+        assert (r.pairs, r.edits, r.chars, r.cer) == (3, edits, chars, round(edits / chars, 6))
+
+
 @pytest.mark.parametrize("n", [0, 1, 57])
 def test_global_order_in_ranges(spark, n):
     values = list(range(n))
