@@ -8,8 +8,9 @@ a table in the shared folder; nothing is shuffled, as in any document-partitione
 A query window (``width`` consecutive test words) is answered from its rarest term: each
 posting proposes a start, and the other terms' lists, from rare to frequent, are met with
 their offsets taken off; what is left after all of them are exact phrase matches. Starts
-that miss a few terms but have those near their place are proximity matches. All windows
-of a block are intersected together, on arrays.
+that miss at most m terms and have the others near their place are proximity matches; as one
+of any m + 1 terms must be there, the m + 1 rarest propose. All windows of a block are
+intersected together, on arrays.
 
 Test sets are taken in blocks of bounded size, each broadcast and met with all segments.
 """
@@ -123,8 +124,8 @@ class Windows:
 
 
 def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """(window, start) of all matches. ``slop`` and ``misses`` 0: exact phrases; else each term
-    may stand ``slop`` from its place, and ``misses`` terms may be missing (not the rarest).
+    """(window, start) of all matches, each once. ``slop`` and ``misses`` 0: exact phrases; else each
+    term may stand ``slop`` from its place, and ``misses`` terms, but not all, may be missing.
     """
     none = np.zeros(0, np.int64)
     if not len(windows.grid) or not len(segment.pairs):
@@ -138,9 +139,26 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
     absent = (real & (rank < 0)).sum(axis=1)
     alive = np.flatnonzero((absent <= misses) & (absent < windows.length))
     out_window, out_start = [], []
-    lead = order[alive, 0]
+    leads = np.minimum(misses - absent[alive] + 1, windows.length[alive] - absent[alive])  # the absent ones are missed anyway
+    nth = np.arange(int(leads.sum())) - np.repeat(np.cumsum(leads) - leads, leads)
+    alive = np.repeat(alive, leads)
+    lead = order[alive, nth]
     sizes = segment.lengths[rank[alive, lead]]
     edge = np.cumsum(sizes)
+
+    def kept(window: np.ndarray, start: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+        missed = np.zeros(len(window), np.int64)
+        for k in range(windows.grid.shape[1]):
+            place = order[window, k]
+            checked = real[window, place]
+            term, target = rank[window, place], start + place
+            missed += checked & ~segment.holds(term, target - reach, target + reach)
+            keep = (missed <= misses) & (missed < windows.length[window])
+            window, start, missed = window[keep], start[keep], missed[keep]
+            if not len(window):
+                break
+        return window, start
+
     at = 0
     while at < len(alive):  # a bounded number of proposals at a time
         base = edge[at - 1] if at else 0
@@ -150,22 +168,19 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
         first = segment.ends[rank[chosen, lead[at:to]]] - n
         posting = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
         start = segment.postings[posting].astype(np.int64) - np.repeat(lead[at:to], n)
-        missed = np.zeros(len(window), np.int64)
-        for k in range(1, windows.grid.shape[1]):
-            place = order[window, k]
-            checked = real[window, place]
-            term, target = rank[window, place], start + place
-            missed += checked & ~segment.holds(term, target - slop, target + slop)
-            keep = missed <= misses
-            window, start, missed = window[keep], start[keep], missed[keep]
-            if not len(window):
-                break
+        window, start = kept(window, start, 2 * slop)  # the lead may itself stand ``slop`` from its place
+        if slop and len(window):
+            pairs = np.unique(np.stack([np.repeat(window, 2 * slop + 1), (start[:, None] + np.arange(-slop, slop + 1)).ravel()], axis=1), axis=0)
+            window, start = kept(pairs[:, 0], pairs[:, 1], slop)
         out_window.append(window)
         out_start.append(start)
         at = to
     if not out_window:
         return none, none
-    return np.concatenate(out_window), np.concatenate(out_start)
+    window, start = np.concatenate(out_window), np.concatenate(out_start)
+    if slop or misses:
+        window, start = np.unique(np.stack([window, start], axis=1), axis=0).T
+    return window, start
 
 
 MATCH = "doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<long>, near array<long>"

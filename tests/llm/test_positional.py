@@ -78,6 +78,49 @@ def test_matches_dont_cross_documents(spark):
     check(spark, [(i, " ".join(words[i : i + 5])) for i in range(0, 20, 5)], [(1, " ".join(words))])
 
 
+def plain_near(docs, items, slop=3, misses=2):
+    out = {}
+    for d, t in docs:
+        at = {}
+        for k, w in enumerate(words := tokens(t)):
+            at.setdefault(w, []).append(k)
+        found = set()
+        for i, x in items:
+            w = tokens(x)
+            for j in range(max(1, len(w) - 9) if w else 0):
+                own = w[j : j + 10]
+                for s in range(-len(own) - slop, len(words) + slop):
+                    hits = sum(any(abs(p - s - k) <= slop for p in at.get(q, ())) for k, q in enumerate(own))
+                    if hits and hits >= len(own) - misses:
+                        found.add(i)
+        out[d] = len(found)
+    return out
+
+
+def test_proximity_matches_equal_plain_search(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(40)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([1, 2, 5, 10, 13])))) for i in range(25)]
+    docs = [(i, " ".join(rng.choices(vocabulary, k=rng.randint(0, 25)))) for i in range(40)]
+    for i, x in items:
+        w = x.split()
+        for k in range(2):
+            w[rng.randrange(len(w))] = f"new{k}"
+        w.insert(rng.randrange(len(w)), "more")
+        docs.append((100 + i, " ".join([*rng.choices(vocabulary, k=3), *w, *rng.choices(vocabulary, k=3)])))
+    assert check(spark, docs, items) == plain_near(docs, items)
+
+
+def test_neighbours_dont_hide_a_reworded_passage(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    one, reworded = " ".join(words), " ".join(["other", *words[1:]])
+    docs = [(1, reworded), (2, "alpha stands here alone")] + [(3 + i, " ".join(words[1:4])) for i in range(5)]
+    d = spark.createDataFrame([(None, t, i, 1) for i, t in docs], DOC).coalesce(1)
+    b = spark.createDataFrame([(None, one, 1)], ITEM)
+    near = {r.doc_id: r.n_near for r in positional.digest(positional.contamination(spark, d, b)).collect()}
+    assert near == {i: int(i == 1) for i, _ in docs}
+
+
 def test_query_on_whole_tables(spark):
     read = lambda t, k: [(r[k], r["text"]) for r in pq.read_table(f"{SF}/{t}.parquet", columns=[k, "text"]).to_pylist()]
     rows = queries.op7_positional_index(spark, SF).collect()
