@@ -2,12 +2,14 @@
 
 Base patterns find protected entities (e-mail, IP, card, phone) in whole texts. Corpus
 co-occurrence then tells how strongly a term reveals an entity. With document frequencies
-over all N documents, an entity c carries IC(c) = -log2(df(c) / N) bits and a term t near
-it reveals PMI(c; t) = log2(N df(c, t) / (df(c) df(t))) of them. The disclosure is
-PMI / IC: 1 if the term occurs with the entity only. At ``generalise`` and more the term
-is replaced by its kind, at ``remove`` and more it is taken out; both only inside the
-context of that entity. An entity in fewer than ``support`` documents with a term gives
-no estimate, and no entity that is in all documents carries any information.
+over all N documents, an entity c carries IC(c) = -log2(df(c) / N) bits and a term t in a
+document of it reveals PMI(c; t) = log2(N df(c, t) / (df(c) df(t))) of them. The disclosure
+is PMI / IC: 1 if the term occurs with the entity only. At ``generalise`` and more the term
+is replaced by its kind, at ``remove`` and more it is taken out; both wherever it stands in
+the documents of that entity. A term must be in ``support`` documents of an entity to be
+judged, or in all of them if the entity has fewer: a term in the one document of an entity
+reveals IC(t) / IC(c). No entity that is in all documents carries any information. Function
+words (the stopwords of the language profile) are no terms, others are of any length.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skein.config import WESTERN
 from skein.llm.arrays import ALNUM, buffers, distinct_by_owner, hash_spans, lean, slices, words
 from skein.session import Scratch, ship_package
 
@@ -33,6 +36,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _FOLD = {c: c + 32 for c in range(65, 91)}
+_FUNCTION = frozenset(WESTERN.stopwords)
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -98,32 +102,28 @@ def entity(kind: int, value: str) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(f"{KINDS[kind]}:{value}")).astype(np.int64))
 
 
-def context(text: str, spans: list[tuple[int, int, int]], reach: int) -> list[tuple[int, int, int, bytes]]:
-    """(entity, start, end, folded bytes) of the terms that lie within ``reach`` code points of a span.
-
-    A term has four code points or more, doesn't begin with a digit and touches no base span.
-    """
-    taken = [(s, e) for s, _, e in spans]
-    out = []
-    for s, kind, e in spans:
-        who = entity(kind, text[s:e])
-        low, high = max(0, s - reach - 1), min(len(text), e + reach + 1)
-        for m in _TERM.finditer(text, low, high):
-            a, b = m.span()
-            if b - a < 4 or text[a].isdigit() or (a == low and low) or (b == high and high < len(text)):
-                continue
-            if not any(a < y and x < b for x, y in taken):
-                out.append((who, a, b, text[a:b].translate(_FOLD).encode()))
+def context(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, bytes]]:
+    """(start, end, folded bytes) of a text's terms: its words, but function words and those that touch a base span."""
+    out, k, last = [], 0, 0
+    for m in _TERM.finditer(text.translate(_FOLD)):
+        a, b = m.span()
+        while k < len(spans) and spans[k][0] < b:
+            last = max(last, spans[k][2])
+            k += 1
+        if last <= a and m[0] not in _FUNCTION:
+            out.append((a, b, m[0].encode()))
     return out
 
 
-FOUND = "doc_id {kind}, spans array<struct<start:int,kind:int,stop:int>>, near array<struct<entity:long,term:long,start:int,stop:int>>, term long, df long"
+FOUND = "doc_id {kind}, spans array<struct<start:int,kind:int,stop:int>>, entities array<long>, terms array<struct<term:long,start:int,stop:int>>, term long, df long"
 _SPAN = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+_WHO = pa.list_(pa.int64())
+_TERMS = pa.list_(pa.struct([("term", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())]))
+_NAMES = ["doc_id", "spans", "entities", "terms", "term", "df"]
 
 
-def search(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
-    """One pass over all texts. A row for each document: its base spans and the terms near them;
+def search(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """One pass over all texts. A row for each document: its base spans, entities and, if it has any, terms;
     and rows (term, df) with each task's document frequencies of all words, merged every few million.
     """
     kind = dict(docs.dtypes)[key]
@@ -136,7 +136,7 @@ def search(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
         def counted() -> pa.RecordBatch:
             terms, df = np.unique(np.concatenate(seen), return_counts=True)
             n = len(terms)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, _SPAN), pa.nulls(n, _NEAR), pa.array(terms.view(np.int64)), pa.array(df)], ["doc_id", "spans", "near", "term", "df"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, id_type), pa.nulls(n, _SPAN), pa.nulls(n, _WHO), pa.nulls(n, _TERMS), pa.array(terms.view(np.int64)), pa.array(df)], _NAMES)
 
         for batch in batches:
             id_type = batch.schema.field(0).type
@@ -148,19 +148,20 @@ def search(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
                 seen.append(terms)
                 held += len(terms)
                 digit = np.concatenate([[0], np.cumsum((data >= 48) & (data <= 57))])[offsets]
-                spans, near = [], []
+                spans, who, said = [], [], []
                 for i, t in enumerate(part.column(1)):
                     value = (t.as_py() or "") if digit[i + 1] - digit[i] >= 4 or b"@" in data[offsets[i] : offsets[i + 1]].tobytes() else ""
                     found = find_base(value, int(digit[i + 1] - digit[i]))
                     spans.append([{"start": s, "kind": k, "stop": e} for s, k, e in found])
-                    around = context(value, found, reach) if found else []
+                    who.append(sorted({entity(k, value[s:e]) for s, k, e in found}))
+                    around = context(value, found) if found else []
                     if around:
-                        b, o = buffers(pa.array([x[3] for x in around], pa.binary()))
+                        b, o = buffers(pa.array([x[2] for x in around], pa.binary()))
                         ids = hash_spans(b, o[:-1], o[1:]).view(np.int64).tolist()
-                        near.append([{"entity": x[0], "term": h, "start": x[1], "stop": x[2]} for x, h in zip(around, ids, strict=True)])
+                        said.append([{"term": h, "start": x[0], "stop": x[1]} for x, h in zip(around, ids, strict=True)])
                     else:
-                        near.append([])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, _SPAN), pa.array(near, _NEAR), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "spans", "near", "term", "df"])
+                        said.append([])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(spans, _SPAN), pa.array(who, _WHO), pa.array(said, _TERMS), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], _NAMES)
                 if held > 4_000_000:
                     yield counted()
                     seen, held = [], 0
@@ -170,46 +171,56 @@ def search(docs: DataFrame, key: str, text: str, reach: int) -> DataFrame:
     return docs.selectExpr(f"`{key}` AS doc_id", f"`{text}` AS text").mapInArrow(lean(run), FOUND.format(kind=kind))
 
 
-def disclosures(found: DataFrame, n: int, support: int, generalise: float) -> DataFrame:
-    """(entity, term, disclosure) for each term that reveals ``generalise`` of an entity or more.
+def disclosures(found: DataFrame, n: int, support: int, generalise: float, scratch: Scratch) -> DataFrame:
+    """(doc_id, term, disclosure): the terms of each document that reveal ``generalise`` of one of its entities or more.
 
-    Counts are of documents, over all of them, and are summed up in each task first.
+    Counts are of documents, over all of them, and are summed up in each task first. Only a
+    term in at most N^(1 - generalise) df(c)^generalise documents can reveal so much of c;
+    the others go before terms meet entities. Entities of one document need no such meeting.
     """
     rows = found.filter("df IS NULL")
-    near = rows.selectExpr("explode(array_distinct(transform(near, x -> struct(x.entity, x.term)))) AS x").selectExpr("x.entity", "x.term")
-    joint = near.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= support)
-    entities = rows.selectExpr("explode(array_distinct(near.entity)) AS entity").groupBy("entity").agg(F.count("*").alias("df_entity"))
-    terms = found.filter("df IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df_term"))
+    held = rows.selectExpr("doc_id", "explode(entities) AS entity")
+    sizes = held.groupBy("entity").agg(F.count("*").alias("df_entity")).filter(f"df_entity < {n}")
+    held = scratch.table(held.join(sizes, "entity"), "held")
+    most = lambda df: f"pow({n}D, {1 - generalise}) * pow({df}, {generalise}) * 1.000001D"
+    around = held.groupBy("doc_id").agg(F.max("df_entity").alias("most"), F.min("df_entity").alias("least"))
+    words = found.filter("df IS NOT NULL").groupBy("term").agg(F.sum("df").alias("df_term"))
+    said = rows.filter("size(entities) > 0").selectExpr("doc_id", "explode(array_distinct(terms.term)) AS term")
+    rare = scratch.table(said.join(around, "doc_id").join(words, "term").filter(f"df_term <= {most('most')}").select("doc_id", "term", "df_term", "least"), "rare")
+    alone = rare.filter("least = 1").selectExpr("doc_id", "term", f"log2({n}D / df_term) / log2({n}D) AS disclosure")
+    meet = rare.join(held.filter("df_entity > 1"), "doc_id").filter(f"df_term <= {most('df_entity')}")
+    joint = meet.groupBy("entity", "term").agg(F.count("*").alias("both"), F.first("df_entity").alias("df_entity"), F.first("df_term").alias("df_term")).filter(f"both >= least({support}, df_entity)")
     ratio = f"log2({n}D * both / (cast(df_entity AS double) * df_term)) / -log2(df_entity / {n}D)"
-    return joint.join(entities, "entity").join(terms, "term").filter(f"df_entity < {n}").selectExpr("entity", "term", f"{ratio} AS disclosure").filter(F.col("disclosure") >= generalise)
+    told = joint.selectExpr("entity", "term", f"{ratio} AS disclosure").filter(F.col("disclosure") >= generalise)
+    shared = meet.select("doc_id", "entity", "term").join(told, ["entity", "term"]).select("doc_id", "term", "disclosure")
+    return alone.filter(F.col("disclosure") >= generalise).unionByName(shared).groupBy("doc_id", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
-def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", reach: int = 80, support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
+def find(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", support: int = 3, generalise: float = 0.8, remove: float = 0.95) -> DataFrame:
     """key, spans: all spans of each document as (start, kind, stop, action), sorted.
 
     Actions: ``remove`` for base spans and terms over that threshold, else ``generalise``.
     Null text counts as empty; a document without personal data has no spans. Keys must be
     unique: rows of a repeated key share their terms' spans. Only the pass over the texts is
-    written to the shared folder; no text is shuffled, and what is joined are hashes of
-    terms near an entity, so an entity that many documents hold is spread over its terms.
+    written to the shared folder; no text is shuffled, and what is joined are hashes of the
+    terms of documents with an entity, so an entity that many documents hold is spread over
+    its terms.
     """
     ship_package(spark)
     scratch = Scratch(spark, "privacy")
-    found = scratch.table(search(docs, key, text, reach), "found")
+    found = scratch.table(search(docs, key, text), "found")
     rows = found.filter("df IS NULL")
     n = rows.count()
-    told = scratch.table(disclosures(found, max(n, 1), support, generalise), "disclosures")
+    told = scratch.table(disclosures(found, max(n, 1), support, generalise, scratch), "disclosures")
     terms = (
-        rows.selectExpr("doc_id", "explode(near) AS x")
-        .selectExpr("doc_id", "x.entity", "x.term", "x.start", "x.stop")
-        .join(told, ["entity", "term"])
-        .groupBy("doc_id", "start", "stop")
-        .agg(F.max("disclosure").alias("disclosure"))
+        rows.selectExpr("doc_id", "explode(terms) AS x")
+        .selectExpr("doc_id", "x.term", "x.start", "x.stop")
+        .join(told, ["doc_id", "term"])
         .groupBy("doc_id")
-        .agg(F.collect_list(F.expr(f"struct(start, 4 AS kind, stop, if(disclosure >= {remove}, 'remove', 'generalise') AS action)")).alias("terms"))
+        .agg(F.collect_list(F.expr(f"struct(start, 4 AS kind, stop, if(disclosure >= {remove}, 'remove', 'generalise') AS action)")).alias("told"))
     )
     base = "transform(spans, s -> struct(s.start, s.kind, s.stop, 'remove' AS action))"
-    return rows.select("doc_id", "spans").join(terms, "doc_id", "left").selectExpr(f"doc_id AS `{key}`", f"array_sort(if(terms IS NULL, {base}, concat({base}, terms))) AS spans")
+    return rows.select("doc_id", "spans").join(terms, "doc_id", "left").selectExpr(f"doc_id AS `{key}`", f"array_sort(if(told IS NULL, {base}, concat({base}, told))) AS spans")
 
 
 def digest(found: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -158,3 +158,17 @@ def test_disclosing_terms(spark):
     clean = {r.doc_id: r.text for r in privacy.sanitise(frame(spark, texts), found).collect()}
     assert clean[0] == "worda  writes to [email] from every town" and clean[10] == texts[10]
     assert privacy.find(spark, frame(spark, [])).count() == 0
+
+
+def test_disclosure_in_whole_documents_and_of_rare_entities(spark):
+    filler = "every town has a number and writes from here " * 5
+    texts = [f"Xu lives in 7ring. {filler} mail jo@x.org {filler} says Xu", f"{filler} +1 (555) 123-4567 {filler} Quill", f"Quill {filler} call +15551234567"]
+    texts += [f"{filler} no one {i}" for i in range(80)]
+    found = privacy.find(spark, frame(spark, texts))
+    rows = {r.doc_id: r for r in found.collect()}
+    said = lambda i: [(texts[i][s.start : s.stop], s.action) for s in rows[i].spans if s.kind == 4]
+    assert said(0) == [("Xu", "remove"), ("lives", "remove"), ("7ring", "remove"), ("mail", "remove"), ("says", "remove"), ("Xu", "remove")]
+    assert said(1) == said(2) == [("Quill", "remove")]
+    assert not any(rows[i].spans for i in range(3, 83))
+    clean = {r.doc_id: r.text for r in privacy.sanitise(frame(spark, texts), found).collect()}
+    assert "Xu" not in clean[0] and "Quill" not in clean[1] + clean[2]
