@@ -18,8 +18,16 @@ def ranged(spark: SparkSession, df: DataFrame, *keys: str) -> DataFrame:
 
 
 def running(spark: SparkSession, df: DataFrame, keys: list[str], value: str, name: str = "before") -> DataFrame:
-    """``name``: the sum of ``value`` over all rows before, in the order of ``keys``."""
+    """``name``: the sum of ``value`` over all rows before, in the order of ``keys``. ``_skein_path`` of the
+    result is the table of ranges that it reads.
+    """
     rows = ranged(spark, df, *keys)
+    out = _running(rows, keys, value, name)
+    out._skein_path = rows._skein_path
+    return out
+
+
+def _running(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
     sums = rows.groupBy("__p").agg(F.sum(value).alias("__s"))
     offset = sums.select("__p", (F.sum("__s").over(Window.orderBy("__p")) - F.col("__s")).alias("__o"))
     inside = F.sum(value).over(Window.partitionBy("__p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)

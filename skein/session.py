@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
 import uuid
@@ -32,23 +34,48 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a local folder is set.
+    Where the session names none, a local folder is set if the master is local (tests on one
+    machine); on a cluster that is an error, as executors couldn't see each other's files.
     """
     jvm = spark.sparkContext._jsc.sc()
     found = jvm.getCheckpointDir()
     if found.isDefined():
         return found.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not jvm.isLocal():
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="skein-shared"))
     return jvm.getCheckpointDir().get()
 
 
+_ROOTS: dict[str, str] = {}
+
+
+def application_dir(spark: SparkSession) -> str:
+    """The application's own part of the shared folder, which goes when Python ends (or with ``clean_up``)."""
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        _ROOTS[app] = f"{shared_dir(spark)}/skein-{app}-{uuid.uuid4().hex[:8]}"
+        atexit.register(clean_up, spark, app)
+    return _ROOTS[app]
+
+
+def clean_up(spark: SparkSession, app: str | None = None) -> None:
+    """Delete what the application has left in the shared folder: results of its queries can't be read any more."""
+    root = _ROOTS.pop(app or spark.sparkContext.applicationId, None)
+    if root:
+        with contextlib.suppress(Exception):  # at the end of Python the session may have gone before
+            delete(spark, root)
+
+
 class Scratch:
-    """Tables written to the shared folder to cut lineage, and their removal."""
+    """Tables written to the shared folder to cut lineage. What a result no longer needs is dropped at
+    once, what it reads lives until the application ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.n = spark, 0
-        self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.root = f"{application_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def path(self, label: str) -> str:
         self.n += 1
@@ -63,8 +90,10 @@ class Scratch:
         return out
 
     def drop(self, *tables: DataFrame) -> None:
+        """Delete tables; those that aren't written ones (an empty result, say) hold nothing."""
         for t in tables:
-            delete(self.spark, t._skein_path)
+            if path := getattr(t, "_skein_path", None):
+                delete(self.spark, path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
