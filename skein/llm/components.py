@@ -15,9 +15,25 @@ from pyspark.sql import functions as F
 
 from skein.session import Scratch
 
+#: a key with more than this part of all rows is looked up apart; there are fewer such keys than that
+HOT = 1000
+
+
+def lookup(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with the one row of ``values`` for their key, whose ``n`` tells how many rows have it.
+
+    A key with more than a thousandth of all rows would be one task's burden. There are fewer
+    than a thousand of these, whatever the size of the input: they are broadcast, and only the
+    other rows are shuffled by their key. Both inputs should be written tables.
+    """
+    total = values.agg(F.sum("n")).first()[0] or 0
+    hot = values.filter(F.col("n") * HOT > total).drop("n")
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(values.filter(F.col("n") * HOT <= total).drop("n"), key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
 
 def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """(node, component) for each node that has an edge; ``edges`` are (a, b), in any direction.
+    """(node, component), a written table, for each node that has an edge; ``edges`` are (a, b), in any direction.
 
     Loops and repeated edges do no harm; without edges the result is empty. Firsts are
     partial aggregates, and look-ups are joins that split large keys, so one component with
@@ -43,4 +59,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
     scratch.drop(left)
     if known is None:
         return spark.createDataFrame([], "node long, component long")
-    return known.join(known.groupBy("label").agg(F.min("node").alias("component")), "label").select("node", "component")
+    smallest = scratch.table(known.groupBy("label").agg(F.min("node").alias("component"), F.count("*").alias("n")), "smallest")
+    out = scratch.table(lookup(known, smallest, "label").select("node", "component"), "joined")
+    scratch.drop(known, smallest)
+    return out

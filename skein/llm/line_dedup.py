@@ -1,15 +1,16 @@
 """Fuzzy line deduplication: MinHash bands, exact Jaccard verification, distributed union-find.
 
 A line's set is its distinct character shingles (``WIDTH`` code points; A-Z lower-cased,
-blanks alike). Equal lines are one node from the start. ``BANDS`` bands of ``ROWS`` minima
-bring together lines that may be similar: at the threshold 0.75 two lines share a band with
-probability 0.99, at 0.85 with 0.9998. Buckets with the same members are taken once. A
-bucket's lines come to one task, which verifies on their sets as many pairs as it takes to
-know the components among them, and gives a tree of verified links for each; its memory is
-that of the bucket's distinct lines. Links of all buckets meet in the distributed
-union-find. One line of each component stays: the first by document id, then line.
-
-Lines of fewer than ``SHORTEST`` characters are left as they are: as sets they say too little.
+blanks alike); a shorter line is like its equals only. Equal lines are one node from the
+start. ``BANDS`` bands of ``ROWS`` minima bring together lines that may be similar: at the
+threshold 0.75 two lines share a band with probability 0.99, at 0.85 with 0.9998. Buckets
+with the same members are taken once. A task verifies on the sets of a bucket's lines as
+many pairs as it takes to know the components among them, and gives a tree of verified links
+for each. Buckets of more than ``PART`` lines are cut into parts, and any two parts meet in
+a task, so that memory is bounded and no pair is left out. Links of all buckets meet in the
+distributed union-find. One line of each component stays: the first by document id, then line.
+
+Blank lines hold no text and are never compared or removed.
 """
 
 from __future__ import annotations
@@ -23,14 +24,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.arrays import LOWER, bounds, buffers, distinct_by_owner, lean, mix, slices
-from skein.llm.components import components
-from skein.llm.ngram_join import blocks
+from skein.llm.arrays import LOWER, NOT_BLANK, bounds, buffers, distinct_by_owner, lean, mix, slices
+from skein.llm.components import components, lookup
+from skein.llm.ngram_join import blocks, in_parts
+from skein.llm.rows import keys, named, once, same
+from skein.operators.ordering import running
 from skein.session import Scratch, ship_package
 
 WIDTH, BANDS, ROWS = 8, 12, 4
-SHORTEST = 20
 PERCENT = 75
+PART = 10_000
 FILTER_BITS = 26
 FOLD = LOWER.copy()
 FOLD[9:14] = 32
@@ -75,11 +78,10 @@ def line_shingles(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, n
     """Shingle hashes of each folded line (none if it is shorter than ``width``), and where each line's begin."""
     begin = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
     h, first = characters(np.frombuffer(b"".join(lines), np.uint8), begin)
-    step, size = np.uint64(0x9E3779B97F4A7C15), 1
+    step, size = 0x9E3779B97F4A7C15, 1
     while size < width:
-        h[: max(0, len(h) - size)] += h[size:] * step
-        step *= step
-        size *= 2
+        h[: max(0, len(h) - size)] += h[size:] * np.uint64(step)
+        step, size = step * step % (1 << 64), 2 * size
     keep = np.ones(len(h), bool)
     for k in range(1, width):  # the last places of a line begin no shingle
         ends = first[1:] - k
@@ -114,42 +116,61 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np
 
 
 class Lines:
-    """The lines of a run of texts that are long enough to be compared: folded, and their hashes."""
+    """The lines of a run of texts that aren't blank: folded, and their hashes; ``wide`` ones have shingles."""
 
     def __init__(self, column: pa.Array):
         data, offsets = buffers(column)
         starts, ends, first = line_spans(data, offsets)
         self.n_lines = np.where(column.is_null().to_numpy(zero_copy_only=False), 0, np.diff(first))
-        lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)])
-        long = lead[ends] - lead[starts] >= SHORTEST
+        seen = np.concatenate([[0], np.cumsum(NOT_BLANK[data], dtype=np.int32)])
+        some = seen[ends] > seen[starts]
         number = np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))
-        self.number = number[long]
-        self.first = np.concatenate([[0], np.cumsum(long)])[first]
+        self.number = number[some]
+        self.first = np.concatenate([[0], np.cumsum(some)])[first]
+        self.starts, self.ends = starts[some], ends[some]
         folded = data.tobytes().translate(_TABLE)
-        self.lines = [folded[a:b] for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
-        self.hashes = np.array([xxhash.xxh64_intdigest(x) for x in self.lines], np.uint64)
+        self.lines = [folded[a:b] for a, b in zip(self.starts.tolist(), self.ends.tolist(), strict=True)]
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.lines), np.uint64, len(self.lines))
+        self.data = data
+
+    def wide(self) -> np.ndarray:
+        """Which lines have ``WIDTH`` code points or more."""
+        lead = np.concatenate([[0], np.cumsum((self.data & 0xC0) != 0x80, dtype=np.int32)])
+        return lead[self.ends] - lead[self.starts] >= WIDTH
 
     def new(self, seen: set[int]) -> np.ndarray:
-        """Places of the distinct lines that this task hasn't met; they are met now."""
+        """Places of the distinct wide lines that this task hasn't met; they are met now."""
         distinct, where = np.unique(self.hashes, return_index=True)
-        out = np.array([i for i, h in zip(where.tolist(), distinct.tolist(), strict=True) if h not in seen], np.int64)
-        seen.update(distinct.tolist())
+        ok = self.wide()[where]
+        where, distinct = where[ok], distinct[ok].tolist()
+        out = where[np.fromiter((h not in seen for h in distinct), bool, len(distinct))]
+        seen.update(distinct)
         if len(seen) > 500_000:
             seen.clear()
         return out
 
 
 def number_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, numbers, hashes) of each document's comparable lines."""
+    """(doc_id, text_hash, n_lines, numbers, hashes, again) of each document: of its distinct lines the first
+    place and the hash, and the places of those that stand earlier in the document. ``docs`` are (doc_id, text_hash, text).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
                 x = Lines(part.column("text"))
-                at = pa.array(x.first, pa.int32())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(x.n_lines, pa.int64()), pa.ListArray.from_arrays(at, pa.array(x.number, pa.int32())), pa.ListArray.from_arrays(at, pa.array(x.hashes.view(np.int64)))], ["doc_id", "n_lines", "numbers", "hashes"])
+                owner = np.repeat(np.arange(part.num_rows), np.diff(x.first))
+                order = np.lexsort((x.hashes, owner))  # stable: equal lines of a text keep their order
+                fresh = np.ones(len(order), bool)
+                fresh[1:] = (x.hashes[order][1:] != x.hashes[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+                firsts, again = order[fresh], np.sort(order[~fresh])
+                at, more = (pa.array(bounds(owner[k], part.num_rows), pa.int32()) for k in (firsts, again))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(x.n_lines, pa.int64()), pa.ListArray.from_arrays(at, pa.array(x.number[firsts], pa.int32())), pa.ListArray.from_arrays(at, pa.array(x.hashes[firsts].view(np.int64))), pa.ListArray.from_arrays(more, pa.array(x.number[again], pa.int32()))],
+                    ["doc_id", "text_hash", "n_lines", "numbers", "hashes", "again"],
+                )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n_lines long, numbers array<int>, hashes array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, n_lines long, numbers array<int>, hashes array<long>, again array<int>")
 
 
 def line_buckets(docs: DataFrame) -> DataFrame:
@@ -246,8 +267,27 @@ def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[in
     return links
 
 
-def verified_links(members: DataFrame) -> DataFrame:
-    """(a, b): links of all buckets, from rows (token, node, text)."""
+def pair_links(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether set i and set i + 1 are linked, for each i in ``first``; sets are sorted and lie in ``values[at[i]:at[i + 1]]``."""
+    if not len(first):
+        return np.zeros(0, bool)
+    one, two = at[first + 1] - at[first], at[first + 2] - at[first + 1]
+    n = one + two
+    begin = np.cumsum(n) - n
+    take = np.arange(int(n.sum())) - np.repeat(begin, n) + np.repeat(at[first], n)
+    own = np.repeat(np.arange(len(first)), n)
+    marked = mix(values[take] ^ mix(own.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(marked)
+    marked, owner = marked[order], own[order]
+    equal = (marked[1:] == marked[:-1]) & (owner[1:] == owner[:-1])
+    both = np.bincount(owner[1:][equal], minlength=len(first))
+    return 100 * both >= PERCENT * (n - both)
+
+
+def verified_links(members: DataFrame, texts: DataFrame, part: int | None = None) -> DataFrame:
+    """(a, b): links of all buckets, from (token, node) and (node, text). A task holds one bucket, or two
+    parts of a bucket of more than ``part`` lines.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token: list[int] = []
@@ -258,12 +298,13 @@ def verified_links(members: DataFrame) -> DataFrame:
             hashes, first = line_shingles(text[:upto])
             values, owner = distinct_by_owner(hashes, np.repeat(np.arange(upto), np.diff(first)))
             at = bounds(owner, upto)
-            cuts = [0, *(np.flatnonzero(np.diff(np.array(token[:upto]))) + 1).tolist(), upto]
-            found = []
-            for i, j in zip(cuts, cuts[1:], strict=False):
-                if j - i > 1:
-                    part = slice(at[i], at[j])
-                    found += [(node[i + x], node[i + y]) for x, y in bucket_links(values[part], owner[part] - i, j - i)]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.array(token[:upto]))) + 1, [upto]])
+            two = cuts[:-1][np.diff(cuts) == 2]
+            found = [(node[i], node[i + 1]) for i in two[pair_links(values, at, two)].tolist()]
+            many = np.diff(cuts) > 2
+            for i, j in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist(), strict=True):
+                own = slice(at[i], at[j])
+                found += [(node[i + x], node[i + y]) for x, y in bucket_links(values[own], owner[own] - i, j - i)]
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         for batch in batches:
@@ -279,55 +320,70 @@ def verified_links(members: DataFrame) -> DataFrame:
         if token:
             yield out(len(token))
 
-    return members.repartition("token").sortWithinPartitions("token", "node").select("token", "node", "text").mapInArrow(lean(run), "a long, b long").distinct()
+    spread = in_parts(members, part or PART).select(F.xxhash64("token", "part").alias("token"), "node").join(texts, "node").select("token", "node", "text")
+    return spread.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the distinct lines that are linked with another one; ``docs`` has the column text."""
     found = scratch.table(blocks(line_buckets(docs)), "blocks")
-    spark.sparkContext._jvm.System.gc()
     kept = found.join(found.groupBy("digest").agg(F.min("token").alias("token")), ["digest", "token"], "left_semi")
     members = scratch.table(kept.selectExpr("token", "cls AS node").distinct(), "members")
     scratch.drop(found)
     texts = scratch.table(texts_of(docs, members.select("node").distinct()), "texts")
-    spark.sparkContext._jvm.System.gc()
-    links = scratch.table(verified_links(members.join(texts, "node")), "links")
-    return scratch.table(components(spark, links), "joined")
+    links = scratch.table(verified_links(members, texts), "links")
+    scratch.drop(members, texts)
+    joined = components(spark, links, scratch)
+    scratch.drop(links)
+    return joined
 
 
 def duplicate_lines(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_lines, removed) for each document: its lines, and the numbers (from 0) of those that a line
+    """(doc_id, text_hash, n_lines, removed) for each row: its lines, and the numbers (from 0) of those that a line
     kept elsewhere, or earlier in the document, stands for.
 
-    Null text has no lines; an empty text has one, which is too short to be compared. Keys
-    must be unique longs; rows without a key are left out.
+    Null text has no lines; an empty text has one, a blank one. Rows are told apart even if their
+    keys are equal or null: they are ordered by key (null last), then text, and all are returned.
+    The result is a table in the shared folder.
     """
     ship_package(spark)
     scratch = Scratch(spark, "lines")
-    docs = docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL")
-    rows = scratch.table(number_lines(docs), "numbered")
+    docs = named(docs, key, text)
+    numbered = scratch.table(number_lines(docs).withColumn("row", F.monotonically_increasing_id()).withColumn("missing", F.col("doc_id").isNull()), "numbered")
+    ordered = running(spark, numbered, ["missing", "doc_id", "text_hash", "row"], "n_lines")
+    rows = scratch.table(ordered.select("row", "doc_id", "text_hash", "n_lines", "before", "numbers", "hashes", "again"), "ordered")
+    scratch.drop(numbered, ordered)
     joined = line_components(spark, docs.select("text"), scratch)
-    places = rows.selectExpr("doc_id", "explode(arrays_zip(numbers, hashes)) AS x").selectExpr("doc_id", "x.numbers AS number", "x.hashes AS node")
-    nodes = places.groupBy("node").agg(F.min(F.struct("doc_id", "number")).alias("first"), F.count("*").alias("times"))
-    named = nodes.join(joined, "node", "left")
-    leaders = named.filter("component IS NOT NULL").groupBy("component").agg(F.min("first").alias("stays"))
-    decided = named.join(leaders, "component", "left").filter("times > 1 OR component IS NOT NULL").selectExpr("node", "coalesce(stays, first) AS stays")
-    decided = scratch.table(decided, "decided")
-    gone = places.join(decided, "node").filter("NOT (stays.doc_id = doc_id AND stays.number = number)")
-    lists = gone.groupBy("doc_id").agg(F.array_sort(F.collect_list("number")).alias("removed"))
-    return rows.select("doc_id", "n_lines").join(lists, "doc_id", "left").selectExpr("doc_id", "n_lines", "coalesce(removed, array()) AS removed")
+    places = rows.selectExpr("row", "before", "explode(arrays_zip(numbers, hashes)) AS x").selectExpr("row", "before + x.numbers AS place", "x.hashes AS node", "x.numbers AS number")
+    nodes = places.groupBy("node").agg(F.min("place").alias("first"), F.count("*").alias("times"))
+    repeated = scratch.table(nodes.join(joined, "node", "left").filter("times > 1 OR component IS NOT NULL").select("node", "first", "component"), "repeated")
+    linked = repeated.filter("component IS NOT NULL")
+    leaders = scratch.table(linked.groupBy("component").agg(F.min("first").alias("stays"), F.count("*").alias("n")), "leaders")
+    decided = repeated.filter("component IS NULL").selectExpr("node", "first AS stays").unionByName(lookup(linked, leaders, "component").select("node", "stays"))
+    gone = places.join(decided, "node").filter("place <> stays")
+    lists = gone.groupBy("row").agg(F.collect_list("number").alias("more"))
+    found = rows.select("row", "doc_id", "text_hash", "n_lines", "again").join(lists, "row", "left").selectExpr("doc_id", "text_hash", "n_lines", "array_sort(if(more IS NULL, again, concat(again, more))) AS removed")
+    out = scratch.table(found, "found")
+    scratch.drop(rows, repeated, leaders, joined)
+    return out
 
 
 def drop_lines(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents without their removed lines; those of which nothing or only blank lines are left go.
 
-    Documents that lose no line, null ones too, stay as they are.
+    Documents that lose no line, null ones too, stay as they are. Of rows with equal key and
+    text that lose lines, one stays at most. ``found`` is what ``duplicate_lines`` gave for ``docs``.
     """
-    some = found.filter("size(removed) > 0").selectExpr("doc_id AS __key", "removed AS __removed", "n_lines AS __n")
-    joined = docs.join(some, F.col(f"`{key}`") == F.col("__key"), "left").filter("__removed IS NULL OR size(__removed) < __n")
-    kept = f"array_join(filter(split(`{text}`, '\\n', -1), (x, i) -> NOT array_contains(__removed, i)), '\\n')"
-    left = joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.expr(kept)))
-    return left.filter(F.col("__removed").isNull() | F.col(f"`{text}`").rlike(r"(?U)\S")).drop("__key", "__removed", "__n")
+    scratch = Scratch(docs.sparkSession, "dropped")
+    size = F.size("removed")
+    lost = found.groupBy("doc_id", "text_hash").agg(F.min_by("removed", size).alias("__removed"), (F.max(size) > F.min(size)).alias("unlike")).filter("unlike OR size(__removed) > 0")
+    lost = scratch.table(lost, "lost")
+    kept = once(docs, scratch.table(lost.filter("unlike"), "unlike"), key, text)
+    joined = kept.join(keys(lost.filter("size(__removed) > 0"), "__removed"), same(key, text), "left")
+    rest = "array_except(sequence(0, size(lines) - 1), __removed)"  # a set operation: linear in the lines
+    left = f"array_join(get(transform(array(split(`{text}`, '\n', -1)), lines -> transform({rest}, i -> get(lines, i))), 0), '\n')"
+    out = joined.withColumn(text, F.when(F.col("__removed").isNull(), F.col(f"`{text}`")).otherwise(F.expr(left)))
+    return out.filter(F.col("__removed").isNull() | F.col(f"`{text}`").rlike(r"(?U)\S")).drop("__key", "__hash", "__removed")
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -29,21 +29,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, lean, mix, shingles, slices, words
-from skein.llm.components import components
+from skein.llm.components import components, lookup
+from skein.llm.rows import keys, named, once, same
 from skein.session import Scratch, ship_package
 
 GROUPS = 256
 LEAF, FANOUT = 32, 8
 LEADERS = 256
+PART = 20_000
 FREQUENT = 16
 MOST_FREQUENT = 1_000_000
 
 
-def document_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
+def document_sets(column: pa.Array, width: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingles of all texts of a column, and where each text's begin."""
     data, offsets = buffers(column)
     starts, ends, first = words(data, offsets, NOT_BLANK)
-    values, owner = distinct_by_owner(*shingles(hash_spans(data, starts, ends), first, width))
+    values, owner = distinct_by_owner(*shingles(hash_spans(data, starts, ends, seed=seed), first, width))
     return values, bounds(owner, len(offsets) - 1)
 
 
@@ -129,19 +131,19 @@ class RTree:
         return found[ok], bound[ok]
 
 
-def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """doc_id, n (set size), cls (hash of the set), point of each document."""
+def describe(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_hash, n (set size), cls (hash of the set), point of each row (doc_id, text_hash, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                values, first = document_sets(part.column(1), width)
+                values, first = document_sets(part.column(2), width)
                 points = group_counts(values, first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.diff(first)), pa.array(class_ids(values, first).view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())], ["doc_id", "n", "cls", "point"]
+                    [part.column(0), part.column(1), pa.array(np.diff(first)), pa.array(class_ids(values, first).view(np.int64)), pa.array([p.tobytes() for p in points], pa.binary())], ["doc_id", "text_hash", "n", "cls", "point"]
                 )
 
-    return docs.mapInArrow(lean(run), "doc_id long, n long, cls long, point binary")
+    return docs.mapInArrow(lean(run), "doc_id long, text_hash long, n long, cls long, point binary")
 
 
 def new_sets(part: pa.RecordBatch, width: int, seen: set[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -256,8 +258,9 @@ def prefixes(docs: DataFrame, width: int, percent: int, sent) -> DataFrame:
 def blocks(tokens: DataFrame) -> DataFrame:
     """(digest, token, cls) of the tokens that two classes or more have; the digest is of all members.
 
-    Rows stream past in the order of their token. Only a run that lies across two Arrow
-    batches is held, two million rows of it at most; a longer one goes on under its own digest.
+    Rows stream past in the order of their token alone, which is a radix sort. Only a run that
+    lies across two Arrow batches is held, two million rows of it at most; a longer one goes on
+    under its own digest.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,6 +269,14 @@ def blocks(tokens: DataFrame) -> DataFrame:
         done: set[int] = set()
 
         def emit(t: np.ndarray, c: np.ndarray) -> pa.RecordBatch | None:
+            alone = np.ones(len(t), bool)
+            alone[1:] &= t[1:] != t[:-1]
+            alone[:-1] &= t[1:] != t[:-1]
+            if long_run is not None:
+                alone &= t != np.uint64(long_run)
+            t, c = t[~alone], c[~alone]
+            order = np.lexsort((c, t))
+            t, c = t[order], c[order]
             fresh = np.ones(len(t), bool)
             fresh[1:] = (t[1:] != t[:-1]) | (c[1:] != c[:-1])
             t, c = t[fresh], c[fresh]
@@ -273,14 +284,16 @@ def blocks(tokens: DataFrame) -> DataFrame:
             size = np.diff(np.append(begin, len(t)))
             digest = mix(np.add.reduceat(mix(c), begin) + size.astype(np.uint64)) if len(t) else begin.astype(np.uint64)
             keep = size > 1
-            for i in np.flatnonzero(keep):
-                if int(digest[i]) in done:
+            if long_run is not None:
+                going_on = t[begin] == np.uint64(long_run)
+                keep |= going_on
+                digest[going_on] = long_run
+            for i in np.flatnonzero(keep).tolist():
+                d = int(digest[i])
+                if d != long_run and d in done:
                     keep[i] = False
                 elif len(done) < 500_000:
-                    done.add(int(digest[i]))
-                if int(t[begin[i]]) == long_run:
-                    keep[i] = True
-                    digest[i] = t[begin[i]]
+                    done.add(d)
             rows = np.repeat(keep, size)
             if not rows.any():
                 return None
@@ -300,7 +313,18 @@ def blocks(tokens: DataFrame) -> DataFrame:
         if len(token) and (out := emit(token, cls)) is not None:
             yield out
 
-    return tokens.repartition("token").sortWithinPartitions("token", "cls").mapInArrow(lean(run), "digest long, token long, cls long")
+    return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), "digest long, token long, cls long")
+
+
+def in_parts(members: DataFrame, part: int) -> DataFrame:
+    """``members`` (a written table with token and node) with ``part``: 0, but in blocks of more than ``part`` rows a
+    number for each two parts, one of them the member's own. Any two members of a block meet under some
+    number, and about ``part`` rows have the same one.
+    """
+    large = members.groupBy("token").agg(F.count("*").alias("k")).filter(f"k > {part}").selectExpr("token", f"cast(ceil(2 * k / {part}) AS long) AS parts")
+    own = members.join(large, "token", "left").withColumn("own", F.expr("pmod(xxhash64(node), parts)"))
+    meets = "transform(filter(sequence(0L, parts - 1), o -> o <> own), o -> least(o, own) * parts + greatest(o, own))"
+    return own.withColumn("part", F.explode(F.expr(f"if(parts IS NULL, array(0L), {meets})"))).drop("parts", "own")
 
 
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
@@ -333,16 +357,17 @@ def first_pairs(members: DataFrame, percent: int) -> DataFrame:
     return sorted_rows.select("token", "node", "n", "point").mapInArrow(lean(run), "a long, b long").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").filter("a < b").distinct()
 
 
-def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
+def later_pairs(members: DataFrame, percent: int, width: int, part: int | None = None) -> DataFrame:
     """(a, b, token) candidates between components that the R-tree of a block finds.
 
     Of each point's candidates in one other component the ``width`` with the best bounds; if
     that left some, the block's token is set, for a wider round. A block without is done with:
-    components only grow. A pair is given in the block of the smallest token that both have.
+    components only grow. A pair is given in the block of the smallest token that both have. Of blocks
+    with more than ``part`` members any two parts meet in a task.
     """
 
     def pairs(rows: list[tuple]) -> Iterator[tuple[int, int, int | None]]:
-        token = rows[0][0]
+        token = rows[0][0][0]
         node = np.array([r[1] for r in rows])
         size = np.array([r[2] for r in rows])
         grid = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, GROUPS)
@@ -375,7 +400,7 @@ def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                row = (*row[:5], frozenset(row[5]))
+                row = ((row[0], row[6]), *row[1:5], frozenset(row[5]))
                 if held and held[0][0] != row[0]:
                     yield out()
                     held = []
@@ -383,17 +408,21 @@ def later_pairs(members: DataFrame, percent: int, width: int) -> DataFrame:
         if held:
             yield out()
 
-    sorted_rows = members.repartition("token").sortWithinPartitions("token", "node")
-    return sorted_rows.select("token", "node", "n", "point", "component", "tokens").mapInArrow(lean(run), "a long, b long, token long")
+    sorted_rows = in_parts(members, part or PART).repartition("token", "part").sortWithinPartitions("token", "part", "node")
+    return sorted_rows.select("token", "node", "n", "point", "component", "tokens", "part").mapInArrow(lean(run), "a long, b long, token long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(a, b, linked): the exact decision on the sets of both documents, made from their whole texts."""
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, repeated: bool = True) -> DataFrame:
+    """(a, b, linked): the exact decision on the words of both texts, whole, under another hash.
+
+    ``nodes`` (node, doc_id, text_hash) tell which row stands for a class; where rows of equal key
+    and text are ``repeated``, one of them is taken.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                values, first = document_sets(part.column(1), width)
+                values, first = document_sets(part.column(1), width, seed=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["node", "shingles"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,58 +434,85 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    asked = pairs.selectExpr("explode(array(a, b)) AS node").distinct()
-    have = docs.selectExpr("doc_id AS node", "text").join(asked, "node", "left_semi").mapInArrow(lean(sets), "node long, shingles binary")
+    asked = nodes.join(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "node")
+    found = docs.select("doc_id", "text_hash", "text").join(keys(asked, "node"), F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
+    found = found.dropDuplicates(["node"]) if repeated else found
+    have = found.mapInArrow(lean(sets), "node long, shingles binary")
     joined = pairs.join(have.selectExpr("node AS a", "shingles AS x"), "a").join(have.selectExpr("node AS b", "shingles AS y"), "b")
     return joined.select("a", "b", "x", "y").mapInArrow(lean(decide), "a long, b long, linked boolean")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each document: its set's size and the smallest key reachable by links.
+    """(doc_id, text_hash, n_shingles, component_id, stays) for each row: its set's size, the smallest key reachable
+    by links, and whether it is the first of those rows (by key, null last, then text).
 
     Two documents link if 100 * overlap >= percent * union of their shingle sets. Null and
-    blank texts have empty sets and are linked with nothing. Keys must be unique longs; rows
-    without a key are left out. Intermediate tables are in the shared folder.
+    blank texts have empty sets, are linked with nothing and stay. Rows are told apart even if
+    their keys are equal or null; a group without any key has the component null. Rows with equal
+    key and text are the first together. Intermediate tables are in the shared folder.
     """
     ship_package(spark)
     scratch = Scratch(spark, "ngram")
-    docs = docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL")
-    sets = scratch.table(describe(docs, "doc_id", "text", width), "sets")
-    classes = scratch.table(sets.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("point").alias("point")), "classes")
+    docs = named(docs, key, text)
+    sets = scratch.table(describe(docs, width), "sets")
+    full = sets.filter("n > 0").groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("row"), F.first("n").alias("n"), F.first("point").alias("point"), F.count("*").alias("rows"))
+    classes = scratch.table(full.selectExpr("cls AS node", "row", "n", "point", "rows"), "classes")
     total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bare = docs.select("text")
     sent = spark.sparkContext.broadcast(frequent_shingles(bare, width, total, scratch))
-    spark.sparkContext._jvm.System.gc()
     found = scratch.table(blocks(prefixes(bare, width, percent, sent)), "blocks")
-    spark.sparkContext._jvm.System.gc()
+    sent.destroy()
     kept = found.join(found.groupBy("digest").agg(F.min("token").alias("token")), ["digest", "token"], "left_semi").select("token", "cls").distinct()
-    tokens = kept.groupBy("cls").agg(F.collect_list("token").alias("tokens"))
-    nodes = scratch.table(classes.join(tokens, "cls").selectExpr("node", "n", "point", "tokens", f"size(tokens) / (n - ceil({percent} * n / 100) + 1) AS central"), "nodes")
+    tokens = kept.groupBy("cls").agg(F.collect_list("token").alias("tokens")).withColumnRenamed("cls", "node")
+    nodes = scratch.table(classes.join(tokens, "node").selectExpr("node", "n", "point", "tokens", f"size(tokens) / (n - ceil({percent} * n / 100) + 1) AS central"), "nodes")
     scratch.drop(found)
+    rows_of = classes.selectExpr("node", "row.doc_id", "row.text_hash")
+    repeated = bool(sets.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count())
     members = nodes.select("*", F.explode("tokens").alias("token"))
     pairs = scratch.table(first_pairs(members, percent), "pairs")
-    checked = scratch.table(verify(pairs, docs, width, percent), "checked")
+    checked = scratch.table(verify(pairs, rows_of, docs, width, percent, repeated), "checked")
     scratch.drop(pairs)
     reach, left = 8, None
     while True:
-        joined = components(spark, checked.filter("linked").select("a", "b"))
+        joined = components(spark, checked.filter("linked").select("a", "b"), scratch)
         labelled = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = labelled.select("node", "n", "point", "component", "tokens", F.explode("tokens").alias("token"))
         if left is not None:
             rows = rows.join(left, "token", "left_semi")
         split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
-        asked = scratch.table(later_pairs(rows.join(split, "token", "left_semi"), percent, reach), "asked")
+        open_rows = scratch.table(rows.join(split, "token", "left_semi"), "open")
+        asked = scratch.table(later_pairs(open_rows, percent, reach), "asked")
+        scratch.drop(open_rows, joined)
         left = asked.filter("token IS NOT NULL").select("token").distinct()
         fresh = asked.filter("token IS NULL").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.table(fresh, "pairs")
         if pairs.limit(1).count():
-            after = scratch.table(checked.unionByName(verify(pairs, docs, width, percent)), "checked")
+            after = scratch.table(checked.unionByName(verify(pairs, rows_of, docs, width, percent, repeated)), "checked")
             scratch.drop(checked)
             checked = after
         scratch.drop(pairs)
         if not left.limit(1).count():
             break
         reach *= 8
-    joined = scratch.table(components(spark, checked.filter("linked").select("a", "b")), "joined")
-    named = classes.join(joined, "node", "left").selectExpr("cls", "coalesce(component, node) AS component_id")
-    return sets.select("doc_id", "n", "cls").join(named, "cls", "left").selectExpr("doc_id", "n AS n_shingles", "if(n = 0, doc_id, component_id) AS component_id")
+    joined = components(spark, checked.filter("linked").select("a", "b"), scratch)
+    labelled = scratch.table(classes.join(joined, "node", "left").selectExpr("node", "coalesce(component, node) AS label", "row", "rows"), "labelled")
+    firsts = scratch.table(labelled.groupBy("label").agg(F.min("row").alias("first"), F.count("*").alias("n")), "firsts")
+    told = scratch.table(lookup(labelled, firsts, "label").selectExpr("node AS cls", "first", "rows AS n"), "told")
+    out = lookup(sets.filter("n > 0").select("doc_id", "text_hash", F.col("n").alias("n_shingles"), "cls"), told, "cls")
+    out = out.selectExpr("doc_id", "text_hash", "n_shingles", "first.doc_id AS component_id", "doc_id <=> first.doc_id AND text_hash = first.text_hash AS stays")
+    empty = sets.filter("n = 0").selectExpr("doc_id", "text_hash", "n AS n_shingles", "doc_id AS component_id", "true AS stays")
+    result = scratch.table(out.unionByName(empty), "result")
+    scratch.drop(sets, classes, nodes, checked, joined, labelled, firsts, told)
+    return result
+
+
+def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, one of each group, by what ``link_components`` found for them; texts without words all stay."""
+    gone = found.filter("NOT stays").select("doc_id", "text_hash").distinct()
+    kept = docs.join(keys(gone), same(key, text), "left_anti")
+    again = found.filter("stays AND n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
+    return once(kept, Scratch(docs.sparkSession, "kept").table(again.select("doc_id", "text_hash"), "again"), key, text)
+
+
+def digest(found: DataFrame) -> DataFrame:
+    return found.select("doc_id", "n_shingles", "component_id")

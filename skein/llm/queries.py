@@ -51,7 +51,7 @@ def op5_layout_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_count_vector_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.link_components(spark, documents(spark, sf_dir))
+    return ngram_join.digest(ngram_join.link_components(spark, documents(spark, sf_dir)))
 
 
 def op7_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:

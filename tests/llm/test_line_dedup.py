@@ -4,6 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from skein.llm import line_dedup, queries
+from skein.llm.ngram_join import in_parts
 
 SCHEMA = "line string, text string, doc_id long, removed int"
 
@@ -12,6 +13,10 @@ def frame(spark, texts):
     return spark.createDataFrame([("x", t, i, 1) for i, t in texts], SCHEMA).repartition(4)
 
 
+def blank(line):
+    return not line.strip(" \t\n\r\x0b\x0c")
+
+
 def fold(line):
     return "".join(" " if c in "\t\x0b\x0c\r" else c.lower() if c.isascii() else c for c in line)
 
@@ -27,7 +32,7 @@ def plain(texts, percent=75):
         lines = t.split("\n") if t is not None else []
         n[d] = len(lines)
         for k, line in enumerate(lines):
-            if len(line) >= 20:
+            if not blank(line):
                 places.setdefault(fold(line), []).append((d, k))
     nodes = list(places)
     sets = [shingles(x) for x in nodes]
@@ -98,14 +103,14 @@ def test_recall_at_all_similarities(spark):
 
 def test_odd_rows_and_drop(spark):
     long = "the same line stands here again"
-    texts = [(1, None), (2, ""), (3, long), (4, long.upper()), (5, f"a\n{long}\r\nb"), (6, "\n\n"), (7, f"{long}\n{long}"), (8, "z" * 50_000), (9, "z" * 50_000 + "!"), (10, "é" * 19), (11, "é" * 19), (12, "é" * 20), (13, "é" * 20)]
+    texts = [(1, None), (2, ""), (3, long), (4, long.upper()), (5, f"a\n{long}\r\nb"), (6, "\n\n"), (7, f"{long}\n{long}"), (8, "z" * 50_000), (9, "z" * 50_000 + "!"), (10, "é" * 3), (11, "é" * 3), (12, "é" * 20), (13, "é" * 20), (14, "é" * 4)]
     found = line_dedup.duplicate_lines(spark, frame(spark, texts))
     got = {r.doc_id: (r.n_lines, r.removed) for r in found.collect()}
     want = plain(texts)[0]
     assert got == want and got[1] == (0, []) and got[2] == (1, [])
     kept = {r.doc_id: r.text for r in line_dedup.drop_lines(frame(spark, texts), found).collect()}
-    assert kept[1] is None and kept[2] == "" and kept[5] == "a\nb" and 4 not in kept and 7 not in kept and kept[10] == kept[11]
-    assert 13 not in kept and kept[6] == "\n\n"
+    assert kept[1] is None and kept[2] == "" and kept[5] == "a\nb" and 4 not in kept and 7 not in kept and 11 not in kept
+    assert 13 not in kept and kept[6] == "\n\n" and kept[14] == "é" * 4
     assert line_dedup.duplicate_lines(spark, frame(spark, [])).count() == 0
 
 
@@ -117,6 +122,48 @@ def test_documents_with_only_blank_lines_left_go(spark):
     assert kept == {1: texts[0][1], 4: "more", 5: "\n"}
 
 
+def test_short_lines_go_if_they_are_equal(spark):
+    texts = [(1, "Ab\n\nend"), (2, "aB\n\t\n\nac"), (3, "end\nend\n  \nseven_7"), (4, "seven_8\neight__8"), (5, "eight__9\nEIGHT__8")]
+    want, _ = plain(texts)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.duplicate_lines(spark, frame(spark, texts)).collect()}
+    assert got == want and [got[i][1] for i in (1, 2, 3, 4, 5)] == [[], [0], [0, 1], [], [1]]
+
+
+def test_repeated_and_null_keys_are_rows_of_their_own(spark):
+    one, two, three = "first line of some text", "second line, unlike the first", "a third line"
+    texts = [(5, f"{one}\n{two}"), (5, f"{one}\n{two}"), (5, f"{three}\n{one}"), (None, f"{two}\nonly here, without any key"), (None, three), (None, three), (None, None), (None, "\n"), (None, "\n")]
+    found = line_dedup.duplicate_lines(spark, frame(spark, texts))
+    rows = sorted((r.doc_id is None, r.n_lines, len(r.removed)) for r in found.collect())
+    assert len(rows) == len(texts) and sum(r[2] for r in rows) == 2 + 1 + 1 + 2 and all(n == 0 for miss, _, n in rows if not miss) is False
+    kept = line_dedup.drop_lines(frame(spark, texts), found).collect()
+    left = sorted(x for r in kept for x in (r.text or "").split("\n") if x)
+    assert left == sorted([one, two, three, "only here, without any key"])
+    assert sum(r.text is None for r in kept) == 1 and sum(r.text == "\n" for r in kept) == 2 and sum(r.doc_id == 5 for r in kept) == 2
+
+
+def test_large_buckets_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "PART", 12)
+    rng = random.Random(12)
+    base = "".join(rng.choices("abcdefghijklmnopqrstuvw ", k=120))
+    texts = [(i, edit(rng, base, rng.choice([0, 1, 1, 2, 3]))) for i in range(150)]
+    want, _ = plain(texts)
+    got = {r.doc_id: (r.n_lines, r.removed) for r in line_dedup.duplicate_lines(spark, frame(spark, texts)).collect()}
+    assert sum(got[d] == want[d] for d in want) >= 148
+    members = spark.createDataFrame([(7, i) for i in range(60)] + [(8, i) for i in range(5)], "token long, node long")
+    parts = {}
+    for r in in_parts(members, 12).collect():
+        parts.setdefault((r.token, r.part), set()).add(r.node)
+    assert all(any({a, b} <= s for (t, _), s in parts.items() if t == 7) for a in range(60) for b in range(60)) and len(parts) > 10 and parts[8, 0] == set(range(5))
+
+
+def test_long_text_with_many_lines_is_linear(spark):
+    lines = [f"line number {i:07d} of a long text" for i in range(200_000)]
+    texts = [(1, "\n".join(lines)), (2, "\n".join([*lines[::-1], "one more"]))]
+    df = frame(spark, texts)
+    kept = {r.doc_id: r.text for r in line_dedup.drop_lines(df, spark.createDataFrame([(2, None, 200_001, list(range(200_000)))], "doc_id long, text_hash long, n_lines long, removed array<int>").join(df.selectExpr("doc_id", "xxhash64(text) AS h"), "doc_id").selectExpr("doc_id", "h AS text_hash", "n_lines", "removed")).collect()}
+    assert kept == {1: texts[0][1], 2: "one more"}
+
+
 def test_query_against_all_pairs(spark):
     t = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).to_pylist()
     want, _ = plain([(r["doc_id"], r["text"]) for r in t])
