@@ -34,12 +34,12 @@ from skein.session import Scratch, ship_package
 WIDTH, BANDS, ROWS = 8, 12, 4
 PERCENT = 75
 PART = 10_000
+SMALL = 64
 FILTER_BITS = 26
 FOLD = LOWER.copy()
 FOLD[9:14] = 32
 _TABLE = FOLD.tobytes()
 _RNG = np.random.default_rng(20)
-_XOR = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 _MUL = _RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 
 
@@ -102,16 +102,13 @@ def band_keys(hashes: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np
         part, begin = short[first[i] : first[j]], first[i:j] - first[i]
         moved = np.empty_like(part)
         for r in range(BANDS * ROWS):
-            np.bitwise_xor(part, _XOR[r], out=moved)
-            np.multiply(moved, _MUL[r], out=moved)
+            np.multiply(part, _MUL[r], out=moved)
             np.minimum.reduceat(moved, begin, out=minima[r, i:j])
         i = j
     out = np.empty((len(first) - 1, BANDS), np.uint64)
     for b in range(BANDS):
-        key = np.full(len(first) - 1, b + 1, np.uint64)
-        for r in range(b * ROWS, (b + 1) * ROWS):
-            key = mix(key + minima[r].astype(np.uint64))
-        out[:, b] = key
+        one, two, three, four = minima[b * ROWS : (b + 1) * ROWS].astype(np.uint64)
+        out[:, b] = mix(mix((one << np.uint64(32) | two) + np.uint64(b + 1)) + (three << np.uint64(32) | four))
     return out
 
 
@@ -219,19 +216,17 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[int, int]]:
     """Verified links that connect what all verified links among ``n`` sets would connect.
 
-    A set is expanded by counting its shingles in the others' through their inverted lists.
-    Sets that no expansion has reached are expanded in turn; then all sets outside the largest
-    component, so that no link between components can be left unseen.
+    A set is expanded by counting its shingles in all others: in a small bucket by looking all
+    shingles up in the set, in a larger one through inverted lists. Sets that no expansion has
+    reached are expanded in turn; then all sets outside the largest component, so that no link
+    between components can be left unseen.
     """
-    begin = bounds(owner, n)
-    size = np.diff(begin)
     if n == 2:
-        both = len(np.intersect1d(values[: begin[1]], values[begin[1] :], assume_unique=True))
+        both = pair_overlap(values)
         return [(0, 1)] if 100 * both >= PERCENT * (len(values) - both) else []
-    shingle = np.unique(values, return_inverse=True)[1]
-    order = np.argsort(shingle, kind="stable")
-    lists = owner[order]
-    start = np.searchsorted(shingle[order], np.arange(int(shingle.max(initial=-1)) + 2))
+    begin = bounds(owner, n)
+    size = np.diff(begin)
+    counts = small_counts(values, owner, begin, n) if n <= SMALL else listed_counts(values, owner, begin, n)
     root = list(range(n))
     links: list[tuple[int, int]] = []
     expanded = np.zeros(n, bool)
@@ -245,10 +240,7 @@ def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[in
 
     def expand(i: int) -> None:
         expanded[i] = True
-        own = shingle[begin[i] : begin[i + 1]]
-        low, count = start[own], start[own + 1] - start[own]
-        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        both = np.bincount(lists[at], minlength=n)
+        both = counts(i)
         for j in np.flatnonzero(100 * both >= PERCENT * (size + size[i] - both)).tolist():
             reached[j] = True
             a, b = find(i), find(j)
@@ -267,21 +259,34 @@ def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[in
     return links
 
 
-def pair_links(values: np.ndarray, at: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Whether set i and set i + 1 are linked, for each i in ``first``; sets are sorted and lie in ``values[at[i]:at[i + 1]]``."""
-    if not len(first):
-        return np.zeros(0, bool)
-    one, two = at[first + 1] - at[first], at[first + 2] - at[first + 1]
-    n = one + two
-    begin = np.cumsum(n) - n
-    take = np.arange(int(n.sum())) - np.repeat(begin, n) + np.repeat(at[first], n)
-    own = np.repeat(np.arange(len(first)), n)
-    marked = mix(values[take] ^ mix(own.astype(np.uint64) + np.uint64(1)))
-    order = np.argsort(marked)
-    marked, owner = marked[order], own[order]
-    equal = (marked[1:] == marked[:-1]) & (owner[1:] == owner[:-1])
-    both = np.bincount(owner[1:][equal], minlength=len(first))
-    return 100 * both >= PERCENT * (n - both)
+def pair_overlap(both: np.ndarray) -> int:
+    """How many values two sets share that stand in ``both`` one after the other."""
+    both = np.sort(both)
+    return np.count_nonzero(both[1:] == both[:-1])
+
+
+def small_counts(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, n: int):
+    def counts(i: int) -> np.ndarray:
+        own = values[begin[i] : begin[i + 1]]
+        found = own[np.minimum(np.searchsorted(own, values), len(own) - 1)] == values
+        return np.bincount(owner[found], minlength=n)
+
+    return counts
+
+
+def listed_counts(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, n: int):
+    shingle = np.unique(values, return_inverse=True)[1]
+    order = np.argsort(shingle, kind="stable")
+    lists = owner[order]
+    start = np.searchsorted(shingle[order], np.arange(int(shingle.max(initial=-1)) + 2))
+
+    def counts(i: int) -> np.ndarray:
+        own = shingle[begin[i] : begin[i + 1]]
+        low, count = start[own], start[own + 1] - start[own]
+        at = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+        return np.bincount(lists[at], minlength=n)
+
+    return counts
 
 
 def verified_links(members: DataFrame, texts: DataFrame, part: int | None = None) -> DataFrame:
@@ -299,9 +304,8 @@ def verified_links(members: DataFrame, texts: DataFrame, part: int | None = None
             values, owner = distinct_by_owner(hashes, np.repeat(np.arange(upto), np.diff(first)))
             at = bounds(owner, upto)
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(np.array(token[:upto]))) + 1, [upto]])
-            two = cuts[:-1][np.diff(cuts) == 2]
-            found = [(node[i], node[i + 1]) for i in two[pair_links(values, at, two)].tolist()]
-            many = np.diff(cuts) > 2
+            found = []
+            many = np.diff(cuts) > 1
             for i, j in zip(cuts[:-1][many].tolist(), cuts[1:][many].tolist(), strict=True):
                 own = slice(at[i], at[j])
                 found += [(node[i + x], node[i + y]) for x, y in bucket_links(values[own], owner[own] - i, j - i)]

@@ -9,15 +9,16 @@ A query window (``width`` consecutive test words) is answered from its rarest te
 posting proposes a start, and the other terms' lists, from rare to frequent, are met with
 their offsets taken off; what is left after all of them are exact phrase matches. Starts
 that miss at most m terms and have the others near their place are proximity matches; as one
-of any m + 1 terms must be there, the m + 1 rarest propose. All windows of a block are
-intersected together, on arrays.
+of any m + 1 terms must be there, the m + 1 rarest propose. Windows of fewer words may miss
+fewer, in proportion. All windows of a block are intersected together, on arrays.
 
-Test sets are taken in blocks of bounded size, each broadcast and met with all segments.
+Test sets are made into windows by tasks and taken in blocks of bounded size, each broadcast
+and met with all segments. A long item is spread over several blocks.
 """
 
 from __future__ import annotations
 
-import hashlib
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,12 +39,12 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
     """The segments: document keys, word counts and first positions; terms, list ends, postings.
 
     A segment holds about ``SEGMENT_BYTES`` of text and at least one document, so that memory
-    depends on neither the batch nor the partition. Null texts have no words. Keys are longs.
+    depends on neither the batch nor the partition. Null texts have no words. Keys are longs,
+    repeated or null ones too: a document is a segment's row and its place in there.
     """
     ship_package(docs.sparkSession)
 
-    def segment(rows: list[tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]]) -> dict:
-        keys = np.concatenate([r[0] for r in rows])
+    def segment(rows: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> dict:
         counts = np.concatenate([r[1] for r in rows])
         hashes = np.concatenate([r[2] for r in rows])
         begins = np.cumsum(counts + gap) - counts
@@ -51,7 +52,8 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
         order = np.argsort(hashes, kind="stable")
         terms, first = np.unique(hashes[order], return_index=True)
         ends = np.append(first[1:], len(hashes)) if len(terms) else first
-        return {"keys": keys.tolist(), "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].astype("<u4").tobytes()}
+        keys = pa.concat_arrays([r[0] for r in rows]).to_pylist()
+        return {"keys": keys, "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].astype("<u4").tobytes()}
 
     schema = pa.schema([("keys", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "begins", "terms", "lists", "postings"))])
 
@@ -61,7 +63,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
             for part in slices(batch, "text", 1 << 20):
                 data, offsets = buffers(part.column(1))
                 starts, ends, first = words(data, offsets, ALNUM)
-                held.append((part.column(0).to_numpy(zero_copy_only=False), np.diff(first), hash_spans(data, starts, ends)))
+                held.append((part.column(0), np.diff(first), hash_spans(data, starts, ends)))
                 size += len(data)
                 if size >= SEGMENT_BYTES:
                     yield pa.RecordBatch.from_pylist([segment(held)], schema)
@@ -69,14 +71,14 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
         if held:
             yield pa.RecordBatch.from_pylist([segment(held)], schema)
 
-    return docs.selectExpr(f"cast(`{key}` AS long) AS doc_id", f"`{text}` AS text").filter("doc_id IS NOT NULL").mapInArrow(lean(run), INDEX)
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), INDEX)
 
 
 class Segment:
     """One row of the index, with one sorted array of (term, position) for all look-ups."""
 
     def __init__(self, row: dict):
-        self.keys = np.array(row["keys"], np.int64)
+        self.keys = pa.array(row["keys"], pa.int64())
         self.counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
         self.begins = np.frombuffer(row["begins"], "<u4").astype(np.int64)
         self.terms = np.frombuffer(row["terms"], "<u8")
@@ -102,30 +104,31 @@ class Segment:
 class Windows:
     """A block of test items as windows: hashes by place (0 beyond a short one), lengths, owning items."""
 
-    def __init__(self, items: list[int], texts: list[str | None], width: int = WIDTH):
-        data, offsets = buffers(pa.array(texts, pa.string()))
+    def __init__(self, grid: np.ndarray, owner: np.ndarray):
+        self.grid, self.owner = grid, owner
+        self.length = (grid != 0).sum(axis=1)
+
+    @classmethod
+    def of(cls, items: list[int], texts: list[str | None] | pa.Array, width: int = WIDTH, most: int = BLOCK_WORDS) -> Iterator[Windows]:
+        """All windows of the items, ``most`` words of windows at a time."""
+        data, offsets = buffers(pa.array(texts, pa.string()) if isinstance(texts, list) else texts)
         starts, ends, first = words(data, offsets, ALNUM)
-        hashes = hash_spans(data, starts, ends)
-        rows, owners = [], []
-        for i, item in enumerate(items):
-            own = hashes[first[i] : first[i + 1]]
-            for at in range(max(1, len(own) - width + 1) if len(own) else 0):
-                row = np.zeros(width, np.uint64)
-                part = own[at : at + width]
-                row[: len(part)] = part
-                rows.append(row)
-                owners.append(item)
-        self.grid = np.array(rows, np.uint64).reshape(-1, width)
-        self.length = (self.grid != 0).sum(axis=1)
-        self.owner = np.array(owners, np.int64)
-
-    def words(self) -> int:
-        return self.grid.size
+        hashes = np.maximum(hash_spans(data, starts, ends), np.uint64(1))
+        n = np.diff(first)
+        k = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+        last = np.cumsum(k)
+        for lo in range(0, int(last[-1]) if len(k) else 0, max(1, most // width)):
+            nth = np.arange(lo, min(lo + max(1, most // width), int(last[-1])))
+            item = np.searchsorted(last, nth, side="right")
+            at = (nth - (last - k)[item] + first[item])[:, None] + np.arange(width)
+            grid = np.where(at < first[item + 1][:, None], hashes[np.minimum(at, len(hashes) - 1)], np.uint64(0))
+            yield cls(grid, np.asarray(items, np.int64)[item])
 
 
 def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(window, start) of all matches, each once. ``slop`` and ``misses`` 0: exact phrases; else each
-    term may stand ``slop`` from its place, and ``misses`` terms, but not all, may be missing.
+    term may stand ``slop`` from its place, and ``misses`` terms of a full window may be missing,
+    of a shorter one as many less in proportion.
     """
     none = np.zeros(0, np.int64)
     if not len(windows.grid) or not len(segment.pairs):
@@ -137,9 +140,10 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
     present = np.where(real & (rank < 0), np.iinfo(np.int64).max - 1, often)
     order = np.argsort(present, axis=1, kind="stable")
     absent = (real & (rank < 0)).sum(axis=1)
-    alive = np.flatnonzero((absent <= misses) & (absent < windows.length))
+    allowed = windows.length * misses // windows.grid.shape[1]
+    alive = np.flatnonzero((absent <= allowed) & (absent < windows.length))
     out_window, out_start = [], []
-    leads = np.minimum(misses - absent[alive] + 1, windows.length[alive] - absent[alive])  # the absent ones are missed anyway
+    leads = np.minimum(allowed[alive] - absent[alive] + 1, windows.length[alive] - absent[alive])  # the absent ones are missed anyway
     nth = np.arange(int(leads.sum())) - np.repeat(np.cumsum(leads) - leads, leads)
     alive = np.repeat(alive, leads)
     lead = order[alive, nth]
@@ -153,7 +157,7 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
             checked = real[window, place]
             term, target = rank[window, place], start + place
             missed += checked & ~segment.holds(term, target - reach, target + reach)
-            keep = (missed <= misses) & (missed < windows.length[window])
+            keep = (missed <= allowed[window]) & (missed < windows.length[window])
             window, start, missed = window[keep], start[keep], missed[keep]
             if not len(window):
                 break
@@ -183,11 +187,11 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
     return window, start
 
 
-MATCH = "doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<long>, near array<long>"
-_MATCH = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+MATCH = "segment long, place int, doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<long>, near array<long>"
+_MATCH = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
 
-def matches(segment: Segment, windows: Windows, slop: int, misses: int) -> pa.RecordBatch:
+def matches(number: int, segment: Segment, windows: Windows, slop: int, misses: int) -> pa.RecordBatch:
     """A row for each document: the merged runs of words inside exact matches, and the items of both kinds."""
     window, start = search(segment, windows)
     loose, near = search(segment, windows, slop, misses) if slop or misses else (window, start)
@@ -211,53 +215,85 @@ def matches(segment: Segment, windows: Windows, slop: int, misses: int) -> pa.Re
         pa.array(np.searchsorted(run_doc, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(low - shift, pa.int64()), pa.array(high - shift, pa.int64())], ["start", "stop"])
     )
     near_doc = np.clip(np.searchsorted(segment.begins, near + WIDTH // 2, side="right") - 1, 0, max(n - 1, 0))
-    return pa.RecordBatch.from_arrays([pa.array(segment.keys), pa.array(segment.counts), runs, lists(doc, windows.owner[window]), lists(near_doc, windows.owner[loose])], schema=_MATCH)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n), pa.int32()), segment.keys, pa.array(segment.counts), runs, lists(doc, windows.owner[window]), lists(near_doc, windows.owner[loose])], schema=_MATCH)
+
+
+def window_rows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
+    """(grid, owner) of the windows of all items, ``BLOCK_WORDS`` words at most in a row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                for w in Windows.of(part.column(0).to_numpy(), part.column(1)):
+                    yield pa.RecordBatch.from_pydict({"grid": pa.array([w.grid.tobytes()], pa.binary()), "owner": pa.array([w.owner.tobytes()], pa.binary())})
+
+    rows = benchmark.select(F.col(f"`{key}`").cast("long").alias("item"), F.col(f"`{text}`").alias("text"))
+    return rows.filter("item IS NOT NULL AND text IS NOT NULL").mapInArrow(lean(run), "grid binary, owner binary")
+
+
+def blocks(rows: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Windows]:
+    """The windows, rows put together to blocks of about ``limit`` words; only one is on the driver at a time."""
+    grids, owners, held = [], [], 0
 
+    def block() -> Windows:
+        return Windows(np.concatenate([np.zeros((0, WIDTH), np.uint64), *grids]), np.concatenate([np.zeros(0, np.int64), *owners]))
 
-def blocks(benchmark: DataFrame, key: str, text: str, limit: int = BLOCK_WORDS) -> Iterator[Windows]:
-    """The test items, in blocks of about ``limit`` words of windows; only one is on the driver at a time."""
-    items, texts, held = [], [], 0
-    for row in benchmark.selectExpr(f"cast(`{key}` AS long) AS item", f"`{text}` AS text").filter("item IS NOT NULL AND text IS NOT NULL").toLocalIterator():
-        items.append(row.item)
-        texts.append(row.text)
-        held += WIDTH * (1 + len(row.text) // 4)
+    for row in rows.toLocalIterator():
+        grids.append(np.frombuffer(row.grid, "<u8").reshape(-1, WIDTH))
+        owners.append(np.frombuffer(row.owner, "<i8"))
+        held += grids[-1].size
         if held >= limit:
-            yield Windows(items, texts)
-            items, texts, held = [], [], 0
-    yield Windows(items, texts)
+            yield block()
+            grids, owners, held = [], [], 0
+    if held:
+        yield block()
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int = 3, misses: int = 2) -> DataFrame:
-    """For each document: n_words, the runs of words hit, the items matched exactly and by proximity.
+    """For each row: doc_id, n_words, the runs of words hit, the items matched exactly and by proximity.
 
-    Null texts have no words; items without words match nothing; repeated items count once by
-    id; document keys must be unique. The index is written once to the shared folder. With
-    one block of test items (2 million words of windows) no row is shuffled; with more, the
-    rows of each document are brought together after each block has met all segments.
+    Null texts have no words; items without words or without an id match nothing; repeated items
+    count once by id. Rows are told apart by their place in the index, whatever their keys, however
+    many blocks (of 2 million words of windows) the items make. The index is written once to the
+    shared folder; documents are never shuffled. After each block has met all segments, what
+    was found for a row is put together; rows without a match in a block don't take part.
     """
     ship_package(spark)
     scratch = Scratch(spark, "index")
-    segments = scratch.table(index(docs, key, text), "segments")
-    found = None
-    many = False
-    for block in blocks(benchmark, item, item_text):
-        sent = spark.sparkContext.broadcast((block.grid, block.length, block.owner))
-        part = segments.mapInArrow(lean(_searcher(sent, slop, misses)), MATCH)
-        many = found is not None
-        found = found.unionByName(scratch.table(part, "block")) if many else scratch.table(part, "block")
-    scratch.drop(segments)
-    if not many:
-        return found
-    return found.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("runs", "items", "near")))
-
-
-def _searcher(sent, slop: int, misses: int):
+    segments = scratch.table(index(docs, key, text).withColumn("segment", F.monotonically_increasing_id()), "segments")
+    windows = scratch.table(window_rows(benchmark, item, item_text), "windows")
+    found: list[DataFrame] = []
+    for block in blocks(windows):
+        sent = spark.sparkContext.broadcast((block.grid, block.owner))
+        found.append(scratch.table(segments.mapInArrow(lean(_searcher(sent, slop, misses, len(found) > 0)), MATCH), "block"))
+        sent.destroy()
+    if not found:
+        none = spark.sparkContext.broadcast((np.zeros((0, WIDTH), np.uint64), np.zeros(0, np.int64)))
+        found.append(scratch.table(segments.mapInArrow(lean(_searcher(none, slop, misses, False)), MATCH), "block"))
+    scratch.drop(segments, windows)
+    first, *rest = found
+    if not rest:
+        return first.drop("segment", "place")
+    lists = ("runs", "items", "near")
+    more = functools.reduce(DataFrame.unionByName, [f.select("segment", "place", *lists) for f in rest])
+    more = more.groupBy("segment", "place").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
+    joined = first.join(more, ["segment", "place"], "left")
+    return joined.select("doc_id", "n_words", *(F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))))).alias(c) for c in lists))
+
+
+def _searcher(sent, slop: int, misses: int, only_found: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        windows = Windows([], [])
-        windows.grid, windows.length, windows.owner = sent.value
+        windows = Windows(*sent.value)
         for batch in batches:
             for i in range(batch.num_rows):
-                yield matches(Segment(batch.slice(i, 1).to_pylist()[0]), windows, slop, misses)
+                row = batch.slice(i, 1).to_pylist()[0]
+                out = matches(row["segment"], Segment(row), windows, slop, misses)
+                if only_found:
+                    some = np.zeros(out.num_rows, bool)
+                    for c in ("runs", "items", "near"):
+                        some |= np.diff(out.column(out.schema.get_field_index(c)).offsets.to_numpy()) > 0
+                    out = out.filter(pa.array(some))
+                yield out
 
     return run
 
