@@ -22,6 +22,9 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from functools import cache
+from itertools import groupby
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +49,28 @@ def byte_symbols() -> list[str]:
     return [chr(b) if b in set(plain) else chr(next(rest)) for b in range(256)]
 
 
+@cache
+def unassigned() -> Callable[[str], re.Match | None]:
+    """Search for a code point that Python's Unicode tables don't know. Letters that are newer than these
+    are known to some engines and not to others, so texts with one are split by the library itself.
+    """
+    ranges, code = [], 0
+    for unknown, run in groupby(range(0x110000), lambda c: category(chr(c)) == "Cn"):
+        n = sum(1 for _ in run)
+        if unknown:
+            ranges.append(f"{chr(code)}-{chr(code + n - 1)}")
+        code += n
+    return re.compile(f"[{''.join(ranges)}]").search
+
+
+_BYTE_OF = {c: b for b, c in enumerate(byte_symbols())}
+
+
+def library_words(pre_tokenizer, text: str) -> list[str]:
+    """The words that a byte-level pre-tokenizer of the library splits a text into, as they are in the text."""
+    return [bytes(map(_BYTE_OF.__getitem__, piece)).decode() for piece, _ in pre_tokenizer.pre_tokenize_str(text)]
+
+
 class Automaton:
     """The tables, made by successive merge gadgets, and their use."""
 
@@ -147,7 +172,7 @@ class WordBpe:
         self.odd = re.compile(ODD).search
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
         self.symbol = byte_symbols()
-        self.path, self._normalizer = path, None
+        self.path, self._library = path, None
         self.label = list(self.automaton.label) + [""] * (max(self.added.values(), default=0) + 1 - len(self.automaton.label))
         for s, i in self.added.items():
             self.label[i] = s
@@ -172,11 +197,12 @@ class WordBpe:
         """The pre-split words of the composed and lower-cased text."""
         if not self.odd(text):
             return self.plain(text.lower())
-        if self._normalizer is None:
+        if self._library is None:
             from tokenizers import Tokenizer
 
-            self._normalizer = Tokenizer.from_file(self.path).normalizer
-        return self.split(self._normalizer.normalize_str(text))
+            self._library = Tokenizer.from_file(self.path)
+        text = self._library.normalizer.normalize_str(text)
+        return library_words(self._library.pre_tokenizer, text) if unassigned()(text) else self.split(text)
 
     def pieces(self, text: str) -> Iterator[tuple[bytes, bytes]]:
         at = 0

@@ -13,8 +13,9 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -80,23 +81,30 @@ def attributes(raw: str) -> dict[str, str]:
 
 
 def parse(source: str) -> Node:
-    """The tree under one ``html`` element, with ``head`` and ``body`` implied."""
+    """The tree under one ``html`` element, with ``head`` and ``body`` implied. Where each tag is open
+    is known, so that a tag takes no search through the open elements, however deep they are.
+    """
     root = Node("html")
     stack = [root]
-    opened: Counter[str] = Counter()
+    opened: defaultdict[str, list[int]] = defaultdict(list)
     body: Node | None = None
 
     def push(tag: str, attrs: dict[str, str]) -> Node:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
+        opened[tag].append(len(stack))
         stack.append(node)
-        opened[tag] += 1
         return node
 
     def cut(k: int) -> None:
-        opened.subtract(n.tag for n in stack[k:])
+        for n in stack[k:]:
+            opened[n.tag].pop()
         del stack[k:]
 
+    def innermost(tags: frozenset[str]) -> int:
+        """The place of the innermost open element with one of the tags, 0 if there is none."""
+        return max((opened[t][-1] for t in tags if opened[t]), default=0)
+
     def into_body() -> None:
         nonlocal body
         if body is None:
@@ -104,15 +112,8 @@ def parse(source: str) -> Node:
             body = push("body", {})
 
     def close(tags: frozenset[str], border: frozenset[str]) -> None:
-        while any(opened[t] for t in tags):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in tags:
-                    cut(k)
-                    break
-                if stack[k].tag in border:
-                    return
-            else:
-                return
+        while (k := innermost(tags)) > innermost(border - tags):
+            cut(k)
 
     def text(s: str) -> None:
         if not s:
@@ -144,13 +145,9 @@ def parse(source: str) -> Node:
                 into_body()
                 stack[-1].children.append(Node("p"))
             elif tag not in ("html", "body") and opened[tag]:
-                limit = frozenset() if tag in ("table", "body", "html") else frozenset(["table", "td", "th"]) - {tag}
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag and stack[k] is not body:
-                        cut(k)
-                        break
-                    if stack[k].tag in limit and tag not in ("tr", "tbody", "thead", "tfoot", "td", "th"):
-                        break
+                limit = frozenset() if tag in ("table", "tr", "tbody", "thead", "tfoot", "td", "th") else frozenset(["table", "td", "th"])
+                if opened[tag][-1] > innermost(limit):
+                    cut(opened[tag][-1])
         elif m[2]:
             tag, attrs = m[2].lower(), attributes(m[3] or "") if m[3] and m[3].strip(" /\n\t\r") else {}
             if tag == "html":
@@ -341,23 +338,39 @@ def cells_of(table: Node, seen: Visibility) -> tuple[list[Node], list[list[tuple
 
 
 def layout(rows: list[list[tuple[list[str], int]]]) -> list[str]:
-    """Lines of a table: columns as wide as their widest cell (``WIDEST`` at most), two blanks between."""
+    """Lines of a table. Each cell begins where its column does: columns are as wide as their widest cell,
+    two blanks apart, but not wider than ``WIDEST``. Where a longer cell reaches into the next
+    column, the rest of the row goes on in a line of its own, so that nothing is cut or out of place.
+    """
     widths: dict[int, int] = {}
+    spans: list[tuple[int, int, int]] = []
     for row in rows:
         at = 0
         for lines, span in row:
+            width = min(WIDEST, max(map(len, lines), default=0))
             if span == 1:
-                widths[at] = max(widths.get(at, 0), min(WIDEST, max(map(len, lines), default=0)))
+                widths[at] = max(widths.get(at, 0), width)
+            else:
+                spans.append((at, span, width))
             at += span
+    own = set(widths)
+    for at, span, width in spans:  # a column without cells of its own takes what the cells that begin there need
+        if at not in own:
+            widths[at] = max(widths.get(at, 0), width - sum(widths[c] + 2 for c in range(at + 1, at + span) if c in own))
+    columns = sorted(widths)
+    begin = dict(zip(columns, accumulate((widths[c] + 2 for c in columns), initial=0), strict=False))
     out = []
     for row in rows:
         for k in range(max((len(lines) for lines, _ in row), default=0)):
-            line, at = [], 0
+            line, at = "", 0
             for lines, span in row:
-                width = sum(widths.get(c, 0) + 2 for c in range(at, at + span)) - 2
-                line.append((lines[k] if k < len(lines) else "").ljust(width))
+                if k < len(lines) and lines[k]:
+                    if line and len(line) + 2 > begin[at]:
+                        out.append(line)
+                        line = ""
+                    line = line.ljust(begin[at]) + lines[k]
                 at += span
-            out.append("  ".join(line).rstrip())
+            out.append(line.rstrip())
     return out
 
 

@@ -26,6 +26,7 @@ from skein.session import ship_package
 CLASSES = 128
 WIDTHS = (2, 3, 4)
 WINDOW = 256
+PIECE = 4096 * WINDOW
 UNDETERMINED = "und"
 
 
@@ -192,17 +193,23 @@ def predict_texts(network: Network | None, column: pa.Array, has_letter) -> tupl
     n = len(offsets) - 1
     if network is None:
         return [UNDETERMINED] * n, np.zeros(n)
-    grid, first = cut_windows(data, offsets)
-    weight = LETTER[grid].sum(axis=1).astype(np.float64)
-    scores = np.empty((len(grid), len(network.labels)))
-    for i in range(0, len(grid), 256):
-        scores[i : i + 256] = network.windows(grid[i : i + 256])
-    full = np.zeros((n, len(network.labels)))
-    total = np.zeros(n)
-    some = first[1:] > first[:-1]
-    if some.any():
-        full[some] = np.add.reduceat(scores * (weight[:, None] + 1e-3), first[:-1][some], axis=0)
-        total[some] = np.add.reduceat(weight + 1e-3, first[:-1][some])
+    full, total = np.zeros((n, len(network.labels))), np.zeros(n)
+    lengths = np.diff(offsets)
+    pieces = -(-lengths // PIECE)
+    owner = np.repeat(np.arange(n), pieces)  # a long text is taken in pieces of whole windows
+    begin = offsets[:-1][owner] + (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * PIECE
+    end = np.minimum(begin + PIECE, offsets[1:][owner])
+    i = 0
+    while i < len(owner):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + PIECE, side="right")))
+        grid, first = cut_windows(data[begin[i] : end[j - 1]], np.append(begin[i:j], end[j - 1]) - begin[i])
+        weight = LETTER[grid].sum(axis=1) + 1e-3
+        scores = np.empty((len(grid), len(network.labels)))
+        for k in range(0, len(grid), 256):
+            scores[k : k + 256] = network.windows(grid[k : k + 256])
+        np.add.at(full, owner[i:j], np.add.reduceat(scores * weight[:, None], first[:-1], axis=0))
+        np.add.at(total, owner[i:j], np.add.reduceat(weight, first[:-1]))
+        i = j
     mean = full / np.maximum(total, 1e-9)[:, None]
     p = np.exp(log_softmax(mean))
     best = p.argmax(axis=1)
@@ -218,7 +225,7 @@ def predict_texts(network: Network | None, column: pa.Array, has_letter) -> tupl
 def predict(df: DataFrame, network: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all), lang_pred and score of each row.
 
-    Null text and text without a letter: ``und``, score 0. An input column called
+    Of languages with equal scores the first in alphabetical order is taken. Null text and text without a letter: ``und``, score 0. An input column called
     lang_pred or score is replaced. One pass, no shuffle; the network (some 0.1 MB) is
     sent as a broadcast.
     """

@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 
 from skein.llm.arrays import LOWER, NOT_BLANK, bounds, buffers, distinct_by_owner, lean, mix, slices
 from skein.llm.components import components, lookup
-from skein.llm.ngram_join import blocks, in_parts
+from skein.llm.ngram_join import blocks
 from skein.llm.rows import keys, named, once, same
 from skein.operators.ordering import running
+from skein.operators.parts import in_parts
 from skein.session import Scratch, ship_package
 
 WIDTH, BANDS, ROWS = 8, 12, 4

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, lean, mix, shingles, slices, words
 from skein.llm.components import components, lookup
 from skein.llm.rows import keys, named, once, same
+from skein.operators.parts import in_parts
 from skein.session import Scratch, ship_package
 
 GROUPS = 256
@@ -316,17 +317,6 @@ def blocks(tokens: DataFrame) -> DataFrame:
     return tokens.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), "digest long, token long, cls long")
 
 
-def in_parts(members: DataFrame, part: int) -> DataFrame:
-    """``members`` (a written table with token and node) with ``part``: 0, but in blocks of more than ``part`` rows a
-    number for each two parts, one of them the member's own. Any two members of a block meet under some
-    number, and about ``part`` rows have the same one.
-    """
-    large = members.groupBy("token").agg(F.count("*").alias("k")).filter(f"k > {part}").selectExpr("token", f"cast(ceil(2 * k / {part}) AS long) AS parts")
-    own = members.join(large, "token", "left").withColumn("own", F.expr("pmod(xxhash64(node), parts)"))
-    meets = "transform(filter(sequence(0L, parts - 1), o -> o <> own), o -> least(o, own) * parts + greatest(o, own))"
-    return own.withColumn("part", F.explode(F.expr(f"if(parts IS NULL, array(0L), {meets})"))).drop("parts", "own")
-
-
 def first_pairs(members: DataFrame, percent: int) -> DataFrame:
     """(a, b) candidates of the first round: each member with the first leader of its block that its bound allows.
 

@@ -1,14 +1,16 @@
 """License scans: fuzzy search for short notices with pigeonhole seeds and bounded-error matching.
 
 A notice that occurs with at most k edits and is split into k + 1 pieces has one piece
-unharmed. All pieces of all notices are searched at once (Aho-Corasick); a piece found
-marks the stretch where its notice can lie; there the regex library's ``{e<=k}`` matching
-decides and gives the span and its number of edits. A notice with k = 0 is its own and
-only piece. Texts are compared as words: A-Z lower-cased, words joined by one blank.
+unharmed. All pieces of all notices are searched at once (Aho-Corasick); each piece found
+marks the stretch where its notice can lie, too short for two; there the regex library's best
+``{e<=k}`` match decides and gives the span and its number of edits. Of overlapping spans of
+one notice that with the fewest edits stays, the first among equals. A notice with k = 0 is its
+own and only piece. Texts are compared as words: A-Z lower-cased, words joined by one blank.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -85,29 +87,44 @@ class Scanner:
         self.verify = [regex.compile(f"(?b)(?<= )(?:{regex.escape(n.phrase, literal_spaces=True)}){{e<={n.edits}}}(?= )") for n in notices]
 
     def spans(self, line: str) -> list[tuple[int, int, int, int]]:
-        """(notice, start, end, edits) of all matches in ``line``: words joined by blanks, a blank at both ends."""
+        """(notice, start, end, edits) of all matches in ``line``: words joined by blanks, a blank at both ends.
+
+        Each seed is verified by itself, so that neighbours don't hide one another; those that
+        would put a notice at the same place are verified once.
+        """
         found: list[tuple[int, int, int, int]] = []
-        stretches: dict[int, list[list[int]]] = {}
+        near: dict[int, list[tuple[int, int, int]]] = {}
+        asked: dict[int, set[int]] = {}
         for last, (size, owners) in self.seeds.iter(line):
             for i, at in owners:
                 n = self.notices[i]
                 begin = last + 1 - size - at
+                end = begin + len(n.phrase)
                 if not n.edits:  # the seed is the notice: only its borders are open
-                    if line[begin - 1] == " " and line[begin + size] == " ":
-                        found.append((i, begin, begin + size, 0))
+                    if line[begin - 1] == " " and line[end] == " ":
+                        found.append((i, begin, end, 0))
+                    continue
+                known = asked.setdefault(i, set())
+                if begin in known:
+                    continue
+                known.add(begin)
+                if begin > 0 and line.startswith(n.phrase, begin) and line[begin - 1] == " " and line[end] == " ":
+                    near.setdefault(i, []).append((0, begin, end))
+                    continue
+                low, high = max(0, begin - n.edits - 1), min(len(line), end + n.edits + 1)
+                if m := self.verify[i].search(line, low, high):
+                    near.setdefault(i, []).append((sum(m.fuzzy_counts), m.start(), m.end()))
+        for i, spans in near.items():
+            starts: list[int] = []
+            ends: dict[int, int] = {}
+            for edits, begin, end in sorted(set(spans)):
+                k = bisect.bisect_left(starts, end)  # the last that begins before this one's end
+                if k and ends[starts[k - 1]] > begin:
                     continue
-                low, high = max(0, begin - n.edits - 1), min(len(line), begin + len(n.phrase) + n.edits + 1)
-                known = stretches.setdefault(i, [])
-                if known and low <= known[-1][1]:
-                    known[-1][0] = min(known[-1][0], low)
-                    known[-1][1] = max(known[-1][1], high)
-                else:
-                    known.append([low, high])
-        for i, known in stretches.items():
-            for low, high in known:
-                for m in self.verify[i].finditer(line, low, high):
-                    found.append((i, m.start(), m.end(), sum(m.fuzzy_counts)))
-        return sorted(set(found), key=lambda x: (x[1], x[0], x[2]))
+                starts.insert(k, begin)
+                ends[begin] = end
+                found.append((i, begin, end, edits))
+        return sorted(found, key=lambda x: (x[1], x[0], x[2]))
 
 
 SPAN = "array<struct<label string, phrase string, base boolean, first_word long, last_word long, edits int, similarity double>>"
@@ -133,9 +150,9 @@ def scan(df: DataFrame, key: str = "doc_id", text: str = "text", notices: tuple[
                     found = normal(t.as_py())
                     counts.append(len(found))
                     line = f" {b' '.join(found).decode()} "
-                    rows = []
+                    rows, first, to = [], -1, 0
                     for i, begin, end, edits in scanner.spans(line):
-                        n, first = notices[i], line.count(" ", 0, begin) - 1
+                        n, first, to = notices[i], first + line.count(" ", to, begin), begin
                         rows.append({"label": n.label, "phrase": n.phrase, "base": n.base, "first_word": first, "last_word": first + line.count(" ", begin, end), "edits": edits, "similarity": 1 - edits / len(n.phrase)})
                     spans.append(rows)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(spans, span_type)], [key, "n_words", "spans"])

@@ -27,16 +27,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrays import ALNUM, buffers, hash_spans, lean, slices, words
+from skein.llm.rows import named
 from skein.session import Scratch, ship_package
 
 WIDTH = 10
 BLOCK_WORDS = 2_000_000
 SEGMENT_BYTES = 4 << 20
-INDEX = "keys array<long>, counts binary, begins binary, terms binary, lists binary, postings binary"
+INDEX = "keys array<long>, texts array<long>, counts binary, begins binary, terms binary, lists binary, postings binary"
 
 
 def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = WIDTH) -> DataFrame:
-    """The segments: document keys, word counts and first positions; terms, list ends, postings.
+    """The segments: document keys, hashes of their texts, word counts and first positions; terms, list ends, postings.
 
     A segment holds about ``SEGMENT_BYTES`` of text and at least one document, so that memory
     depends on neither the batch nor the partition. Null texts have no words. Keys are longs,
@@ -44,7 +45,7 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
     """
     ship_package(docs.sparkSession)
 
-    def segment(rows: list[tuple[pa.Array, np.ndarray, np.ndarray]]) -> dict:
+    def segment(rows: list[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]) -> dict:
         counts = np.concatenate([r[1] for r in rows])
         hashes = np.concatenate([r[2] for r in rows])
         begins = np.cumsum(counts + gap) - counts
@@ -53,17 +54,18 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
         terms, first = np.unique(hashes[order], return_index=True)
         ends = np.append(first[1:], len(hashes)) if len(terms) else first
         keys = pa.concat_arrays([r[0] for r in rows]).to_pylist()
-        return {"keys": keys, "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].astype("<u4").tobytes()}
+        texts = pa.concat_arrays([r[3] for r in rows]).to_pylist()
+        return {"keys": keys, "texts": texts, "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].astype("<u4").tobytes()}
 
-    schema = pa.schema([("keys", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "begins", "terms", "lists", "postings"))])
+    schema = pa.schema([("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "begins", "terms", "lists", "postings"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
             for part in slices(batch, "text", 1 << 20):
-                data, offsets = buffers(part.column(1))
+                data, offsets = buffers(part.column(2))
                 starts, ends, first = words(data, offsets, ALNUM)
-                held.append((part.column(0), np.diff(first), hash_spans(data, starts, ends)))
+                held.append((part.column(0), np.diff(first), hash_spans(data, starts, ends), part.column(1)))
                 size += len(data)
                 if size >= SEGMENT_BYTES:
                     yield pa.RecordBatch.from_pylist([segment(held)], schema)
@@ -71,14 +73,14 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
         if held:
             yield pa.RecordBatch.from_pylist([segment(held)], schema)
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).mapInArrow(lean(run), INDEX)
+    return named(docs, key, text).mapInArrow(lean(run), INDEX)
 
 
 class Segment:
     """One row of the index, with one sorted array of (term, position) for all look-ups."""
 
     def __init__(self, row: dict):
-        self.keys = pa.array(row["keys"], pa.int64())
+        self.keys, self.texts = pa.array(row["keys"], pa.int64()), pa.array(row["texts"], pa.int64())
         self.counts = np.frombuffer(row["counts"], "<u4").astype(np.int64)
         self.begins = np.frombuffer(row["begins"], "<u4").astype(np.int64)
         self.terms = np.frombuffer(row["terms"], "<u8")
@@ -187,8 +189,8 @@ def search(segment: Segment, windows: Windows, slop: int = 0, misses: int = 0) -
     return window, start
 
 
-MATCH = "segment long, place int, doc_id long, n_words long, runs array<struct<start:long,stop:long>>, items array<long>, near array<long>"
-_MATCH = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
+MATCH = "segment long, place int, doc_id long, text_hash long, n_words long, runs array<struct<start:long,stop:long>>, items array<long>, near array<long>"
+_MATCH = pa.schema([("segment", pa.int64()), ("place", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_words", pa.int64()), ("runs", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))), ("items", pa.list_(pa.int64())), ("near", pa.list_(pa.int64()))])
 
 
 def matches(number: int, segment: Segment, windows: Windows, slop: int, misses: int) -> pa.RecordBatch:
@@ -215,7 +217,7 @@ def matches(number: int, segment: Segment, windows: Windows, slop: int, misses:
         pa.array(np.searchsorted(run_doc, np.arange(n + 1)), pa.int32()), pa.StructArray.from_arrays([pa.array(low - shift, pa.int64()), pa.array(high - shift, pa.int64())], ["start", "stop"])
     )
     near_doc = np.clip(np.searchsorted(segment.begins, near + WIDTH // 2, side="right") - 1, 0, max(n - 1, 0))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n), pa.int32()), segment.keys, pa.array(segment.counts), runs, lists(doc, windows.owner[window]), lists(near_doc, windows.owner[loose])], schema=_MATCH)
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(n), pa.int32()), segment.keys, segment.texts, pa.array(segment.counts), runs, lists(doc, windows.owner[window]), lists(near_doc, windows.owner[loose])], schema=_MATCH)
 
 
 def window_rows(benchmark: DataFrame, key: str, text: str) -> DataFrame:
@@ -250,7 +252,7 @@ def blocks(rows: DataFrame, limit: int = BLOCK_WORDS) -> Iterator[Windows]:
 
 
 def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", slop: int = 3, misses: int = 2) -> DataFrame:
-    """For each row: doc_id, n_words, the runs of words hit, the items matched exactly and by proximity.
+    """For each row: doc_id, text_hash, n_words, the runs of words hit, the items matched exactly and by proximity.
 
     Null texts have no words; items without words or without an id match nothing; repeated items
     count once by id. Rows are told apart by their place in the index, whatever their keys, however
@@ -278,7 +280,7 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, ke
     more = functools.reduce(DataFrame.unionByName, [f.select("segment", "place", *lists) for f in rest])
     more = more.groupBy("segment", "place").agg(*(F.flatten(F.collect_list(c)).alias(f"more_{c}") for c in lists))
     joined = first.join(more, ["segment", "place"], "left")
-    return joined.select("doc_id", "n_words", *(F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))))).alias(c) for c in lists))
+    return joined.select("doc_id", "text_hash", "n_words", *(F.array_sort(F.array_distinct(F.concat(c, F.coalesce(f"more_{c}", F.array().cast(first.schema[c].dataType))))).alias(c) for c in lists))
 
 
 def _searcher(sent, slop: int, misses: int, only_found: bool):

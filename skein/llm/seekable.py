@@ -30,12 +30,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrays import KEPT, lean
-from skein.llm.automaton import byte_symbols
+from skein.llm.automaton import byte_symbols, library_words, unassigned
 from skein.session import Scratch, ship_package
 
 SKIPPABLE_IDS, SKIPPABLE_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 END_ID = 0
 MAX_WORDS = 800_000
+LEAST_FILE, FILE_BYTES = 8 << 20, 128 << 20
+READ_IDS = 1 << 22
+MOST_TASKS = 100_000
+NO_KEY = -(1 << 63)
 #: GPT-2's pre-split pattern, a fixed value of the byte-level vocabularies.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -142,7 +146,9 @@ def byte_level_encoder(path: str) -> Callable[[str], bytes]:
     def encode(text: str) -> bytes:
         if any(t in text for t in added):
             return np.array(library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(known, split(text) if odd(text) else plain(text)))
+        if not odd(text):
+            return b"".join(map(known, plain(text)))
+        return b"".join(map(known, library_words(library.pre_tokenizer, text) if unassigned()(text) else split(text)))
 
     return encode
 
@@ -159,13 +165,15 @@ def encoder(path: str) -> Callable[[str], bytes]:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int, key: str = "doc_id", text: str = "text", level: int = 1) -> DataFrame:
-    """Encode each text and write the files; a row (part, path, first, n_docs, n_tokens, n_bytes) for each file.
+    """Encode each text and write the files; a row (path, first, last, n_docs, n_tokens, n_bytes) for each file.
 
     Documents are range-partitioned by ``key`` and sorted, so that files in the order of
-    their first key hold ascending keys. A file's name is unique to the attempt that
+    their first and last key hold ascending keys. A file's name is unique to the attempt that
     wrote it: a lost or repeated task leaves a file that no row names. Null text is
     encoded as empty; every document gets the end id, so no frame is empty. Documents
-    with equal keys stand side by side, in the order of their text.
+    with equal keys stand side by side, in the order of a hash of their text, in as many
+    files as they need; those with a null key come first, and stand in the files under the
+    smallest long, which is no key's.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,19 +195,23 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, partitions: int,
             writer.close()
             n = sink.tell()
             sink.close()
-            yield pa.RecordBatch.from_pylist([{"path": path.rpartition("/")[2], "first": first, "n_docs": len(writer.keys), "n_tokens": tokens, "n_bytes": n}])
+            yield pa.RecordBatch.from_pylist([{"path": path.rpartition("/")[2], "first": first, "last": writer.keys[-1], "n_docs": len(writer.keys), "n_tokens": tokens, "n_bytes": n}])
 
-    rows = docs.selectExpr(f"cast(`{key}` AS long) AS k", f"`{text}` AS t").filter("k IS NOT NULL")
-    return rows.repartitionByRange(partitions, "k").sortWithinPartitions("k", "t").mapInArrow(lean(run, "encoder"), "path string, first long, n_docs long, n_tokens long, n_bytes long")
+    rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(NO_KEY)).alias("k"), F.col(f"`{text}`").alias("t"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    spread = rows.repartitionByRange(partitions, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
+    return spread.mapInArrow(lean(run, "encoder"), "path string, first long, last long, n_docs long, n_tokens long, n_bytes long")
 
 
 def read_tokens(files: DataFrame, folder: str) -> DataFrame:
     """A row (doc_id, start, n_tokens, ids) for each document, from the files that the rows name.
 
     ``start`` counts the ids of all documents before it: the files' totals are summed over
-    the manifest, which has one row for each file, and each file adds its own offsets.
+    the manifest, which has one row for each file, and each file adds its own offsets. The
+    manifest's rows are cut into stretches of about ``READ_IDS`` ids, and these are dealt to as
+    many tasks as there are stretches: a task reads seek tables and the frames of its stretches.
     """
-    before = files.selectExpr("path", "sum(n_tokens) OVER (ORDER BY first, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before")
+    before = files.selectExpr("path", "n_docs", "n_tokens", "coalesce(sum(n_tokens) OVER (ORDER BY first, last, path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before")
+    parts = before.selectExpr("path", "before", f"explode(sequence(0L, (n_tokens - 1) div {READ_IDS})) AS part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
@@ -208,24 +220,32 @@ def read_tokens(files: DataFrame, folder: str) -> DataFrame:
                 with fs.open_input_file(f"{root}/{row['path']}") as source:
                     reader = Reader(source)
                     counts = reader.sizes[:, 1].astype(np.int64) // 4
-                    starts = (row["before"] or 0) + np.cumsum(counts) - counts
-                    i = 0
-                    while i < len(reader):
-                        j = max(i + 1, int(np.searchsorted(starts, starts[i] + (1 << 20))))
-                        ids = [reader.frame(x) for x in range(i, min(j, len(reader)))]
-                        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(reader.keys[i:j]), "start": pa.array(starts[i:j]), "n_tokens": pa.array(counts[i:j]), "ids": pa.array(ids, pa.binary())})
+                    inside = np.cumsum(counts) - counts
+                    i, stop = (int(x) for x in np.searchsorted(inside, [row["part"] * READ_IDS, (row["part"] + 1) * READ_IDS]))
+                    while i < stop:
+                        j = min(stop, max(i + 1, int(np.searchsorted(inside, inside[i] + (1 << 20)))))
+                        ids = [reader.frame(x) for x in range(i, j)]
+                        keys = pa.array(reader.keys[i:j], mask=reader.keys[i:j] == NO_KEY)
+                        yield pa.RecordBatch.from_pydict({"doc_id": keys, "start": pa.array(inside[i:j] + row["before"]), "n_tokens": pa.array(counts[i:j]), "ids": pa.array(ids, pa.binary())})
                         i = j
 
-    return before.repartition(F.col("path")).mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
+    n = files.agg(F.sum(F.expr(f"(n_tokens - 1) div {READ_IDS} + 1"))).first()[0] or 1
+    spread = parts.repartition(min(int(n), MOST_TASKS), F.xxhash64("path", "part"))  # a given number isn't coalesced
+    return spread.mapInArrow(lean(run), "doc_id long, start long, n_tokens long, ids binary")
 
 
-def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, partitions: int | None = None) -> tuple[DataFrame, str]:
-    """Write the files to the shared folder; their manifest (written, so it is fixed) and their folder."""
+def token_files(spark: SparkSession, docs: DataFrame, tokenizer: str, folder: str | None = None, partitions: int | None = None, text: str = "text") -> tuple[DataFrame, str]:
+    """Write the files; their manifest (written, so it is fixed) and their folder, by default one in the
+    shared folder. A file holds about ``FILE_BYTES`` of text at most, less where that gives every
+    shuffle partition one of ``LEAST_FILE``.
+    """
     ship_package(spark)
     scratch = Scratch(spark, "tokens")
-    folder = scratch.path("files")
-    n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return scratch.table(write_tokens(docs, tokenizer, folder, n), "manifest"), folder
+    folder = folder or scratch.path("files")
+    if not partitions:
+        size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")).cast("long"))).first()[0] or 0
+        partitions = max(1, -(-size // FILE_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_FILE)))
+    return scratch.table(write_tokens(docs, tokenizer, folder, partitions, text=text), "manifest"), folder
 
 
 def digests(tokens: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 import html.parser
 import re
+import time
 
 import pyarrow.parquet as pq
 import pytest
@@ -98,6 +99,23 @@ def test_hostile_markup():
     assert len(html_layout.extract(wide)[0]) < 200_000
 
 
+def test_cells_are_aligned_at_any_size():
+    long = "x" * 100
+    got = html_layout.extract(f"<table><tr><td>{long}<td>b<td>c<tr><td>d<td>e<td>f</table>")[0].split("\n")
+    assert got == [long, " " * 62 + "b  c", "d" + " " * 61 + "e  f"]
+    assert html_layout.extract("<table><tr><td colspan=2>ab<td colspan=2>cd<tr><td colspan=2>abcd<td colspan=2>e</table>")[0] == "ab    cd\nabcd  e"
+
+
+def test_time_and_size_follow_the_markup():
+    wide = "<table>" + "<tr><td colspan=1000>a<td>b" * 3000 + "</table>"
+    assert len(html_layout.extract(wide)[0]) < 3000 * 8
+    began = time.perf_counter()
+    html_layout.parse("<b><table><tr><td>" + "<div>" * 40_000 + "</b>" * 40_000 + "x")
+    html_layout.parse("<p><button>" + "<div>" * 40_000 + "<li>x")
+    html_layout.extract("<table><tr><td>a<td>b" * 1 + "<tr><td>c<td>d" * 40_000)
+    assert time.perf_counter() - began < 15
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "", "x"), (2, "<p>a", "x"), (3, "<p>a", None)], "page_id long, html string, text string")
     rows = sorted((r.page_id, r.text) for r in html_layout.visible_text(df).collect())

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from skein.llm import line_dedup, queries
-from skein.llm.ngram_join import in_parts
+from skein.operators.parts import in_parts
 
 SCHEMA = "line string, text string, doc_id long, removed int"
 

@@ -81,6 +81,32 @@ def test_odd_rows(spark):
     check(spark, [(5, None)])
 
 
+def test_repeated_and_null_keys_are_rows_of_their_own(spark):
+    one, near = " ".join(f"w{i}" for i in range(60)), " ".join([*(f"w{i}" for i in range(59)), "other"])
+    rows = [(9, one), (9, one), (9, "quite another text with some words"), (4, near), (None, one), (None, "alone"), (None, "alone"), (None, None), (None, None), (3, "")]
+    df = spark.createDataFrame([("x", t, i, 7, None) for i, t in rows], SCHEMA).repartition(5)
+    found = ngram_join.link_components(spark, df)
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in ngram_join.digest(found).collect())
+    assert got == sorted([("9", 56, "4"), ("9", 56, "4"), ("9", 2, "9"), ("4", 56, "4"), ("None", 56, "4"), ("None", 1, "None"), ("None", 1, "None"), ("None", 0, "None"), ("None", 0, "None"), ("3", 0, "3")])
+    kept = sorted((str(r.doc_id), str(r.text)[:5]) for r in ngram_join.keep_first(df, found).collect())
+    assert kept == [("3", ""), ("4", "w0 w1"), ("9", "quite"), ("None", "None"), ("None", "None"), ("None", "alone")]
+
+
+def test_large_blocks_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PART", 16)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join(edited(rng, base, rng.uniform(0, 0.06))) for _ in range(160)]
+    check(spark, list(enumerate(texts)))
+
+
+def test_words_with_patterns_differ(spark):
+    one = "a"
+    for _ in range(10):
+        one += one.translate({97: 98, 98: 97})
+    check(spark, [(1, one), (2, one.translate({97: 98, 98: 97})), (3, one.upper())])
+
+
 def test_whole_table(spark):
     t = pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["doc_id", "text"])
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in queries.op6_count_vector_join(spark, "/root/testdata/sf0.01").collect()}

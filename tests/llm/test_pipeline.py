@@ -63,3 +63,20 @@ def test_stages_take_odd_rows(spark):
         docs = spark.createDataFrame([dict(zip(["doc_id", "text", "lang", "source", "n_chars"], r, strict=True)) for r in rows], schema)
         for _, stage in cp.STAGES:
             assert stage(spark, docs, SF).count() <= len(rows)
+
+
+def test_without_labels_texts_with_a_letter_stay(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    docs = spark.createDataFrame([dict(zip(names, (i, t, None, "s", 1), strict=True)) for i, t in enumerate(["word", None, "12", "", "é"])], schema)
+    assert sorted(r.doc_id for r in cp.language_id(spark, docs, SF).collect()) == [0, 4]
+
+
+def test_repeated_and_null_keys_go_through_all_stages(spark):
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    names = ["doc_id", "text", "lang", "source", "n_chars"]
+    rows = [(1, "one line of text"), (1, "one line of text"), (None, "one line of text"), (None, "something else without a key"), (None, None), (1, "another text under the key")]
+    docs = spark.createDataFrame([dict(zip(names, (i, t, "en", "s", 1), strict=True)) for i, t in rows], schema)
+    kept = cp.near_copies(spark, cp.line_deduplication(spark, docs, SF), SF)
+    assert sorted((str(r.doc_id), str(r.text)) for r in kept.collect()) == [("1", "another text under the key"), ("1", "one line of text"), ("None", "None"), ("None", "something else without a key")]
+    assert cp.decontamination(spark, docs, SF).count() == len(rows) and cp.tokens(spark, docs, SF).count() == len(rows)

@@ -97,6 +97,56 @@ def test_notices_equal_search_without_seeds(spark):
     assert hits >= sum(n.edits + 1 for n in notices.FUZZY)
 
 
+def all_matches(line, phrase, k):
+    """(edits, start, end) of all stretches between blanks within k edits of the phrase."""
+    cuts = [i for i, c in enumerate(line) if c == " "]
+    out = []
+    for a in cuts:
+        for b in cuts:
+            if abs(b - a - 1 - len(phrase)) <= k and b > a:
+                x = line[a + 1 : b]
+                row = list(range(len(phrase) + 1))
+                for i, c in enumerate(x, 1):
+                    old, row = row, [i, *([0] * len(phrase))]
+                    for j, d in enumerate(phrase, 1):
+                        row[j] = min(old[j] + 1, row[j - 1] + 1, old[j - 1] + (c != d))
+                if row[-1] <= k:
+                    out.append((row[-1], a + 1, b))
+    return out
+
+
+def test_neighbouring_notices_span_by_span():
+    rng = random.Random(8)
+    scanner = notices.Scanner(notices.BASE + notices.FUZZY)
+    both = notices.BASE + notices.FUZZY
+    lines = ["licensed under the mjt licence licensed under the mit license", "gnu general public license gnu general public licence gnu lesser general public license"]
+    for _ in range(60):
+        own = rng.choices([n for n in notices.FUZZY if len(n.phrase) < 36], k=3)
+        lines.append(" ".join(x for n in own for x in [harmed(rng, n.phrase, rng.randrange(n.edits + 1)), *rng.choices(["the", "of", "a"], k=rng.randrange(2))]))
+    total = 0
+    for text in lines:
+        line = f" {text} "
+        got = scanner.spans(line)
+        for i, n in enumerate(both):
+            mine = [(e, a, b) for j, a, b, e in got if j == i]
+            if not n.edits:
+                continue
+            want = []
+            for m in sorted(all_matches(line, n.phrase, n.edits)):
+                if all(m[2] <= a or m[1] >= b for _, a, b in want):
+                    want.append(m)
+            assert sorted(e for e, _, _ in mine) == sorted(e for e, _, _ in want), (text, n, mine, want)
+            assert all(any(e == f and a < d and c < b for f, c, d in want) for e, a, b in mine)
+            total += len(want)
+    assert total > 150
+
+
+def test_many_notices_in_a_long_text_are_linear():
+    scanner = notices.Scanner(notices.BASE + notices.FUZZY)
+    line = " " + "licensed under the mit license word " * 20_000
+    assert sum(i >= len(notices.BASE) for i, *_ in scanner.spans(line)) >= 20_000
+
+
 def test_notices_digest(spark):
     row = notices.digest(notices.scan(frame(spark, ["x cc by y all rights reserved cc by"]))).first()
     assert (row.n_words, row.n_base, row.first_word, row.last_word, row.base_labels, row.score) == (9, 3, 1, 7, "cc-by,reserved", 1.0)

@@ -62,7 +62,7 @@ def test_token_files_round_trip(spark):
     path = queries.tokenizer_path("byte_bpe_50k.json")
     lib = Tokenizer.from_file(path)
     texts = [*ODD, *pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()]
-    files, folder = seekable.token_files(spark, frame(spark, texts), path, 4)
+    files, folder = seekable.token_files(spark, frame(spark, texts), path, partitions=4)
     rows = sorted(seekable.read_tokens(files, folder).collect())
     assert [r.doc_id for r in rows] == list(range(len(texts)))
     at = 0
@@ -78,13 +78,41 @@ def test_token_files_round_trip(spark):
 
 def test_token_files_empty_table_and_repeated_keys(spark):
     path = queries.tokenizer_path("byte_bpe_50k.json")
-    files, folder = seekable.token_files(spark, frame(spark, []), path, 2)
+    files, folder = seekable.token_files(spark, frame(spark, []), path, partitions=2)
     assert seekable.read_tokens(files, folder).count() == 0
     twice = frame(spark, ["a b", "c"]).unionByName(frame(spark, ["a b", "c"]))
-    files, folder = seekable.token_files(spark, twice, path, 2)
+    files, folder = seekable.token_files(spark, twice, path, partitions=2)
     assert sorted((r.doc_id, r.start) for r in seekable.read_tokens(files, folder).collect()) == [(0, 0), (0, 3), (1, 6), (1, 8)]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_all_code_points_equal_the_library(name):
+    path = queries.tokenizer_path(name)
+    lib = Tokenizer.from_file(path)
+    plain = None if name.startswith("word") else seekable.byte_level_encoder(path)
+    encode = automaton.WordBpe(path).encode if plain is None else lambda t: (plain(t),)
+    step = 61 if name.startswith("word") else 53
+    for plane in range(0, 0x30000, 1 << 12):  # every code point with letters around it, in texts of many and alone for some
+        codes = [c for c in range(plane, plane + (1 << 12)) if not 0xD800 <= c < 0xE000]
+        for texts in (["".join(f"a{chr(c)}b " for c in codes)], [f"a{chr(c)}b" for c in codes[::step]]):
+            for t in texts:
+                assert np.frombuffer(encode(t)[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids, (hex(plane), t[:9])
+    assert np.frombuffer(encode("a\U0001094Fb")[0], "<u4").tolist() == lib.encode("a\U0001094Fb", add_special_tokens=False).ids
+
+
+def test_token_files_are_read_by_several_tasks(spark, monkeypatch):
+    path = queries.tokenizer_path("byte_bpe_50k.json")
+    texts = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()
+    df = frame(spark, texts).unionByName(spark.createDataFrame([(None, "no key", None, "x"), (None, None, None, "x")], SCHEMA))
+    files, folder = seekable.token_files(spark, df, path, partitions=2)
+    whole = sorted((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in seekable.read_tokens(files, folder).collect())
+    monkeypatch.setattr(seekable, "READ_IDS", 4096)
+    parts = seekable.read_tokens(files, folder)
+    assert sorted((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, bytes(r.ids)) for r in parts.collect()) == whole
+    assert len(whole) == len(texts) + 2 and [w[1] for w in whole[:2]] == [None, None] and whole[0][2] == 0
+    assert len([n for n in parts.rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect() if n]) > 4
+
+
 def test_seekable_reader_reads_only_what_is_asked_for_and_checks_it():
     sink = io.BytesIO()
     writer = seekable.Writer(sink)
