@@ -7,24 +7,43 @@ from pyspark.sql import functions as F
 
 from skein.functions import text as T
 from skein.operators import neardup as N
+from skein.operators.ordering import ordinals, running
 from skein.plans.base import Registry, table, words
+from skein.plans.sequences import IDS, stream
+from skein.session import Scratch
 
 R = Registry()
 PERMS = 64
 
 _KEY = f"CASE WHEN len({words('text')}) > 0 THEN sha1(array_to_string({words('text')}, chr(1))) END"
 _SH = lambda w: f"list_distinct(CASE WHEN len({w}) >= 5 THEN list_transform(range(1, len({w}) - 3), lambda i: array_to_string({w}[i:i + 4], ' ')) ELSE {w} END)"
-_H = "(('0x' || substr(md5(s), 1, 15))::BIGINT % 2147483647)"
-_SIG = f"""w AS (SELECT doc_id, {words('text')} AS w, strlen(text) AS b FROM documents), s AS (SELECT doc_id, unnest({_SH('w')}) AS s FROM w), h AS (SELECT doc_id, {_H} AS h FROM s),
-  g AS (SELECT doc_id, [{', '.join(f'min((h * {a} + {b}) % 2147483647)' for a, b in N.coefficients(PERMS))}] AS sig FROM h GROUP BY doc_id)"""
+#: CRC-32 of each distinct word, bit by bit from its polynomial
+_CRC = f"""ct AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::BIGINT, range(8)), lambda c, k: CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+  cw AS (SELECT DISTINCT unnest({words('text')}) AS w FROM documents),
+  cc AS MATERIALIZED (SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(strlen(w)), lambda i: ('0x' || substr(hex(w), 2 * i + 1, 2))::BIGINT)), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295) AS code FROM cw, ct)"""
+
+
+def _minima(tokens: str) -> str:
+    """CTE g(doc_id, sig) from CTE ``tokens`` (doc_id, pos, code)."""
+    power = [f"{N.BASE ** (4 - j)}::UHUGEINT * {'code::UHUGEINT' if not j else f'lead(code::UHUGEINT, {j}) OVER o'}" for j in range(5)]
+    least = ", ".join(f"min((h * {a}::UHUGEINT + {b}::UHUGEINT) % {N.MODULUS}::UHUGEINT)::BIGINT" for a, b in N.coefficients(PERMS))
+    return f"""ph AS (SELECT doc_id, code::UHUGEINT AS one, ({' + '.join(power)}) % 18446744073709551616::UHUGEINT AS five, count(*) OVER (PARTITION BY doc_id) AS n FROM {tokens} WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
+  hs AS (SELECT doc_id, CASE WHEN n < 5 THEN one ELSE five END AS h FROM ph WHERE n < 5 OR five IS NOT NULL),
+  g AS MATERIALIZED (SELECT doc_id, [{least}] AS sig FROM hs GROUP BY doc_id), k AS (SELECT sig, min(doc_id) AS rep FROM g GROUP BY sig)"""
+
+
+_SIG = f"""{_CRC}, wp AS (SELECT doc_id, unnest({words('text')}) AS w, unnest(range(len({words('text')}))) AS pos FROM documents), tk AS (SELECT doc_id, pos, code FROM wp JOIN cc USING (w)), {_minima('tk')}"""
 
 
 def _bands(rows: int) -> str:
-    return f"b AS (SELECT doc_id, unnest(range({PERMS // rows})) AS band, unnest(list_transform(range({PERMS // rows}), lambda i: array_to_string(sig[i * {rows} + 1:i * {rows} + {rows}], '-'))) AS key FROM g)"
+    return f"b AS (SELECT rep, unnest(range({PERMS // rows})) AS band, unnest(list_transform(range({PERMS // rows}), lambda i: array_to_string(sig[i * {rows} + 1:i * {rows} + {rows}], '-'))) AS key FROM k)"
 
 
-_PAIRS = f"""{_SIG}, {_bands(8)}, z AS (SELECT band, key FROM b GROUP BY ALL HAVING count(*) BETWEEN 2 AND 200), p AS (SELECT DISTINCT x.doc_id AS a, y.doc_id AS b FROM b x JOIN b y USING (band, key) JOIN z USING (band, key) WHERE x.doc_id < y.doc_id),
-  v AS (SELECT a, p.b, len(list_filter(range(1, {PERMS + 1}), lambda i: x.sig[i] = y.sig[i])) / {float(PERMS)} AS similarity FROM p JOIN g x ON x.doc_id = a JOIN g y ON y.doc_id = p.b)"""
+_AGREE = f"len(list_filter(range(1, {PERMS + 1}), lambda i: x.sig[i] = y.sig[i])) / {float(PERMS)}"
+_LSH = f"""{_bands(8)}, p AS MATERIALIZED (SELECT DISTINCT x.rep AS a, y.rep AS b FROM b x JOIN b y USING (band, key) WHERE x.rep < y.rep),
+  v AS (SELECT a, p.b, {_AGREE} AS similarity FROM p JOIN k x ON x.rep = a JOIN k y ON y.rep = p.b),
+  l AS MATERIALIZED (SELECT a, b, similarity FROM v WHERE similarity >= 0.8 UNION ALL SELECT rep, doc_id, 1.0 FROM g JOIN k USING (sig) WHERE doc_id <> rep)"""
+_PAIRS = f"{_SIG}, {_LSH}"
 
 
 @R.add(f"SELECT {_KEY} AS key, count(*) AS n, min(doc_id) AS first, sum(strlen(text))::BIGINT - max(strlen(text)) AS redundant_bytes FROM documents GROUP BY ALL HAVING count(*) > 1 AND key IS NOT NULL")
@@ -62,25 +81,29 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"WITH {_PAIRS} SELECT a, b FROM p")
 def lsh_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.candidates(N.bands(_sigs(spark, sf_dir), 8))
+    """Pairs of distinct signatures, each under its smallest id, that share a bucket. A bucket of over
+    ``N.LARGEST`` gives no pairs here: ``near_pairs`` verifies it as a whole.
+    """
+    scratch = Scratch(spark, "candidates")
+    banded = scratch.table(N.bands(N.classes(_sigs(spark, sf_dir)), 8, "rep"), "bands")
+    return N.candidates(banded, N.bucket_sizes(banded))
 
 
-@R.add(f"WITH {_PAIRS} SELECT a, b, similarity FROM v WHERE similarity >= 0.8")
+@R.add(f"WITH {_PAIRS} SELECT a, b, similarity FROM l")
 def near_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = _sigs(spark, sf_dir)
-    return N.verified(N.candidates(N.bands(s, 8)), s)
+    """Verified pairs of distinct signatures, each under its smallest id, and the copies of each."""
+    scratch = Scratch(spark, "near")
+    return N.links(spark, scratch.table(_sigs(spark, sf_dir), "signatures"), scratch=scratch)
 
 
-_CLUSTERS = f"""RECURSIVE {_PAIRS}, f AS (SELECT {_KEY} AS key, min(doc_id) AS a FROM documents GROUP BY 1 HAVING count(*) > 1 AND key IS NOT NULL), e AS (SELECT a, b FROM v WHERE similarity >= 0.8 UNION SELECT f.a, doc_id FROM documents JOIN f ON {_KEY} = f.key WHERE doc_id > f.a),
-  u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT a AS doc_id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id), c AS (SELECT doc_id, min(c) AS cluster FROM r GROUP BY doc_id)"""
+_CLUSTERS = f"""RECURSIVE {_PAIRS}, u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS doc_id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id), c AS (SELECT doc_id, min(c) AS cluster FROM r GROUP BY doc_id)"""
 
 
 def _clusters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    d = table(spark, sf_dir, "documents")
-    s = _sigs(spark, sf_dir)
-    near = N.verified(N.candidates(N.bands(s, 8)), s).select("a", "b")
-    exact = N.exact_edges(d.select("doc_id", N.exact_key("text").alias("key")))
-    return N.clusters(spark, near.unionByName(exact)), s
+    """Clusters, and the signatures (a written table). Equal word sequences have equal signatures."""
+    scratch = Scratch(spark, "duplicates")
+    s = scratch.table(_sigs(spark, sf_dir), "signatures")
+    return N.clusters(spark, N.links(spark, s, scratch=scratch).select("a", "b")), s
 
 
 @R.add(f"WITH {_CLUSTERS} SELECT doc_id, cluster FROM c")
@@ -89,11 +112,11 @@ def duplicate_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _clusters(spark, sf_dir)[0]
 
 
-@R.add(
-    f"""WITH {_CLUSTERS}, k AS (SELECT cluster, doc_id, strlen(text) AS bytes, {_KEY} AS key, first_value(doc_id) OVER (PARTITION BY cluster ORDER BY strlen(text) DESC, doc_id) AS keep FROM c JOIN documents USING (doc_id)),
-  n AS (SELECT cluster, CASE WHEN count(DISTINCT key) = 1 THEN 'exact' ELSE 'near' END AS kind FROM k GROUP BY cluster)
-  SELECT kind, cluster, k.doc_id, k.doc_id = keep AS kept, bytes, round(len(list_filter(range(1, {PERMS + 1}), lambda i: x.sig[i] = y.sig[i])) / {float(PERMS)}, 3) AS agreement FROM k JOIN n USING (cluster) JOIN g x ON x.doc_id = k.doc_id JOIN g y ON y.doc_id = keep"""
-)
+_VERDICTS = f"""{_CLUSTERS}, q AS (SELECT cluster, doc_id, strlen(text) AS bytes, {_KEY} AS key, first_value(doc_id) OVER (PARTITION BY cluster ORDER BY strlen(text) DESC, doc_id) AS keep FROM c JOIN documents USING (doc_id)),
+  n AS (SELECT cluster, CASE WHEN count(DISTINCT key) = 1 THEN 'exact' ELSE 'near' END AS kind FROM q GROUP BY cluster)"""
+
+
+@R.add(f"WITH {_VERDICTS} SELECT kind, cluster, q.doc_id, q.doc_id = keep AS kept, bytes, round({_AGREE}, 3) AS agreement FROM q JOIN n USING (cluster) JOIN g x ON x.doc_id = q.doc_id JOIN g y ON y.doc_id = keep")
 def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each cluster's kind, what it keeps (the longest), and how the others agree with it."""
     c, s = _clusters(spark, sf_dir)
@@ -104,6 +127,50 @@ def duplicate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("kind", "cluster", "doc_id", (F.col("doc_id") == F.col("keep")).alias("kept"), "bytes", F.round(N.agreement(F.col("sig"), F.col("y")), 3).alias("agreement"))
 
 
+_SAVED = f"{_VERDICTS}, t AS (SELECT kind, count(DISTINCT cluster) AS clusters, count(*) FILTER (doc_id <> keep) AS dropped_docs, coalesce(sum(bytes) FILTER (doc_id <> keep), 0)::BIGINT AS dropped_bytes FROM q JOIN n USING (cluster) GROUP BY kind)"
+
+
+@R.add(f"WITH {_SAVED} SELECT *, round(100.0 * dropped_bytes / (SELECT sum(strlen(text)) FROM documents), 6) AS pct FROM t")
+def duplicate_savings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters by kind, what the verdicts drop of them in documents and bytes, and the share of all bytes."""
+    v = duplicate_verdicts(spark, sf_dir)
+    total = table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text")).alias("all"))
+    gone = F.col("kept") == F.lit(False)
+    t = v.groupBy("kind").agg(F.count_distinct("cluster").alias("clusters"), F.count_if(gone).alias("dropped_docs"), F.coalesce(F.sum(F.when(gone, F.col("bytes"))), F.lit(0)).alias("dropped_bytes"))
+    return t.crossJoin(F.broadcast(total)).select("kind", "clusters", "dropped_docs", "dropped_bytes", F.round(F.col("dropped_bytes") * 100.0 / F.col("all"), 6).alias("pct"))
+
+
+@R.add(f"WITH {_CLUSTERS} SELECT cluster, count(*) AS n FROM c GROUP BY cluster ORDER BY n DESC, cluster LIMIT 10")
+def largest_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten largest clusters."""
+    return _clusters(spark, sf_dir)[0].groupBy("cluster").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "cluster").limit(10)
+
+
+# ---- the same on token streams
+
+_STREAM = f"""ti AS MATERIALIZED (SELECT doc_id, {IDS} AS ids FROM documents), tk AS (SELECT doc_id, unnest(ids[:-2]) AS code, unnest(range(len(ids) - 1)) AS pos FROM ti WHERE len(ids) > 1), {_minima('tk')}"""
+
+
+@R.add(
+    f"""WITH RECURSIVE {_STREAM}, {_LSH}, u AS (SELECT a, b FROM l UNION SELECT b, a FROM l), r AS (SELECT a AS doc_id, a AS c FROM u UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id), c AS (SELECT doc_id, min(c) AS cluster FROM r GROUP BY doc_id),
+  x AS (SELECT len(ids) AS n, row_number() OVER (PARTITION BY array_to_string(ids, ' ') ORDER BY doc_id) AS e, row_number() OVER (PARTITION BY coalesce(cluster, -1 - doc_id) ORDER BY len(ids) DESC, doc_id) AS m FROM ti LEFT JOIN c USING (doc_id))
+  SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, sum((e > 1)::INT)::BIGINT AS exact_docs, coalesce(sum(n) FILTER (e > 1), 0)::BIGINT AS exact_tokens, sum((m > 1)::INT)::BIGINT AS near_docs, coalesce(sum(n) FILTER (m > 1), 0)::BIGINT AS near_tokens FROM x"""
+)
+def token_stream_duplication(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Redundant documents and tokens of the token stream: beyond the first of each exact group (on the ids'
+    bytes), and beyond the longest of each cluster of near copies (shingles of ids).
+    """
+    scratch = Scratch(spark, "stream")
+    ids = stream(spark, sf_dir)
+    s = scratch.table(N.signatures(ids.select("doc_id", F.expr("slice(ids, 1, size(ids) - 1)").alias("ids")), PERMS, tokens="ids"), "signatures")
+    near = N.clusters(spark, N.links(spark, s, scratch=scratch).select("a", "b"))
+    d = ids.select("doc_id", F.size("ids").cast("long").alias("n"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("key"))
+    exact = d.groupBy("key").agg(F.count("*").alias("k"), F.first("n").alias("one")).agg(F.sum("k").alias("docs"), F.sum(F.col("k") * F.col("one")).alias("tokens"), F.sum(F.col("k") - 1).alias("exact_docs"), F.sum((F.col("k") - 1) * F.col("one")).alias("exact_tokens"))
+    g = d.join(near, "doc_id").groupBy("cluster").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.max("n").alias("most"))
+    rest = g.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("near_docs"), F.coalesce(F.sum(F.col("n") - F.col("most")), F.lit(0)).alias("near_tokens"))
+    return exact.crossJoin(rest)
+
+
 _CONT = f"""i AS (SELECT item_id, unnest({_SH('w')}) AS s FROM (SELECT item_id, {words('lower(text)')} AS w FROM benchmark)), t AS (SELECT DISTINCT s FROM (SELECT unnest({_SH('w')}) AS s FROM (SELECT {words('lower(text)')} AS w FROM documents))),
   c AS (SELECT item_id, count(*) AS n, count(t.s) AS matched, round(count(t.s) / CAST(count(*) AS DOUBLE), 6) AS containment FROM i LEFT JOIN t USING (s) GROUP BY item_id)"""
 
@@ -121,8 +188,9 @@ def containment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _VAL = "substr(md5('1337:' || doc_id), 1, 2) < '10'"
-_MATCH = f"""{_SIG}, {_bands(4)}, p AS (SELECT DISTINCT x.doc_id AS val, y.doc_id AS train FROM b x JOIN b y USING (band, key) WHERE substr(md5('1337:' || x.doc_id), 1, 2) < '10' AND NOT substr(md5('1337:' || y.doc_id), 1, 2) < '10'),
-  q AS (SELECT val, train, len(list_filter(range(1, {PERMS + 1}), lambda i: x.sig[i] = y.sig[i])) / {float(PERMS)} AS agreement FROM p JOIN g x ON x.doc_id = val JOIN g y ON y.doc_id = train), m AS (SELECT val, agreement, train FROM (SELECT *, row_number() OVER (PARTITION BY val ORDER BY agreement DESC, train) AS r FROM q) WHERE r = 1 AND agreement >= 0.4)"""
+_MATCH = f"""{_SIG}, sd AS (SELECT doc_id, sig, {_VAL} AS held FROM g), sk AS (SELECT held, sig, min(doc_id) AS rep FROM sd GROUP BY held, sig), {_bands(4).replace('FROM k)', 'FROM sk)')}, p AS MATERIALIZED (SELECT DISTINCT x.rep AS val, y.rep AS train FROM b x JOIN b y USING (band, key) JOIN sk m ON m.rep = x.rep AND m.held JOIN sk o ON o.rep = y.rep AND NOT o.held),
+  q AS (SELECT val, train, {_AGREE} AS agreement FROM p JOIN sk x ON x.rep = val JOIN sk y ON y.rep = train), w AS (SELECT val, agreement, train FROM (SELECT *, row_number() OVER (PARTITION BY val ORDER BY agreement DESC, train) AS r FROM q) WHERE r = 1 AND agreement >= 0.4),
+  m AS (SELECT sd.doc_id AS val, agreement, train FROM sd JOIN sk ON sd.sig = sk.sig AND sk.held JOIN w ON w.val = sk.rep WHERE sd.held)"""
 
 
 def _side(c: str = "doc_id"):
@@ -132,14 +200,14 @@ def _side(c: str = "doc_id"):
 @R.add(f"WITH {_MATCH} SELECT * FROM m")
 def best_train_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The most similar training document of each held-out one, by low-threshold bands."""
-    s = N.signatures(table(spark, sf_dir, "documents"), PERMS)
-    b = N.bands(s, 4)
-    val = b.filter(_side()).withColumnRenamed("doc_id", "val")
-    train = b.filter(~_side()).withColumnRenamed("doc_id", "train")
-    p = val.join(train, ["band", "key"]).select("val", "train").distinct()
-    j = p.join(s.toDF("val", "x"), "val").join(s.toDF("train", "y"), "train").withColumn("agreement", N.agreement(F.col("x"), F.col("y")))
-    best = j.groupBy("val").agg(F.min(F.struct((-F.col("agreement")).alias("m"), "train")).alias("k"))
-    return best.select("val", (-F.col("k.m")).alias("agreement"), F.col("k.train").alias("train")).filter("agreement >= 0.4")
+    s = Scratch(spark, "leakage").table(_sigs(spark, sf_dir), "signatures")
+    return N.best_matches(spark, s, _side()).filter("agreement >= 0.4").withColumnRenamed("held", "val")
+
+
+@R.add(f"WITH {_MATCH} SELECT val, agreement, train FROM m ORDER BY agreement DESC, val LIMIT 20")
+def closest_train_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty held-out documents that agree most with a training one."""
+    return best_train_match(spark, sf_dir).orderBy(F.desc("agreement"), "val").limit(20)
 
 
 @R.add(f"WITH {_MATCH} SELECT doc_id, CASE WHEN {_VAL} THEN 'val' ELSE 'train' END AS side FROM documents WHERE doc_id NOT IN (SELECT val FROM m WHERE agreement >= 0.5)")
@@ -164,15 +232,18 @@ def _order(c: str = "doc_id"):
 def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of each source the first max(1, round(n / 20)) documents in hash order are held out.
 
-    The cut is a hash value found from the counts: window rows are ids and hashes only, and
-    the rank filter is applied within each task before they meet.
+    Ids and hashes are ordered in ranges that cut across sources; a document's rank in its source
+    is its place less the documents of the sources before, one row for each source.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", _order().alias("h"))
-    n = d.groupBy("source").agg(F.greatest(F.lit(1), F.bround(F.count("*") * 0.05)).cast("int").alias("take"))
-    most = n.agg(F.max("take")).first()[0] or 1
-    ranked = d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("h"))).filter(F.col("k") <= most)
-    cut = ranked.join(n, "source").filter("k = take").select("source", F.col("h").alias("last"))
-    return d.join(cut, "source").select("doc_id", "source", F.when(F.col("h") <= F.col("last"), "val").otherwise("train").alias("side"))
+    n = d.groupBy("source").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("source")) - F.col("n"))
+    ranked = in_groups(spark, d, n, ["h", "doc_id"])
+    return ranked.select("doc_id", "source", F.when(F.col("k") < F.greatest(F.lit(1), F.bround(F.col("n") * 0.05)), "val").otherwise("train").alias("side"))
+
+
+def in_groups(spark: SparkSession, d: DataFrame, n: DataFrame, keys: list[str]) -> DataFrame:
+    """``d`` with ``k``, the place (from 0) of each document in its source, and the source's ``n``."""
+    return ordinals(spark, d, ["source", *keys], "place").join(n, "source").withColumn("k", F.col("place") - F.col("before")).drop("place", "before")
 
 
 @R.add(
@@ -182,23 +253,21 @@ def stratified_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 def positional_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last tenth of the bytes in the order of source and id: which sources it holds.
 
-    Offsets are exact but no task sees all rows: a running sum over sources (one row each)
-    gives where each source begins, and each source is ordered by itself.
+    Offsets are exact but no task sees all rows: ids and sizes are ordered in ranges.
     """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", F.octet_length("text").cast("long").alias("b"))
-    s = d.groupBy("source").agg(F.sum("b").alias("s"))
-    s = s.select("source", (F.sum("s").over(Window.orderBy("source")) - F.col("s")).alias("before"), F.sum("s").over(Window.partitionBy()).alias("total"))
-    w = Window.partitionBy("source").orderBy("doc_id")
-    r = d.join(s, "source").withColumn("cursor", F.col("before") + F.sum("b").over(w) - F.col("b"))
+    total = d.agg(F.sum("b").alias("total"))
+    r = running(spark, d, ["source", "doc_id"], "b", "cursor").crossJoin(F.broadcast(total))
     return r.filter(F.col("cursor") + F.col("b") > F.col("total") * 0.9).groupBy("source").agg(F.count("*").alias("docs"), F.sum("b").alias("bytes"), F.min("cursor").alias("first_byte"))
 
 
 @R.add("WITH r AS (SELECT doc_id, lang, strlen(text) AS b, coalesce(sum(strlen(text)) OVER (PARTITION BY lang ORDER BY md5('1337:' || doc_id) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM documents) SELECT doc_id, lang, CAST(used AS BIGINT) AS used FROM r WHERE used < 20000")
 def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents in hash order while a language's byte budget lasts (ids, sizes and hashes are ordered, no texts)."""
+    """Documents in hash order while a language's byte budget lasts (ids, sizes and hashes are ordered, in ranges)."""
     d = table(spark, sf_dir, "documents").select("doc_id", "lang", F.octet_length("text").cast("long").alias("b"), _order().alias("h"))
-    used = F.sum("b").over(Window.partitionBy("lang").orderBy("h")) - F.col("b")
-    return d.withColumn("used", used).filter("used < 20000").select("doc_id", "lang", "used")
+    before = d.groupBy("lang").agg(F.sum("b").alias("s")).select("lang", (F.sum("s").over(Window.orderBy("lang")) - F.col("s")).alias("before"))
+    r = running(spark, d, ["lang", "h", "doc_id"], "b", "cursor").join(before, "lang")
+    return r.withColumn("used", F.col("cursor") - F.col("before")).filter("used < 20000").select("doc_id", "lang", "used")
 
 
 @R.add(
@@ -208,10 +277,9 @@ def budget_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 def systematic_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five evenly spaced documents of each source."""
     d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    n = d.groupBy("source").agg(F.count("*").alias("n"))
+    n = d.groupBy("source").agg(F.count("*").alias("n")).withColumn("before", F.sum("n").over(Window.orderBy("source")) - F.col("n"))
     p = n.select("source", F.explode(F.expr("sequence(0L, least(5, n) - 1)")).alias("i"), "n").selectExpr("source", "i", "i * (n - 1) div greatest(1, least(5, n) - 1) AS k")
-    r = d.withColumn("k", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1)
-    return p.join(r, ["source", "k"]).select("source", "i", "doc_id")
+    return p.join(in_groups(spark, d, n, ["doc_id"]), ["source", "k"]).select("source", "i", "doc_id")
 
 
 @R.add(

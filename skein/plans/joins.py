@@ -133,17 +133,22 @@ _W = words("lower(text)")
 
 
 @R.add(
-    f"""WITH p AS (SELECT item_id, array_to_string({_W}[3:5], ' ') AS phrase, array_to_string({_W}[1:12], ' ') AS passage FROM benchmark WHERE len({_W}) >= 12)
-  SELECT item_id, count(doc_id) AS docs, min(doc_id) AS first FROM p JOIN (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents) d ON contains(t, ' ' || passage || ' ') GROUP BY item_id"""
+    f"""WITH i AS (SELECT item_id, {_W} AS w FROM benchmark), p AS (SELECT DISTINCT item_id, array_to_string(w[k + 1:k + 12], ' ') AS passage FROM (SELECT item_id, w, unnest(range(greatest(1, len(w) - 11))) AS k FROM i WHERE len(w) > 0))
+  SELECT item_id, count(DISTINCT doc_id) AS docs, min(doc_id) AS first FROM p JOIN (SELECT doc_id, ' ' || array_to_string({_W}, ' ') || ' ' AS t FROM documents) d ON contains(t, ' ' || passage || ' ') GROUP BY item_id"""
 )
 def passages_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Containment as a theta join: an equi-join on a three-word phrase first, then the passage itself."""
-    b = table(spark, sf_dir, "benchmark").withColumn("w", T.words(F.lower("text"))).filter("size(w) >= 12")
-    p = b.select("item_id", F.array_join(F.slice("w", 3, 3), " ").alias("phrase"), F.array_join(F.slice("w", 1, 12), " ").alias("passage"))
+    """Containment as a theta join: every run of twelve words of an item, and short items as they are; an equi-join
+    on a passage's first three words comes first, then the passage itself decides.
+    """
+    b = table(spark, sf_dir, "benchmark").select("item_id", T.words(F.lower("text")).alias("w")).filter("size(w) > 0")
+    runs = b.select("item_id", F.explode(F.expr("transform(sequence(1, greatest(1, size(w) - 11)), k -> slice(w, k, 12))")).alias("p")).distinct()
+    p = runs.select("item_id", F.array_join(F.slice("p", 1, 3), " ").alias("phrase"), F.concat(F.lit(" "), F.array_join("p", " "), F.lit(" ")).alias("passage"))
     d = table(spark, sf_dir, "documents").select("doc_id", T.words(F.lower("text")).alias("w"))
-    grams = d.select("doc_id", F.explode(N.shingles(F.col("w"), 3)).alias("phrase")).join(p.select("phrase").distinct(), "phrase", "left_semi")
-    pairs = grams.join(p, "phrase").join(d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t")), "doc_id")
-    return pairs.filter(F.col("t").contains(F.concat(F.lit(" "), F.col("passage"), F.lit(" ")))).groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
+    phrases = p.select("phrase").distinct()
+    grams = F.expr("array_distinct(flatten(array(transform(sequence(1, greatest(1, size(w))), k -> array_join(slice(w, k, 3), ' ')), if({short}, w, array()), if({short}, transform(sequence(1, greatest(1, size(w))), k -> array_join(slice(w, k, 2), ' ')), array()))))".format(short=str(bool(runs.filter("size(p) < 3").limit(1).count())).lower()))
+    hit = d.select("doc_id", F.explode(grams).alias("phrase")).join(phrases, "phrase", "left_semi").join(p, "phrase")
+    pairs = hit.join(d.select("doc_id", F.concat(F.lit(" "), F.array_join("w", " "), F.lit(" ")).alias("t")), "doc_id").filter(F.expr("contains(t, passage)"))
+    return pairs.select("item_id", "doc_id").distinct().groupBy("item_id").agg(F.count("*").alias("docs"), F.min("doc_id").alias("first"))
 
 
 @R.add(

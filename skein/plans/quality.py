@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skein import config
 from skein.config import WESTERN, WESTERN_GATE
 from skein.functions import text as T
+from skein.operators import measures as M
 from skein.plans.base import BLANK, Registry, count_of, matching, quote, share, strip, table, words
 
 R = Registry()
@@ -25,16 +26,15 @@ _REASON = f"""CASE WHEN length({strip('text')}) = 0 THEN 'empty' WHEN alpha < {G
 @R.add(f"SELECT doc_id, round(alpha, 4) AS alpha, round(cyrillic, 4) AS cyrillic, round(diacritic, 4) AS diacritic, round(stopword, 4) AS stopword, {_REASON} AS reason FROM ({_SIGNALS})")
 def gate_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals of each document, as logged with its rejection, and the first reason against it."""
-    d = table(spark, sf_dir, "documents")
-    s = T.language_signals("text", P)
-    return d.select("doc_id", F.round(T.clean_word_share("text", P), 4).alias("alpha"), *(F.round(s[k], 4).alias(k) for k in ("cyrillic", "diacritic", "stopword")), T.gate_reason("text", P, G).alias("reason"))
+    d = M.measure(table(spark, sf_dir, "documents"), P, ["doc_id"])
+    return d.select("doc_id", *(F.round(c, 4).alias(k) for k, c in M.signals().items()), M.reason(G).alias("reason"))
 
 
 @R.add(f"SELECT lang, coalesce({_REASON}, 'kept') AS reason, count(*) AS n, sum(strlen(text))::BIGINT AS n_bytes FROM ({_SIGNALS}) GROUP BY ALL")
 def gate_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and bytes by language and verdict of the gate."""
-    d = table(spark, sf_dir, "documents").withColumn("reason", F.coalesce(T.gate_reason("text", P, G), F.lit("kept")))
-    return d.groupBy("lang", "reason").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).cast("long").alias("n_bytes"))
+    d = M.measure(table(spark, sf_dir, "documents"), P, ["lang"]).withColumn("reason", F.coalesce(M.reason(G), F.lit("kept")))
+    return d.groupBy("lang", "reason").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("n_bytes"))
 
 
 _LINE = "unnest(string_split(text, chr(10)))"

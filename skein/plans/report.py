@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skein import config
 from skein.config import WESTERN
 from skein.functions import text as T
+from skein.operators import measures as M
 from skein.operators.ordering import following
 from skein.plans.base import BLANK, Registry, count_of, table, words
 
@@ -31,8 +32,7 @@ _CLASSES = {
 @R.add(f"SELECT count(*) AS docs, {', '.join(f'sum({c})::BIGINT AS {k}' for k, c in _CLASSES.items())} FROM documents")
 def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Global counters of documents, bytes and character classes."""
-    c = T.character_classes("text", P)
-    return table(spark, sf_dir, "documents").agg(F.count("*").alias("docs"), *(F.sum(v).alias(k) for k, v in c.items()))
+    return M.measure(table(spark, sf_dir, "documents"), P, []).agg(F.count("*").alias("docs"), *(F.sum(f"n_{k}").alias(k) for k in _CLASSES))
 
 
 @R.add(
@@ -41,8 +41,8 @@ def corpus_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counters and share of bytes by source; the total is a window over one row for each source."""
-    d = table(spark, sf_dir, "documents")
-    g = d.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.octet_length("text")).cast("long").alias("bytes"), F.sum(F.size(T.words("text"))).cast("long").alias("words"))
+    d = M.measure(table(spark, sf_dir, "documents"), P, ["source"])
+    g = d.groupBy("source").agg(F.count("*").alias("docs"), F.sum("n_bytes").alias("bytes"), F.sum("n_words").alias("words"))
     total = F.sum("bytes").over(Window.partitionBy())
     return g.withColumn("est_tokens", F.round(F.col("bytes") / BYTES_A_TOKEN, 2)).withColumn("bytes_share", F.round(F.col("bytes") / total, 6))
 

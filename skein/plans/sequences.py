@@ -94,18 +94,21 @@ def priority_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.orderBy("priority", "event_type")
 
 
-@R.add("WITH old AS (SELECT user_id, event_type, max(event_id) AS v FROM events WHERE event_id % 3 = 0 GROUP BY ALL), new AS (SELECT user_id, event_type, max(event_id) AS v FROM events WHERE event_id % 5 = 0 GROUP BY ALL) SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.v, o.v) AS v, n.v IS NOT NULL AS fresh FROM old o FULL JOIN new n ON o.user_id = n.user_id AND o.event_type = n.event_type")
+_FRESH = "substr(md5('side:' || event_id), 1, 1) < '8'"
+
+
+@R.add(f"WITH old AS (SELECT user_id, event_type, max(event_id) AS v FROM events WHERE NOT {_FRESH} GROUP BY ALL), new AS (SELECT user_id, event_type, max(event_id) AS v FROM events WHERE {_FRESH} GROUP BY ALL) SELECT coalesce(n.user_id, o.user_id) AS user_id, coalesce(n.event_type, o.event_type) AS event_type, coalesce(n.v, o.v) AS v, n.v IS NOT NULL AS fresh FROM old o FULL JOIN new n ON o.user_id = n.user_id AND o.event_type = n.event_type")
 def upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded cache with newer rows taking the place of older ones."""
-    e = table(spark, sf_dir, "events")
-    side = lambda k, n: e.filter(F.col("event_id") % k == 0).groupBy("user_id", "event_type").agg(F.max("event_id").alias(n))
-    j = side(3, "o").join(side(5, "n"), ["user_id", "event_type"], "full_outer")
+    """A seeded cache with newer rows taking the place of older ones. Every event is on one side, by its hash."""
+    e = table(spark, sf_dir, "events").withColumn("fresh", F.substring(F.md5(F.concat(F.lit("side:"), F.col("event_id").cast("string")).cast("binary")), 1, 1) < "8")
+    side = lambda keep, n: e.filter(keep).groupBy("user_id", "event_type").agg(F.max("event_id").alias(n))
+    j = side("NOT fresh", "o").join(side("fresh", "n"), ["user_id", "event_type"], "full_outer")
     return j.select("user_id", "event_type", F.coalesce("n", "o").alias("v"), F.col("n").isNotNull().alias("fresh"))
 
 
 # ---- token streams: documents end with id 0
 
-_IDS = f"list_append(list_transform({words('lower(text)')}, lambda w: (('0x' || substr(md5(w), 1, 6))::BIGINT % 7999) + 1), 0)"
+IDS = f"list_append(list_transform({words('lower(text)')}, lambda w: (('0x' || substr(md5(w), 1, 6))::BIGINT % 7999) + 1), 0)"
 
 
 def stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,14 +123,14 @@ def bounds(spark: SparkSession, ids: DataFrame) -> DataFrame:
     return running(spark, n, ["doc_id"], "n", "start").selectExpr("doc_id", "start", "start + n AS stop")
 
 
-@R.add(f"WITH s AS (SELECT doc_id, {_IDS} AS ids FROM documents), b AS (SELECT doc_id, sum(len(ids)) OVER (ORDER BY doc_id) AS stop, len(ids) AS n FROM s) SELECT doc_id, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM b")
+@R.add(f"WITH s AS (SELECT doc_id, {IDS} AS ids FROM documents), b AS (SELECT doc_id, sum(len(ids)) OVER (ORDER BY doc_id) AS stop, len(ids) AS n FROM s) SELECT doc_id, (stop - n)::BIGINT AS start, stop::BIGINT AS stop FROM b")
 def document_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each document lies in the stream; a document ends where its end id stands."""
     return bounds(spark, stream(spark, sf_dir))
 
 
 @R.add(
-    f"""WITH s AS (SELECT doc_id, unnest({_IDS}) AS t, unnest(range(len({_IDS}))) AS k FROM documents), p AS (SELECT t, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM s), m AS (SELECT count(*) // 256 AS w FROM s),
+    f"""WITH s AS (SELECT doc_id, unnest({IDS}) AS t, unnest(range(len({IDS}))) AS k FROM documents), p AS (SELECT t, row_number() OVER (ORDER BY doc_id, k) - 1 AS pos FROM s), m AS (SELECT count(*) // 256 AS w FROM s),
   v AS (SELECT DISTINCT i, CAST(floor(i * (w - 1) / 15.0) AS BIGINT) * 256 AS start FROM range(16) r(i), m)
   SELECT i, start, sum(t)::BIGINT AS total, sum(CASE WHEN t = 0 THEN 1 ELSE 0 END)::BIGINT AS ends, count(*) AS n FROM v JOIN p ON pos >= start AND pos < start + 256 GROUP BY ALL"""
 )
@@ -148,7 +151,7 @@ def evaluation_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("i", "start").agg(F.sum("t").alias("total"), F.count_if(F.col("t") == 0).alias("ends"), F.count("*").alias("n"))
 
 
-@R.add(f"WITH s AS (SELECT doc_id, {_IDS} AS ids FROM documents) SELECT doc_id, CAST(len(ids) - 1 AS BIGINT) AS pairs, CAST(list_sum(list_transform(range(1, len(ids)), lambda i: ids[i] * 3 + ids[i + 1])) AS BIGINT) AS checksum FROM s WHERE len(ids) > 1")
+@R.add(f"WITH s AS (SELECT doc_id, {IDS} AS ids FROM documents) SELECT doc_id, CAST(len(ids) - 1 AS BIGINT) AS pairs, CAST(list_sum(list_transform(range(1, len(ids)), lambda i: ids[i] * 3 + ids[i + 1])) AS BIGINT) AS checksum FROM s WHERE len(ids) > 1")
 def next_token_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inputs and targets shifted by one, checked by a sum over the pairs."""
     d = stream(spark, sf_dir).filter("size(ids) > 1")

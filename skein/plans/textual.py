@@ -3,35 +3,63 @@
 from __future__ import annotations
 
 import hashlib
-import json
+from collections.abc import Iterator
+from dataclasses import asdict, replace
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from skein.config import WESTERN, WESTERN_GATE, Gate, Profile
 from skein.functions import text as T
+from skein.operators import measures as M
 from skein.plans.base import BLANK, Registry, count_of, matching, quote, strip, table, words
-from skein.plans.quality import _EDGE, _REASONS
+from skein.plans.quality import _EDGE, _REASON, _REASONS, _SIGNALS
 
 R = Registry()
 P = WESTERN
 
 
-@R.add()
+# DuckDB's levenshtein counts bytes: in the twin each letter beyond ASCII is one control character
+_FAR = "óéñüèäößíêçÉÑÈÜÄÖÓÊÍÇ"
+_NEAR = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 14 + len(_FAR) - 8)])
+
+
+@R.add(
+    f"""WITH c AS (SELECT conv_id, turn, text, translate(text, '{_FAR}', {_NEAR}) AS t FROM conversations)
+  SELECT a.conv_id, count(*) AS pairs, sum(levenshtein(a.t, b.t))::BIGINT AS edits, sum(length(a.text))::BIGINT AS chars, round(sum(levenshtein(a.t, b.t)) / CAST(sum(length(a.text)) AS DOUBLE), 6) AS cer FROM c a JOIN c b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 GROUP BY a.conv_id"""
+)
 def character_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edits of the next turn against this one, whole texts, micro-averaged."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
-    e = p.select("conv_id", F.levenshtein("a", "b").alias("e"), F.length("a").alias("n"))
+    e = p.select("conv_id", F.levenshtein("a", "b").cast("long").alias("e"), F.length("a").alias("n"))
     return e.groupBy("conv_id").agg(F.count("*").alias("pairs"), F.sum("e").alias("edits"), F.sum("n").cast("long").alias("chars"), F.round(F.sum("e") / F.sum("n"), 6).alias("cer"))
 
 
-def word_code_points(a, b):
-    """Two texts as strings with one private code point for each distinct word, so that ``levenshtein`` counts words."""
-    x, y = T.words(a), T.words(b)
-    known = F.array_distinct(F.concat(x, y))
-    code = lambda w: F.array_join(F.transform(w, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, t) + 0x4E00), 8, "0")), "utf-32")), "")
-    return code(x), code(y), F.size(x)
+def edit_distance(x: np.ndarray, y: np.ndarray) -> int:
+    """Levenshtein distance of two arrays of ids, a row of the table at a time; memory is one row."""
+    if len(x) < len(y):
+        x, y = y, x
+    step = np.arange(len(y) + 1)
+    row = step.copy()
+    for i, v in enumerate(x.tolist(), 1):
+        least = np.concatenate([[i], np.minimum(row[1:] + 1, row[:-1] + (y != v))])
+        row = np.minimum.accumulate(least - step) + step  # insertions, from left to right
+    return int(row[-1])
+
+
+@F.pandas_udf(LongType())
+def word_distances(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Edits by words between two texts; null counts as empty."""
+    for a, b in batches:
+        out = []
+        for s, t in zip(a, b, strict=True):
+            known: dict[str, int] = {}
+            out.append(edit_distance(*(np.array([known.setdefault(v, len(known)) for v in (side or "").split()], np.int64) for side in (s, t))))
+        yield pd.Series(out, dtype="int64")
 
 
 @R.add()
@@ -39,8 +67,7 @@ def word_error_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same on words."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("a"))
     p = c.join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("a").alias("b")), ["conv_id", "turn"])
-    x, y, n = word_code_points("a", "b")
-    return p.groupBy("conv_id").agg(F.sum(F.levenshtein(x, y)).alias("edits"), F.sum(n).alias("words"))
+    return p.groupBy("conv_id").agg(F.sum(word_distances("a", "b")).alias("edits"), F.sum(F.size(T.words("a"))).alias("words"))
 
 
 @R.add("SELECT page_id, html_tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS html_tag FROM pages) GROUP BY ALL")
@@ -152,23 +179,41 @@ def formatted_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def gate_fingerprint(profile: Profile = WESTERN, gate: Gate = WESTERN_GATE) -> str:
     """Twelve digits that change with any setting of the gate, stamped on its rejections."""
-    settings = {"alpha": gate.min_alpha, "diacritic": gate.min_diacritic, "stopword": gate.min_stopword, "cyrillic": gate.max_cyrillic, "line_alpha": gate.line_min_alpha, "line_words": gate.line_min_words, "cleaning": gate.cleaning, "stopwords": sorted(profile.stopwords)}
-    return hashlib.sha1(json.dumps(settings, sort_keys=True).encode()).hexdigest()[:12]
+    settings = repr(sorted((asdict(gate) | asdict(profile)).items()))
+    return hashlib.sha256(settings.encode()).hexdigest()[:12]
 
 
-@R.add(f"WITH l AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'stale' ELSE '{gate_fingerprint()}' END AS gate, CASE WHEN length(text) < 200 THEN 'short' ELSE 'alpha' END AS reason FROM documents WHERE doc_id % 2 = 0) SELECT reason, sum(CASE WHEN gate = '{gate_fingerprint()}' THEN 1 ELSE 0 END)::BIGINT AS current, sum(CASE WHEN gate <> '{gate_fingerprint()}' THEN 1 ELSE 0 END)::BIGINT AS stale FROM l GROUP BY reason")
+_OLD = replace(WESTERN_GATE, min_alpha=0.6)
+
+
+@R.add(
+    f"""WITH l AS (SELECT CASE WHEN substr(md5('gate:' || doc_id), 1, 1) < '4' THEN '{gate_fingerprint(gate=_OLD)}' ELSE '{gate_fingerprint()}' END AS gate, {_REASON} AS reason FROM ({_SIGNALS}))
+  SELECT reason, sum(CASE WHEN gate = '{gate_fingerprint()}' THEN 1 ELSE 0 END)::BIGINT AS current, sum(CASE WHEN gate <> '{gate_fingerprint()}' THEN 1 ELSE 0 END)::BIGINT AS stale FROM l WHERE reason IS NOT NULL GROUP BY reason"""
+)
 def rejection_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rejections by reason, under the current gate and under older ones, which a loosened gate re-opens."""
+    """The gate's rejections of all documents by reason, under the current gate's stamp and under an older one's,
+    which a loosened gate re-opens (a quarter of the ledger, by hash, is from the older gate).
+    """
     now = gate_fingerprint()
-    d = table(spark, sf_dir, "documents").filter("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 3 == 0, "stale").otherwise(now).alias("gate"), F.when(F.length("text") < 200, "short").otherwise("alpha").alias("reason"))
-    return d.groupBy("reason").agg(F.count_if(F.col("gate") == now).alias("current"), F.count_if(F.col("gate") != now).alias("stale"))
+    d = M.measure(table(spark, sf_dir, "documents"), P, ["doc_id"]).withColumn("reason", M.reason(WESTERN_GATE)).filter("reason IS NOT NULL")
+    old = F.substring(F.md5(F.concat(F.lit("gate:"), F.col("doc_id").cast("string")).cast("binary")), 1, 1) < "4"
+    gate = F.when(old, gate_fingerprint(gate=_OLD)).otherwise(now)
+    return d.groupBy("reason").agg(F.count_if(gate == now).alias("current"), F.count_if(gate != now).alias("stale"))
+
+
+_LANES = tuple(range(0, 60, 15))
+_LANE_SUMS = " || ':' || ".join(f"sum(('0x' || substr(x, {k + 1}, 15))::BIGINT)::VARCHAR" for k in _LANES)
 
 
-@R.add("SELECT source, sha256(array_to_string(list_sort(list(doc_id || ':' || md5(text))), chr(10))) AS digest FROM documents GROUP BY source")
+@R.add(f"SELECT source, sha256(count(*) || ':' || {_LANE_SUMS}) AS digest FROM (SELECT source, sha256(doc_id || ':' || md5(text)) AS x FROM documents WHERE text IS NOT NULL) GROUP BY source")
 def canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A digest of a set that doesn't depend on its order; one short entry for each member is collected."""
-    d = table(spark, sf_dir, "documents").select("source", F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).alias("x"))
-    return d.groupBy("source").agg(F.sha2(F.array_join(F.sort_array(F.collect_list("x")), "\n").cast("binary"), 256).alias("digest"))
+    """A digest of a set that doesn't depend on its order: members' digests are added up in four lanes of
+    60 bits, so that partial sums meet and nothing of a member is collected.
+    """
+    entry = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.col("text").cast("binary"))).cast("binary"), 256)
+    d = table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("source", entry.alias("x"))
+    lanes = [F.sum(F.conv(F.substring("x", k + 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").cast("string") for k in _LANES]
+    return d.groupBy("source").agg(F.sha2(F.concat_ws(":", F.count("*").cast("string"), *lanes).cast("binary"), 256).alias("digest"))
 
 
 @R.add("SELECT doc_id, sha256(substr(text, 1, 100) || '|' || substr(text, greatest(1, length(text) - 99)) || '|' || strlen(text)) AS fingerprint FROM documents")
