@@ -59,8 +59,8 @@ MODERN_STEMS = ("internet", "smartfon", "komputer", "telewiz", "telefon komórk"
 PERIOD_STEMS = ("telefon", "automobil", "aeroplan", "samochod", "samochód", "samolot", "lotnisk", "czołg", "bolszewi", "sowiet", "radjo", "radiow")
 MODERN_PATTERNS = {
     "isbn_number": r"(?:^|[^\p{L}\p{N}_])isbn[\s.:]{0,3}\d[\p{L}\p{N}_'’–-]{4,}",
-    "second_world_war": r"(?:drugiej|drugą|druga|(?:^|[^\p{L}\p{N}_])ii)\s+wojn[\p{L}\p{N}_]*\s+światow",
-    "public_domain": r"domen[\p{L}\p{N}_]*\s+publiczn",
+    "druga_wojna_światowa": r"(?:drugiej|drugą|druga|(?:^|[^\p{L}\p{N}_])ii)\s+wojn[\p{L}\p{N}_]*\s+światow",
+    "domena_publiczna": r"domen[\p{L}\p{N}_]*\s+publiczn",
 }
 
 
