@@ -12,13 +12,21 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: set[str] = set()
+#: what an Arrow batch holds at most, unless the session says otherwise: a worker and its JVM hold several
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make ``skein`` importable in the Python workers, once per application."""
+    """Make ``skein`` importable in the Python workers, once per application, and bound Arrow batches in bytes
+    (Spark's own bound, 10,000 rows, is no bound on texts). Settings that the session has stay.
+    """
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
+    given = spark.sparkContext.getConf()
+    for name, value in BATCH.items():
+        if not given.contains(name):
+            spark.conf.set(name, value)
     root = os.path.dirname(os.path.abspath(__file__))
     target = os.path.join(tempfile.mkdtemp(prefix="skein"), "skein_pkg.zip")
     with zipfile.ZipFile(target, "w") as z:
