@@ -6,6 +6,8 @@ its name) and return a column, so that Catalyst sees one expression for each tex
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -349,6 +351,49 @@ def highlight(text: Column | str, pattern: str) -> Column:
     return F.regexp_replace(t, f"({pattern})", "<mark>$1</mark>")
 
 
+def mark_spans(text: Column | str, spans: Column) -> Column:
+    """HTML-escaped text with ``<mark>`` around spans (structs of start and stop, from 0): in order, those that
+    overlap an earlier one left out. Escaping comes first, so that no mark is escaped.
+    """
+
+    def safe(t: Column) -> Column:
+        for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+            t = F.replace(t, F.lit(raw), F.lit(entity))
+        return t
+
+    t = col(text)
+    cut = lambda a, b: safe(F.substring(t, (a + 1).cast("int"), (b - a).cast("int")))
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
+
+    def add(acc: Column, s: Column) -> Column:
+        a, b = s["start"].cast("long"), s["stop"].cast("long")
+        marked = F.concat(acc["out"], cut(acc["at"], a), F.lit("<mark>"), cut(a, b), F.lit("</mark>"))
+        return F.when(a >= acc["at"], F.struct(marked.alias("out"), b.alias("at"))).otherwise(acc)
+
+    return F.aggregate(F.array_sort(spans), start, add, lambda acc: F.concat(acc["out"], cut(acc["at"], F.length(t).cast("long"))))
+
+
+def route_reason(cleaned: Column, max_score: float = 0.55, min_len: int = 200) -> Column:
+    """Why ``route`` sends a text where it does, in words; null for a clean one."""
+    n, score = F.length(cleaned), noise_score(cleaned)
+    return F.when(n < min_len, F.format_string(f"length %d under {min_len}", n)).when(score > max_score, F.format_string(f"noise %.3f over {max_score}", score))
+
+
+def wrapped(text: str, width: int = 92) -> list[str]:
+    """Greedy lines of at most ``width`` visible characters; ANSI escapes take no room, longer words stand alone."""
+    out: list[str] = []
+    size = 0
+    for word in text.split():
+        seen = len(re.sub(r"\x1b\[[0-9;]*m", "", word))
+        if out and size + 1 + seen <= width:
+            out[-1] += f" {word}"
+            size += 1 + seen
+        else:
+            out.append(word)
+            size = seen
+    return out
+
+
 def uploader(identifier: Column) -> Column:
     """The library's domain at the head of a dotted identifier, without its accession labels;
     google-books by its ending, else other.

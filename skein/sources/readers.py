@@ -104,5 +104,10 @@ def training_log(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
     number = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
     d = lines.select("line", number(r"^step\s+(\d+)").cast("long").alias("own"), number(r"(?:^|\| )loss ([0-9.]+)").cast("double").alias("loss"), number(r"val loss ([0-9.]+)").cast("double").alias("val_loss"))
-    w = Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    return d.withColumn("step", F.last("own", ignorenulls=True).over(w)).filter("loss IS NOT NULL OR val_loss IS NOT NULL").select("line", "step", "loss", "val_loss")
+    d = d.withColumn("part", F.shiftright("line", 33))  # a file split: what is before it is one row for each split
+    w = Window.partitionBy("part").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    ends = d.filter("own IS NOT NULL").groupBy("part").agg(F.max_by("own", "line").alias("last"))
+    before = d.select("part").distinct().join(ends, "part", "left")
+    before = before.select("part", F.last("last", ignorenulls=True).over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    inside = d.withColumn("inside", F.last("own", ignorenulls=True).over(w)).filter("loss IS NOT NULL OR val_loss IS NOT NULL")
+    return inside.join(before, "part").select("line", F.coalesce("inside", "carried").alias("step"), "loss", "val_loss")

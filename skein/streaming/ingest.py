@@ -5,8 +5,10 @@ repeated after a failure meets its own rows: writes anti-join what is there alre
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -53,6 +55,27 @@ def regate(spark: SparkSession, clean: str, profile: Profile = WESTERN, gate: Ga
     return d.filter("reason IS NULL").drop("reason"), d.filter("reason IS NOT NULL").select("doc_id", "reason")
 
 
+def reclean(spark: SparkSession, clean: str, cleaner: Callable[[Column], Column], profile: Profile = WESTERN, gate: Gate = WESTERN_GATE) -> tuple[DataFrame, DataFrame]:
+    """Stored documents after another cleaner: those that still pass the gate, and the others with the reason."""
+    d = spark.read.parquet(clean).withColumn("text", cleaner(F.col("text"))).withColumn("reason", T.gate_reason("text", profile, gate))
+    return d.filter("reason IS NULL").drop("reason"), d.filter("reason IS NOT NULL").select("doc_id", "reason")
+
+
+def encode_stream(docs: DataFrame, encode: Callable[[], Callable[[str], list[int]]], out: str, checkpoint: str) -> StreamingQuery:
+    """Texts of a stream (doc_id, text) encoded batch by batch and appended as (doc_id, ids). ``encode`` is called
+    once for each Python worker's task and gives the encoder; how much is in a batch is the source's option.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encode()
+        for batch in batches:
+            ids = [None if t is None else encoder(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    coded = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return coded.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+
+
 def failed_only(items: DataFrame, done: DataFrame, key: str = "id") -> DataFrame:
     """Items to be asked again: those without a result that isn't an error."""
     return items.join(done.filter("error IS NULL").select(key), key, "left_anti")

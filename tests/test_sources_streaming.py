@@ -44,7 +44,8 @@ def test_training_log(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([(i, "s" + str(i % 2), "text " * i) for i in range(50)], "doc_id long, source string, text string")
     writers.shards(docs, str(tmp_path / "shards"), shard_bytes=1000)
-    assert len(list((tmp_path / "shards").glob("*.zstd.parquet"))) > 2 and spark.read.parquet(str(tmp_path / "shards")).count() == 50
+    names = sorted(f.name for f in (tmp_path / "shards").glob("*.parquet"))
+    assert len(names) > 2 and names[0] == f"train-00000-of-{len(names):05d}.parquet" and spark.read.parquet(str(tmp_path / "shards")).count() == 50
     writers.by_source(docs, str(tmp_path / "by"))
     assert {p.name for p in (tmp_path / "by").glob("source=*")} == {"source=s0", "source=s1"}
     writers.two_ways(docs.withColumn("verdict", F.when(F.col("doc_id") < 5, "short").otherwise("clean")), str(tmp_path / "clean"), str(tmp_path / "gone"))
@@ -56,9 +57,15 @@ def test_sinks(spark, tmp_path):
     assert readers.sidecars(spark, str(tmp_path / "csv"), schema="doc_id long, source string").count() == 50
     writers.report(spark, str(tmp_path / "r"), {"k": 1}, counts=docs.groupBy("source").count())
     body = json.loads(spark.read.text(str(tmp_path / "r")).first().value)
-    assert body["meta"]["parameters"] == {"k": 1} and len(body["counts"]) == 2
+    assert body["meta"]["parameters"] == {"k": 1} and len(body["counts"]) == 2 and {"host", "time"} <= body["meta"].keys()
+    with pytest.raises(ValueError):
+        writers.report(spark, str(tmp_path / "r2"), {}, most=10, docs=docs)
     writers.replace_table(docs.limit(3), str(tmp_path / "clean"))
     assert spark.read.parquet(str(tmp_path / "clean")).count() == 3
+    (tmp_path / "clean").rename(tmp_path / "clean.old")  # as if stopped between the two renames
+    writers.recover(spark, str(tmp_path / "clean"))
+    assert spark.read.parquet(str(tmp_path / "clean")).count() == 3
+    assert sorted(p.name for p in tmp_path.glob("clean*")) == ["clean"]
     writers.expect(spark, all_there=(docs.agg(F.count("*").alias("n")), "n = 50"))
     with pytest.raises(AssertionError):
         writers.expect(spark, fewer=(docs.agg(F.count("*").alias("n")), "n < 50"))
@@ -129,3 +136,58 @@ def test_polish_profile(spark):
     rows = spark.createDataFrame([(ok,), ("The English text of a book " * 5,), ("",), ("книга " * 20 + ok,)], "text string")
     got = [r.r for r in rows.select(T.gate_reason("text", POLISH, POLISH_GATE).alias("r")).collect()]
     assert got == [None, "diacritic", "empty", "alpha"] or got == [None, "diacritic", "empty", "cyrillic"]
+
+
+def test_lineages_sums_macros_and_releases(spark, tmp_path):
+    root = str(tmp_path / "metrics")
+    assert writers.newest_lineage(spark, root) is None
+    for name, steps in (("run-1", [1]), ("run-2", [1, 2]), ("run-2", [3])):
+        writers.append_metrics(spark.createDataFrame([(k, k / 2) for k in steps], "step long, loss double"), root, name)
+    assert writers.newest_lineage(spark, root, "run-") == "run-2"
+    assert readers.sidecars(spark, f"{root}/run-2", schema="step long, loss double").agg(F.sum("step")).first()[0] == 6
+    old = spark.createDataFrame([("b", "1"), ("a", "2")], "name string, sum string")
+    assert [(r.name, r.sum) for r in writers.upsert_sums(old, spark.createDataFrame([("b", "9"), ("c", "3")], "name string, sum string")).collect()] == [("a", "2"), ("b", "9"), ("c", "3")]
+    assert [r.value for r in writers.macros(old, "name", "sum").collect()] == ["\\newcommand{\\a}{2}", "\\newcommand{\\b}{1}"]
+    (tmp_path / "README.md").write_text("all done\n")
+    writers.check_release(spark, str(tmp_path), ["README.md", "metrics"])
+    with pytest.raises(AssertionError, match="missing"):
+        writers.check_release(spark, str(tmp_path), ["README.md", "data"])
+    (tmp_path / "README.md").write_text("size: TODO\n")
+    with pytest.raises(AssertionError, match="placeholder"):
+        writers.check_release(spark, str(tmp_path), ["README.md"])
+
+
+def test_log_over_several_splits(spark, tmp_path):
+    for k in range(4):
+        (tmp_path / f"{k}.log").write_text("".join(f"step {100 * k + i} | loss 1.0\nval loss 2.0\n" for i in range(3)) if k != 2 else "val loss 3.0\n")
+    old = spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.openCostInBytes", str(1 << 30))
+    rows = readers.training_log(spark, str(tmp_path)).orderBy("line").collect()
+    spark.conf.set("spark.sql.files.openCostInBytes", old)
+    at, want = None, []
+    for r in sorted(rows, key=lambda r: r.line):
+        at = r.step if r.loss == 1.0 else at
+        want.append(at)
+    assert [r.step for r in rows] == want and len(rows) == 19
+
+
+def test_encoding_and_cleaning_again(spark, tmp_path):
+    spark.createDataFrame([(i, "a bb ccc " * i) for i in range(20)] + [(99, None)], "doc_id long, text string").repartition(4).write.parquet(str(tmp_path / "in"))
+    docs = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    ingest.encode_stream(docs, lambda: lambda t: [len(w) for w in t.split()], str(tmp_path / "ids"), str(tmp_path / "cp")).awaitTermination()
+    rows = {r.doc_id: r.ids for r in spark.read.parquet(str(tmp_path / "ids")).collect()}
+    assert len(rows) == 21 and rows[2] == [1, 2, 3, 1, 2, 3] and rows[99] is None
+    spark.createDataFrame([(1, GOOD), (2, GOOD + " 1 2 3 4 5 6 7 8 9" * 30)], "doc_id long, text string").write.parquet(str(tmp_path / "clean"))
+    kept, gone = ingest.reclean(spark, str(tmp_path / "clean"), lambda t: F.regexp_replace(t, "[0-9]", ""))
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2] and gone.count() == 0
+    assert ingest.regate(spark, str(tmp_path / "clean"))[1].count() == 1
+
+
+def test_marked_spans_reasons_and_lines(spark):
+    from skein.functions import text as T
+
+    df = spark.createDataFrame([("a <b> c & d", [(7, 8), (0, 1), (2, 5), (4, 6)])], "t string, s array<struct<start:int,stop:int>>")
+    assert df.select(T.mark_spans("t", F.col("s"))).first()[0] == "<mark>a</mark> <mark>&lt;b&gt;</mark> c<mark> </mark>&amp; d"
+    short = spark.createDataFrame([("x",), ("word " * 100,), ("1 " * 200,)], "t string").select(T.route_reason(F.col("t")).alias("r"))
+    assert [r.r for r in short.collect()][:2] == ["length 1 under 200", None]
+    assert T.wrapped("aa \x1b[1mbb\x1b[0m cc dd", 5) == ["aa \x1b[1mbb\x1b[0m", "cc dd"]
