@@ -420,3 +420,24 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that a pattern finds, with the first match: the probe before a verification."""
     p = "[A-Za-z0-9._-]+@[a-z0-9.-]+"
     return table(spark, sf_dir, "documents").filter(F.col("text").rlike(p)).select("doc_id", F.regexp_extract("text", p, 0).alias("first_hit"))
+
+
+@R.add(f"SELECT doc_id, md5({strip(f"nfc_normalize(regexp_replace(text, '[{BLANK}]+', ' ', 'g'))")}) AS form_md5 FROM documents")
+def scoring_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of each text in its scoring form: blanks collapsed, canonically composed, stripped. Only texts beyond ASCII are composed."""
+    t = F.col("f")
+    d = table(spark, sf_dir, "documents").select("doc_id", T.scoring_form("text").alias("f"))
+    plain, odd = d.filter(~t.rlike(r"[^\x00-\x7F]") | t.isNull()), d.filter(t.rlike(r"[^\x00-\x7F]"))
+    return plain.unionByName(odd.withColumn("f", T.nfc("f"))).select("doc_id", F.md5(F.col("f").cast("binary")).alias("form_md5"))
+
+
+@R.add(
+    f"""WITH i AS (SELECT item_id, {words('lower(text)')} AS w FROM benchmark), g AS (SELECT item_id, unnest(list_distinct(w)) AS t FROM i), d AS (SELECT DISTINCT unnest({words('lower(text)')}) AS t FROM documents)
+  SELECT item_id, round(count(d.t) / CAST(count(*) AS DOUBLE), 6) AS known FROM g LEFT JOIN d USING (t) GROUP BY item_id ORDER BY known DESC, item_id LIMIT 20"""
+)
+def most_contained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty benchmark items with most of their distinct words in the corpus."""
+    g = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.array_distinct(T.words(F.lower("text")))).alias("t"))
+    known = table(spark, sf_dir, "documents").select(F.explode(T.words(F.lower("text"))).alias("t")).join(g.select("t").distinct(), "t", "left_semi").distinct().withColumn("hit", F.lit(1))
+    s = g.join(known, "t", "left").groupBy("item_id").agg(F.round(F.count("hit") / F.count("*"), 6).alias("known"))
+    return s.orderBy(F.desc("known"), "item_id").limit(20)

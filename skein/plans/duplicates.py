@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text as T
 from skein.operators import neardup as N
 from skein.operators.ordering import ordinals, running
-from skein.plans.base import Registry, table, words
+from skein.plans.base import Registry, count_of, table, words
 from skein.plans.sequences import IDS, stream
 from skein.session import Scratch
 
@@ -297,7 +297,7 @@ def carry_over_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- exclusions
 
-_ARMS = {"marker": "contains(lower(text), 'password') OR contains(lower(text), 'secret')", "rights": "regexp_matches(lower(text), 'all rights reserved')", "short": "length(text) < 100"}
+_ARMS = {"marker": "contains(lower(text), 'password') OR contains(lower(text), 'secret')", "rights": "regexp_matches(lower(text), 'all rights reserved')", "short": "length(text) < 100", "address": "contains(text, '@')", "figures": f"{count_of('text', '[0-9]')} > 0.05 * length(text)", "unnamed": "lang IS NULL OR source IS NULL"}
 _EXCL = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS arm FROM documents WHERE {c}" for k, c in _ARMS.items()) + f" UNION ALL SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1 UNION ALL SELECT doc_id, 'duplicate' FROM (SELECT doc_id, row_number() OVER (PARTITION BY {_KEY} ORDER BY strlen(text) DESC, doc_id) AS r, {_KEY} AS key FROM documents) WHERE r > 1 AND key IS NOT NULL"
 
 
@@ -305,7 +305,7 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, arm): each piece of evidence against a document."""
     d = table(spark, sf_dir, "documents")
     low = F.lower("text")
-    tests = {"marker": low.contains("password") | low.contains("secret"), "rights": low.contains("all rights reserved"), "short": F.length("text") < 100}
+    tests = {"marker": low.contains("password") | low.contains("secret"), "rights": low.contains("all rights reserved"), "short": F.length("text") < 100, "address": F.col("text").contains("@"), "figures": T.count_of("text", "[0-9]") > 0.05 * F.length("text"), "unnamed": F.col("lang").isNull() | F.col("source").isNull()}
     own = d.select("doc_id", F.explode(F.array_compact(F.array(*(F.when(c, k) for k, c in tests.items())))).alias("arm"))
     toxic = table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id", F.lit("toxic").alias("arm"))
     keyed = d.select("doc_id", N.exact_key("text").alias("key"), F.octet_length("text").alias("b")).filter("key IS NOT NULL")

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein import config
 from skein.config import WESTERN
 from skein.functions import text as T
 from skein.operators import measures as M
+from skein.operators.grams import gram_counts, word_hash
 from skein.operators.ordering import following
 from skein.plans.base import BLANK, Registry, count_of, table, words
 
@@ -277,7 +280,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"WITH c AS (SELECT t, count(*) AS n FROM ({_TOK}) GROUP BY t) SELECT sum(n)::BIGINT AS tokens, count(*) AS types, round(-sum(n / CAST((SELECT sum(n) FROM c) AS DOUBLE) * ln(n / CAST((SELECT sum(n) FROM c) AS DOUBLE))), 6) AS nats FROM c")
 def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Unigram entropy: ln N - sum(n ln n) / N, from one partial aggregate over types."""
-    c = _stream(spark, sf_dir).select(F.explode("w").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
+    c = gram_counts(table(spark, sf_dir, "documents"), 1).groupBy("a").agg(F.sum("n").alias("n"))
     g = c.agg(F.sum("n").alias("tokens"), F.count("*").alias("types"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     return g.select("tokens", "types", F.round(F.ln("tokens") - F.col("s") / F.col("tokens"), 6).alias("nats"))
 
@@ -289,14 +292,14 @@ def token_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bigram_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conditional entropy of adjacent words, over the stream of all documents.
 
-    Pairs inside a document are zipped there; those across documents come from one row (first
+    Pairs inside a document are counted there; those across documents come from one row (first
     and last word) for each document, ordered in ranges, not from a global order of words.
     """
-    d = _stream(spark, sf_dir).filter(F.size("w") > 0)
-    inner = d.select(F.explode(F.expr("zip_with(slice(w, 1, size(w) - 1), slice(w, 2, size(w)), (a, b) -> struct(a, b))")).alias("p")).select("p.a", "p.b")
-    ends = d.select("doc_id", F.col("w")[0].alias("first"), F.element_at("w", -1).alias("a"))
-    across = following(spark, ends, ["doc_id"], "first", "b").select("a", "b").filter("b IS NOT NULL")
-    c = inner.union(across).groupBy("a", "b").agg(F.count("*").alias("n"))
+    docs = table(spark, sf_dir, "documents")
+    d = docs.select("doc_id", T.words(F.lower("text")).alias("w")).filter(F.size("w") > 0)
+    ends = d.select("doc_id", word_hash(F.col("w")[0]).alias("first"), word_hash(F.element_at("w", -1)).alias("a"))
+    across = following(spark, ends, ["doc_id"], "first", "b").filter("b IS NOT NULL").select("a", "b", F.lit(1).cast("long").alias("n"))
+    c = gram_counts(docs, 2).unionByName(across).groupBy("a", "b").agg(F.sum("n").alias("n"))
     f = c.groupBy("a").agg(F.sum("n").alias("m"), F.count("*").alias("k"), F.sum(F.col("n") * F.ln("n")).alias("s"))
     g = f.agg(F.sum("m").alias("pairs"), F.sum("k").alias("types"), F.sum(F.col("m") * F.ln("m") - F.col("s")).alias("h"))
     return g.select(F.col("pairs").cast("long").alias("pairs"), F.col("types").cast("long").alias("types"), F.round(F.col("h") / F.col("pairs"), 6).alias("nats"))
@@ -319,7 +322,12 @@ def held_out_cross_entropy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(f"SELECT coalesce(source, 'all') AS source, sum(strlen(text))::BIGINT AS bytes, sum(len({words('text')}))::BIGINT AS tokens, round(sum(strlen(text)) / CAST(sum(len({words('text')})) AS DOUBLE), 6) AS bytes_a_token FROM documents GROUP BY ROLLUP (source)")
 def fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes, tokens and bytes a token, by source and pooled (words as the encoder)."""
-    d = table(spark, sf_dir, "documents").select("source", F.octet_length("text").alias("b"), F.size(T.words("text")).alias("t"))
+    return fertility_of(table(spark, sf_dir, "documents"), T.words)
+
+
+def fertility_of(docs: DataFrame, encode: Callable[[str], Column]) -> DataFrame:
+    """The same for any encoder: a function from a text column's name to a column of tokens."""
+    d = docs.select("source", F.octet_length("text").alias("b"), F.size(encode("text")).alias("t"))
     g = d.rollup("source").agg(F.sum("b").cast("long").alias("bytes"), F.sum("t").cast("long").alias("tokens"))
     return g.select(F.coalesce("source", F.lit("all")).alias("source"), "bytes", "tokens", F.round(F.col("bytes") / F.col("tokens"), 6).alias("bytes_a_token"))
 
@@ -336,14 +344,15 @@ def embedding_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def compressor_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bits a byte that a strong compressor needs, by source: each document compressed in an Arrow
-    batch, sizes summed, so that no source has to be on one machine.
+    """Bits a byte that a strong compressor needs, by source and pooled, and nats a word: each document compressed
+    in an Arrow batch, sizes summed, so that no source has to be on one machine.
     """
     @F.pandas_udf("long")
     def packed(texts: pd.Series) -> pd.Series:
         import lzma
 
-        return texts.map(lambda t: len(lzma.compress((t or "").encode(), format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 6, "dict_size": 1 << 20}])))
+        return texts.map(lambda t: len(lzma.compress((t or "").encode(), format=lzma.FORMAT_RAW, filters=[{"id": lzma.FILTER_LZMA2, "preset": 9, "dict_size": 1 << 20}])))
 
-    d = table(spark, sf_dir, "documents").select("source", F.octet_length("text").alias("b"), packed("text").alias("z"))
-    return d.groupBy("source").agg(F.sum("b").alias("bytes"), F.sum("z").alias("packed"), F.round(8 * F.sum("z") / F.sum("b"), 6).alias("bits_a_byte"))
+    d = table(spark, sf_dir, "documents").select("source", F.octet_length("text").alias("b"), F.size(T.words("text")).alias("w"), packed("text").alias("z"))
+    g = d.rollup("source").agg(F.sum("b").alias("bytes"), F.sum("z").alias("packed"), F.round(8 * F.sum("z") / F.sum("b"), 6).alias("bits_a_byte"), F.round(8 * F.log(F.lit(2.0)) * F.sum("z") / F.sum("w"), 6).alias("nats_a_word"))
+    return g.withColumn("source", F.coalesce("source", F.lit("all")))

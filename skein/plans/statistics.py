@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.functions import stats as S
+from skein.operators.ordering import ordinals
 from skein.plans.base import Registry, table
 
 R = Registry()
@@ -64,14 +65,13 @@ _DRAW = "(('0x' || substr(md5('boot:' || draw || ':' || slot), 1, 8))::BIGINT %
 def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Percentile interval of a rate with sources redrawn as clusters; draws are hashes of (draw, slot)."""
     u = _rated(spark, sf_dir).groupBy("source").agg(F.sum("quality").alias("bad"), F.count("*").alias("n"))
-    units = [(r["bad"], r["n"]) for r in u.orderBy("source").collect()]  # one row for each cluster, as many as there are sources
-    k = len(units)
-    table_of = spark.createDataFrame([(i, int(b), int(n)) for i, (b, n) in enumerate(units)], "i long, bad long, n long")
-    draws = spark.range(200).withColumnRenamed("id", "draw").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
-    at = F.conv(F.substring(F.md5(F.concat(F.lit("boot:"), F.col("draw").cast("string"), F.lit(":"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % k
-    x = draws.withColumn("i", at).join(F.broadcast(table_of), "i").groupBy("draw").agg((F.sum("bad") / F.sum("n")).alias("rate"))
-    point = sum(b for b, _ in units) / sum(n for _, n in units)
-    return x.agg(F.round(F.lit(point), 9).alias("point"), F.round(F.percentile("rate", 0.025), 9).alias("low"), F.round(F.percentile("rate", 0.975), 9).alias("high"))
+    o = ordinals(spark, u, ["source"], "i")  # clusters stay a table, however many there are
+    k = o.agg(F.count("*").alias("k"), F.sum("bad").alias("all_bad"), F.sum("n").alias("all_n"))
+    draws = spark.range(200).withColumnRenamed("id", "draw").crossJoin(F.broadcast(k)).withColumn("slot", F.explode(F.expr("sequence(0L, k - 1)")))
+    at = F.conv(F.substring(F.md5(F.concat(F.lit("boot:"), F.col("draw").cast("string"), F.lit(":"), F.col("slot").cast("string")).cast("binary")), 1, 8), 16, 10).cast("long") % F.col("k")
+    x = draws.select("draw", at.alias("i")).join(o, "i").groupBy("draw").agg((F.sum("bad") / F.sum("n")).alias("rate"))
+    interval = x.agg(F.round(F.percentile("rate", 0.025), 9).alias("low"), F.round(F.percentile("rate", 0.975), 9).alias("high"))
+    return k.select(F.round(F.col("all_bad") / F.col("all_n"), 9).alias("point")).crossJoin(interval)
 
 
 @R.add(
