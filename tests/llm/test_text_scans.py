@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow.parquet as pq
@@ -210,6 +211,19 @@ def test_disclosing_terms(spark):
     assert privacy.find(spark, frame(spark, [])).count() == 0
 
 
+def test_generalised_terms_say_what_they_are():
+    text = "Xu paid 77 coins, quill by quill"
+    spans = [{"start": a, "stop": b, "kind": 4, "action": act} for a, b, act in ((0, 2, "generalise"), (8, 10, "generalise"), (18, 23, "generalise"), (27, 32, "remove"))]
+    assert privacy._rewritten(text, spans) == "[name] paid [number] coins, [word] by "
+    assert privacy._rewritten(None, spans) is None and privacy._rewritten(text, []) == text
+
+
+def test_context_is_linear_in_spans():
+    text = "a@b.cd word " * 100_000
+    began = time.perf_counter()
+    assert len(privacy.context(text, privacy.find_base(text, 10))) == 100_000 and time.perf_counter() - began < 20
+
+
 def test_disclosure_in_whole_documents_and_of_rare_entities(spark):
     filler = "every town has a number and writes from here " * 5
     texts = [f"Xu lives in 7ring. {filler} mail jo@x.org {filler} says Xu", f"{filler} +1 (555) 123-4567 {filler} Quill", f"Quill {filler} call +15551234567"]
@@ -222,3 +236,17 @@ def test_disclosure_in_whole_documents_and_of_rare_entities(spark):
     assert not any(rows[i].spans for i in range(3, 83))
     clean = {r.doc_id: r.text for r in privacy.sanitise(frame(spark, texts), found).collect()}
     assert "Xu" not in clean[0] and "Quill" not in clean[1] + clean[2]
+
+
+def test_repeated_and_null_keys_keep_their_own_spans(spark):
+    texts = [(7, "Zed writes to jo@x.org"), (7, "call +1 (555) 123-4567 and ask for Quill"), (None, "Uma has 10.1.2.3 here"), (None, None), (7, "Zed writes to jo@x.org")] + [(100 + i, f"every town has number {i}") for i in range(40)]
+    df = spark.createDataFrame([("x", t, i, None) for i, t in texts], "spans string, text string, doc_id long, term int").repartition(3)
+    found = privacy.find(spark, df)
+    rows = privacy.digest(found).collect()
+    assert len(rows) == len(texts)
+    want = sorted((str(i), len(plain(t)), hashlib.sha256(",".join(f"{k}:{s}:{e}" for s, _, e, k in plain(t)).encode()).hexdigest()) for i, t in texts)
+    assert sorted((str(r.doc_id), r.n_email + r.n_ip + r.n_card + r.n_phone, r.base_sha256) for r in rows) == want
+    clean = sorted(str(r.text) for r in privacy.sanitise(df, found).collect() if r.doc_id is None or r.doc_id == 7)
+    assert len(clean) == 5 and "None" in clean and not any("Quill" in t or "Uma" in t or "@" in t for t in clean)
+    scanned = notices.digest(notices.scan(df)).collect()
+    assert len(scanned) == len(texts) and notices.scan(df.limit(0)).count() == 0
