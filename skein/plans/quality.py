@@ -51,9 +51,10 @@ _FURNITURE = f"(regexp_matches(s, '{config.PAGE_NUMBER}') OR (length(s) <= 14 AN
 )
 def line_judgement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by source that are furniture, garbage, mastheads or rights notices."""
-    d = table(spark, sf_dir, "documents").select("source", F.explode(T.lines("text")).alias("l"))
-    kinds = {"furniture": T.is_page_furniture(F.col("l")), "garbage": T.is_garbage(F.col("l"), P), "masthead": T.is_masthead(F.col("l")), "rights": T.is_digitisation(F.col("l"), config.RIGHTS)}
-    return d.groupBy("source").agg(F.count("*").alias("n_lines"), *(F.count_if(c).alias(k) for k, c in kinds.items()))
+    d = table(spark, sf_dir, "documents").select("source", F.explode(T.lines("text")).alias("l")).groupBy("source", "l").agg(F.count("*").alias("n"))
+    d = d.withColumn("s", T.strip(F.col("l"))).withColumn("w", T.words("s"))  # each distinct line is stripped, split and judged once
+    kinds = {"furniture": T.is_page_furniture(F.col("s")), "garbage": T.is_garbage(F.col("s"), P, F.col("w")), "masthead": T.is_masthead(F.col("l")), "rights": T.is_digitisation(F.col("l"), config.RIGHTS)}
+    return d.groupBy("source").agg(F.sum("n").alias("n_lines"), *(F.sum(F.when(c, F.col("n")).otherwise(0)).alias(k) for k, c in kinds.items()))
 
 
 @R.add(
@@ -186,8 +187,12 @@ def document_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(f"SELECT source, count(*) AS words, {_ANY}, {_FLAGS} FROM ({_TOKENS}) GROUP BY source")
 def ocr_reasons_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suspicious words by source and reason; a word may have several."""
-    return _tokens(spark, sf_dir, "source").groupBy("source").agg(*_counts())
+    """Suspicious words by source and reason; a word may have several. Each distinct word of a source is judged once."""
+    d = table(spark, sf_dir, "documents").select("source", F.explode(T.words("text")).alias("w")).groupBy("source", "w").agg(F.count("*").alias("n"))
+    d = d.withColumn("t", T.strip_edges(F.col("w"))).filter("t <> ''")
+    d = d.select("source", "n", *(c.alias(k) for k, c in T.token_reasons(F.col("t"), P).items()))
+    total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
+    return d.groupBy("source").agg(F.sum("n").alias("words"), total(F.expr(" OR ".join(_REASONS))).alias("suspicious"), *(total(F.col(k)).alias(k) for k in _REASONS))
 
 
 @R.add(f"SELECT *, round(100.0 * suspicious / words, 4) AS pct FROM ({_PER_DOC})")
