@@ -6,7 +6,7 @@ start. ``BANDS`` bands of ``ROWS`` minima bring together lines that may be simil
 threshold 0.75 two lines share a band with probability 0.99, at 0.85 with 0.9998. Buckets
 with the same members are taken once. A task verifies on the sets of a bucket's lines as
 many pairs as it takes to know the components among them, and gives a tree of verified links
-for each. Buckets of more than ``PART`` lines are cut into parts, and any two parts meet in
+for each. Buckets of more than ``PART`` bytes are cut into parts, and any two parts meet in
 a task, so that memory is bounded and no pair is left out. Links of all buckets meet in the
 distributed union-find. One line of each component stays: the first by document id, then line.
 
@@ -34,7 +34,8 @@ from skein.session import Scratch, ship_package
 
 WIDTH, BANDS, ROWS = 8, 12, 4
 PERCENT = 75
-PART = 10_000
+PART = 4_000_000
+FLUSH = 1_000_000
 SMALL = 64
 FILTER_BITS = 26
 FOLD = LOWER.copy()
@@ -75,19 +76,29 @@ def characters(raw: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return value, np.searchsorted(lead, begin)
 
 
-def line_shingles(lines: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
-    """Shingle hashes of each folded line (none if it is shorter than ``width``), and where each line's begin."""
+def line_shingles(lines: list[bytes], width: int = WIDTH, run: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle hashes of each folded line (none if it is shorter than ``width``), and where each line's begin.
+
+    Lines are taken in runs of about ``run`` bytes, so that only the hashes are held for all.
+    """
     begin = np.concatenate([[0], np.cumsum([len(x) for x in lines], dtype=np.int64)])
-    h, first = characters(np.frombuffer(b"".join(lines), np.uint8), begin)
-    step, size = 0x9E3779B97F4A7C15, 1
-    while size < width:
-        h[: max(0, len(h) - size)] += h[size:] * np.uint64(step)
-        step, size = step * step % (1 << 64), 2 * size
-    keep = np.ones(len(h), bool)
-    for k in range(1, width):  # the last places of a line begin no shingle
-        ends = first[1:] - k
-        keep[ends[ends >= first[:-1]]] = False
-    return mix(h[keep]), np.concatenate([[0], np.cumsum(np.maximum(np.diff(first) - (width - 1), 0))])
+    out, counts = [], []
+    i = 0
+    while i < len(lines):
+        j = max(i + 1, int(np.searchsorted(begin, begin[i] + run, side="right")) - 1)
+        h, first = characters(np.frombuffer(b"".join(lines[i:j]), np.uint8), begin[i : j + 1] - begin[i])
+        step, size = 0x9E3779B97F4A7C15, 1
+        while size < width:
+            h[: max(0, len(h) - size)] += h[size:] * np.uint64(step)
+            step, size = step * step % (1 << 64), 2 * size
+        keep = np.ones(len(h), bool)
+        for k in range(1, width):  # the last places of a line begin no shingle
+            ends = first[1:] - k
+            keep[ends[ends >= first[:-1]]] = False
+        out.append(mix(h[keep]))
+        counts.append(np.maximum(np.diff(first) - (width - 1), 0))
+        i = j
+    return np.concatenate([np.zeros(0, np.uint64), *out]), np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *counts]))])
 
 
 def band_keys(hashes: np.ndarray, first: np.ndarray, block: int = 1 << 15) -> np.ndarray:
@@ -143,7 +154,7 @@ class Lines:
         where, distinct = where[ok], distinct[ok].tolist()
         out = where[np.fromiter((h not in seen for h in distinct), bool, len(distinct))]
         seen.update(distinct)
-        if len(seen) > 500_000:
+        if len(seen) > 250_000:
             seen.clear()
         return out
 
@@ -197,7 +208,7 @@ def wanted_bits(nodes: DataFrame) -> np.ndarray:
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the lines asked for, folded: most others stop at the bitmap, the rest at the join."""
+    """(node, text, size) of the lines asked for, folded: most others stop at the bitmap, the rest at the join."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +222,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 lines = pa.array([x.lines[i] for i in new], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashes[new].view(np.int64)), lines], ["node", "text"])
 
-    return docs.mapInArrow(lean(run), "node long, text binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    return docs.mapInArrow(lean(run), "node long, text binary").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")).withColumn("size", F.octet_length("text").cast("long"))
 
 
 def bucket_links(values: np.ndarray, owner: np.ndarray, n: int) -> list[tuple[int, int]]:
@@ -291,8 +302,8 @@ def listed_counts(values: np.ndarray, owner: np.ndarray, begin: np.ndarray, n: i
 
 
 def verified_links(members: DataFrame, texts: DataFrame, part: int | None = None) -> DataFrame:
-    """(a, b): links of all buckets, from (token, node) and (node, text). A task holds one bucket, or two
-    parts of a bucket of more than ``part`` lines.
+    """(a, b): links of all buckets, from (token, node, size) and (node, text). A task holds one bucket, or two
+    parts of a bucket of more than ``part`` bytes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,20 +323,24 @@ def verified_links(members: DataFrame, texts: DataFrame, part: int | None = None
                 found += [(node[i + x], node[i + y]) for x, y in bucket_links(values[own], owner[own] - i, j - i)]
             return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
+        size = 0
         for batch in batches:
-            token += batch.column(0).to_pylist()
-            node += batch.column(1).to_pylist()
-            text += batch.column(2).to_pylist()
-            while token and token[0] != token[-1] and len(token) >= 2000:
-                last = len(token) - 1
-                while token[last - 1] == token[-1]:
-                    last -= 1
-                yield out(last)
-                del token[:last], node[:last], text[:last]
+            for part in slices(batch, "text", FLUSH):
+                token += part.column(0).to_pylist()
+                node += part.column(1).to_pylist()
+                text += part.column(2).to_pylist()
+                size += part.column(2).nbytes
+                if size >= FLUSH and token[0] != token[-1]:
+                    last = len(token) - 1
+                    while token[last - 1] == token[-1]:
+                        last -= 1
+                    yield out(last)
+                    del token[:last], node[:last], text[:last]
+                    size = sum(map(len, text))
         if token:
             yield out(len(token))
 
-    spread = in_parts(members, part or PART).select(F.xxhash64("token", "part").alias("token"), "node").join(texts, "node").select("token", "node", "text")
+    spread = in_parts(members, part or PART, weight="size").select(F.xxhash64("token", "part").alias("token"), "node").join(texts.select("node", "text"), "node").select("token", "node", "text")
     return spread.repartition("token").sortWithinPartitions("token").mapInArrow(lean(run), "a long, b long").distinct()
 
 
@@ -336,8 +351,9 @@ def line_components(spark: SparkSession, docs: DataFrame, scratch: Scratch) -> D
     members = scratch.table(kept.selectExpr("token", "cls AS node").distinct(), "members")
     scratch.drop(found)
     texts = scratch.table(texts_of(docs, members.select("node").distinct()), "texts")
-    links = scratch.table(verified_links(members, texts), "links")
-    scratch.drop(members, texts)
+    sized = scratch.table(members.join(texts.select("node", "size"), "node"), "sized")
+    links = scratch.table(verified_links(sized, texts), "links")
+    scratch.drop(members, texts, sized)
     joined = components(spark, links, scratch)
     scratch.drop(links)
     return joined

@@ -142,7 +142,7 @@ def test_repeated_and_null_keys_are_rows_of_their_own(spark):
 
 
 def test_large_buckets_in_parts(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "PART", 12)
+    monkeypatch.setattr(line_dedup, "PART", 1500)
     rng = random.Random(12)
     base = "".join(rng.choices("abcdefghijklmnopqrstuvw ", k=120))
     texts = [(i, edit(rng, base, rng.choice([0, 1, 1, 2, 3]))) for i in range(150)]
