@@ -84,3 +84,14 @@ RUNNING_HEAD = r"^(Rok|Nr|No|Str|Tom|Cz[eę][sś][cć])([^\p{L}\p{N}_].*)?[0-9]"
 PAGE_NUMBER = r"^[^\p{L}\p{N}]*[0-9]{1,4}[^\p{L}\p{N}]*$"
 #: licence and rights lines of the western corpus
 RIGHTS = r"licen[sc]e|copyright|rights reserved|spdx"
+
+# How catalogue fields are written (places, a title's issue, years of life), and the
+# domains that end a library's name in an identifier.
+PLACES_APART = r"\s*;\s*"
+PLACE_NOTE = r"\(.*?\)"
+PLACE_DOUBT = r"[\[\]?]"
+COUNTRY_CODE = "^[a-z]{2}$"
+UNKNOWN_PLACE = "miejsce nieznane"
+ISSUE = r"(?s)(?:\.\s|\s:\s|\s\d{4}|, nr|\[).*"
+LIFE = r"(?<!\d)(1[5-9]\d\d)\s*[-–—]\s*(1[6-9]\d\d|20[0-2]\d)(?!\d)"
+DOMAINS = ("pl", "gov", "org", "com", "net", "edu", "info", "de", "cz", "uk", "ru")

@@ -398,7 +398,7 @@ def uploader(identifier: Column) -> Column:
     """The library's domain at the head of a dotted identifier, without its accession labels;
     google-books by its ending, else other.
     """
-    tlds = F.array(*map(F.lit, ("pl", "gov", "org", "com", "net", "edu", "info", "de", "cz", "uk", "ru")))
+    tlds = F.array(*map(F.lit, config.DOMAINS))
     labels = F.split(identifier, r"\.", -1)
     known = F.transform(labels, lambda x: F.array_contains(tlds, F.lower(x)))
     first = F.array_position(known, True)

@@ -80,10 +80,13 @@ def star_revenue(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT d.doc_id, d.source, d.lang, s.split, strlen(d.text) AS bytes, l.quality, l.toxic, CASE WHEN length(d.text) > x.mean THEN 1 ELSE 0 END AS longer FROM documents d JOIN s USING (doc_id) JOIN x ON x.lang = d.lang LEFT JOIN labels l ON l.doc_id = d.doc_id"""
 )
 def document_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ledger with its split, labels and language dimension: one wide row for each document."""
+    """The ledger with its split, labels and language dimension: one wide row for each document. A language that
+    the dimension lacks is an error, not a row less; documents without a language are left out.
+    """
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.octet_length("text").cast("long").alias("bytes"), F.length("text").alias("n"))
     x = d.groupBy("lang").agg(F.avg("n").alias("mean"))
-    j = d.withColumn("split", F.when(F.substring(_md5("1337:"), 1, 2) < "10", "val").otherwise("train")).join(x, "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    j = d.withColumn("split", F.when(F.substring(_md5("1337:"), 1, 2) < "10", "val").otherwise("train")).filter("lang IS NOT NULL").join(x, "lang", "left").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    j = j.withColumn("mean", F.coalesce("mean", F.raise_error(F.concat(F.lit("unknown language: "), F.col("lang"))).cast("double")))
     return j.select("doc_id", "source", "lang", "split", "bytes", "quality", "toxic", F.when(F.col("n") > F.col("mean"), 1).otherwise(0).alias("longer"))
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from skein import config
 from skein.config import WESTERN, WESTERN_GATE, Gate, Profile
 from skein.functions import text as T
 from skein.operators import measures as M
@@ -116,9 +117,9 @@ def prose_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add(
     f"""WITH d AS (SELECT doc_id, text, length(text) * 15 // 100 + ('0x' || substr(md5('p:' || doc_id), 1, 8))::BIGINT % (length(text) * 7 // 10) AS spot FROM documents WHERE length(text) >= 2000),
-  s AS (SELECT doc_id, regexp_extract(substr(text, spot + 1), '[.!?]\\s+(\\p{{Lu}}(?s:.*))$', 1) AS tail FROM d), p AS (SELECT doc_id, {words('substr(tail, 1, 600)')} AS w FROM s), q AS (SELECT doc_id, w[1:12] AS toks, array_to_string(w[1:12], ' ') AS prompt FROM p WHERE len(w) >= 14),
+  s AS (SELECT doc_id, regexp_extract(substr(text, spot + 1), '[.!?]\\s+(\\p{{Lu}}(?s:.*))$', 1) AS tail FROM d), p AS (SELECT doc_id, {words('substr(tail, 1, 600)')} AS w FROM s), q AS (SELECT doc_id, len(w) AS size, w[1:12] AS toks, array_to_string(w[1:12], ' ') AS prompt FROM p),
   t AS (SELECT *, len(list_filter(list_transform(toks, lambda w: regexp_replace(w, '^[{_EDGE}]+|[{_EDGE}]+$', '', 'g')), lambda t: {' OR '.join('(' + c.replace('NOT al', "NOT regexp_matches(t, '^\\p{L}+$')").replace('al AND', "regexp_matches(t, '^\\p{L}+$') AND", 1 if c.startswith('al') else 0).replace('mc AND', '(lower(t) <> t AND upper(t) <> t) AND') + ')' for c in _REASONS.values())})) AS bad FROM q)
-  SELECT doc_id, prompt, CASE WHEN {count_of('prompt', r'\p{L}')} < 0.6 * length(prompt) THEN 'not_prose' WHEN {count_of('prompt', r'\p{Nd}')} > 0.12 * length(prompt) THEN 'digit_heavy' WHEN len(list_filter(toks, lambda t: length(t) > 2 AND upper(t) = t AND lower(t) <> t)) > 0.4 * len(toks) THEN 'masthead_caps' WHEN bad > 0.25 * len(toks) THEN 'ocr_noise' ELSE 'ok' END AS verdict FROM t"""
+  SELECT doc_id, prompt, CASE WHEN size < 14 THEN 'too_short' WHEN {count_of('prompt', r'\p{L}')} < 0.6 * length(prompt) THEN 'not_prose' WHEN {count_of('prompt', r'\p{Nd}')} > 0.12 * length(prompt) THEN 'digit_heavy' WHEN len(list_filter(toks, lambda t: length(t) > 2 AND upper(t) = t AND lower(t) <> t)) > 0.4 * len(toks) THEN 'masthead_caps' WHEN bad > 0.25 * len(toks) THEN 'ocr_noise' ELSE 'ok' END AS verdict FROM t"""
 )
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence's first twelve words from a hash-given place in the middle of each long text, and its verdict."""
@@ -126,7 +127,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     d = table(spark, sf_dir, "documents").filter(n >= 2000).withColumn("at", F.floor(n * 15 / 100) + spot % F.floor(n * 7 / 10))
     tail = F.regexp_extract(F.substring(F.col("text"), (F.col("at") + 1).cast("int"), n), r"[.!?]\s+(\p{Lu}(?s:.*))$", 1)
-    p = d.select("doc_id", T.words(F.substring(tail, 1, 600)).alias("w")).filter("size(w) >= 14").select("doc_id", F.slice("w", 1, 12).alias("toks"))
+    p = d.select("doc_id", T.words(F.substring(tail, 1, 600)).alias("w")).select("doc_id", F.size("w").alias("found"), F.slice("w", 1, 12).alias("toks"))
     p = p.withColumn("prompt", F.array_join("toks", " "))
     size = F.length("prompt")
     caps = F.size(F.filter("toks", lambda t: (F.length(t) > 2) & (F.upper(t) == t) & (F.lower(t) != t)))
@@ -135,7 +136,7 @@ def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
         r = T.token_reasons(T.strip_edges(t), P)
         return r["symbol"] | r["digit_mix"] | r["midcaps"] | r["no_vowel"]
 
-    verdict = F.when(T.count_of("prompt", r"\p{L}") < 0.6 * size, "not_prose").when(T.count_of("prompt", r"\p{Nd}") > 0.12 * size, "digit_heavy").when(caps > 0.4 * F.size("toks"), "masthead_caps")
+    verdict = F.when(F.col("found") < 14, "too_short").when(T.count_of("prompt", r"\p{L}") < 0.6 * size, "not_prose").when(T.count_of("prompt", r"\p{Nd}") > 0.12 * size, "digit_heavy").when(caps > 0.4 * F.size("toks"), "masthead_caps")
     verdict = verdict.when(F.size(F.filter("toks", odd)) > 0.25 * F.size("toks"), "ocr_noise").otherwise("ok")
     return p.select("doc_id", "prompt", verdict.alias("verdict"))
 
@@ -233,20 +234,20 @@ def json_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def place_of(coverage):
     """The first place of a list, without brackets and country codes; null if it is unknown."""
-    parts = F.transform(F.split(coverage, r"\s*;\s*", -1), lambda p: F.btrim(F.regexp_replace(F.regexp_replace(p, r"\(.*?\)", ""), r"[\[\]?]", ""), F.lit(" .,")))
-    first = F.get(F.filter(parts, lambda p: (p != "") & ~p.rlike("^[a-z]{2}$")), 0)
-    return F.when(first != "miejsce nieznane", first)
+    parts = F.transform(F.split(coverage, config.PLACES_APART, -1), lambda p: F.btrim(F.regexp_replace(F.regexp_replace(p, config.PLACE_NOTE, ""), config.PLACE_DOUBT, ""), F.lit(" .,")))
+    first = F.get(F.filter(parts, lambda p: (p != "") & ~p.rlike(config.COUNTRY_CODE)), 0)
+    return F.when(first != config.UNKNOWN_PLACE, first)
 
 
 def title_of(title):
     """A periodical's title without its issue."""
     s = T.strip(F.ltrim(T.strip(title), F.lit("[")))
-    return F.btrim(F.regexp_replace(s, r"(?s)(?:\.\s|\s:\s|\s\d{4}|, nr|\[).*", ""), F.lit(" ]."))
+    return F.btrim(F.regexp_replace(s, config.ISSUE, ""), F.lit(" ]."))
 
 
 def life_years(text):
     """(birth, death) from a range of years."""
-    found = lambda k: F.nullif(F.regexp_extract(text, r"(?<!\d)(1[5-9]\d\d)\s*[-–—]\s*(1[6-9]\d\d|20[0-2]\d)(?!\d)", k), F.lit("")).cast("int")
+    found = lambda k: F.nullif(F.regexp_extract(text, config.LIFE, k), F.lit("")).cast("int")
     return found(1), found(2)
 
 
