@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from skein.llm.arrays import LOWER, NOT_BLANK, bounds, buffers, distinct_by_owner, lean, mix, slices
 from skein.llm.components import components, lookup
 from skein.llm.ngram_join import blocks
-from skein.llm.rows import keys, named, once, same
+from skein.llm.rows import are_wanted, keys, named, once, same, wanted_bits
 from skein.operators.ordering import running
 from skein.operators.parts import in_parts
 from skein.session import Scratch, ship_package
@@ -37,7 +37,6 @@ PERCENT = 75
 PART = 4_000_000
 FLUSH = 1_000_000
 SMALL = 64
-FILTER_BITS = 26
 FOLD = LOWER.copy()
 FOLD[9:14] = 32
 _TABLE = FOLD.tobytes()
@@ -198,15 +197,6 @@ def line_buckets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(lean(run), "token long, cls long")
 
 
-def wanted_bits(nodes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size (8 MB) with the nodes' leading ``FILTER_BITS`` bits: what isn't in it isn't wanted."""
-    top = f"shiftrightunsigned(node, {64 - FILTER_BITS})"
-    rows = nodes.selectExpr(f"shiftrightunsigned({top}, 6) AS word", f"shiftleft(1L, cast({top} & 63 AS int)) AS bit").groupBy("word").agg(F.expr("bit_or(bit)").alias("bits")).toPandas()
-    bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
-    bits[rows["word"].to_numpy(np.int64)] = rows["bits"].to_numpy(np.int64).view(np.uint64)
-    return bits
-
-
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, text, size) of the lines asked for, folded: most others stop at the bitmap, the rest at the join."""
     sent = docs.sparkSession.sparkContext.broadcast(wanted_bits(nodes))
@@ -217,8 +207,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for part in slices(batch, "text", 1 << 20):
                 x = Lines(part.column("text"))
                 new = x.new(seen)
-                top = x.hashes[new] >> np.uint64(64 - FILTER_BITS)
-                new = new[(bits[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                new = new[are_wanted(bits, x.hashes[new])]
                 lines = pa.array([x.lines[i] for i in new], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(x.hashes[new].view(np.int64)), lines], ["node", "text"])
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, lean, mix, shingles, slices, words
 from skein.llm.components import components, lookup
-from skein.llm.rows import keys, named, once, same
+from skein.llm.rows import are_wanted, keys, named, once, same, wanted_bits
 from skein.operators.parts import in_parts
 from skein.session import Scratch, ship_package
 
@@ -402,18 +402,22 @@ def later_pairs(members: DataFrame, percent: int, width: int, part: int | None =
     return sorted_rows.select("token", "node", "n", "point", "component", "tokens", "part").mapInArrow(lean(run), "a long, b long, token long")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, repeated: bool = True) -> DataFrame:
-    """(a, b, linked): the exact decision on the words of both texts, whole, under another hash.
+def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, percent: int, scratch: Scratch, repeated: bool = True) -> DataFrame:
+    """(a, b, linked), a written table: the exact decision on the words of both texts, whole, under another hash.
 
     ``nodes`` (node, doc_id, text_hash) tell which row stands for a class; where rows of equal key
-    and text are ``repeated``, one of them is taken.
+    and text are ``repeated``, one of them is taken. Texts that aren't asked for stop at a
+    bitmap of fixed size, so that only sets that are compared are shuffled.
     """
+    asked = scratch.table(nodes.join(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "node"), "nodes-asked")
+    sent = docs.sparkSession.sparkContext.broadcast(wanted_bits(asked.selectExpr("text_hash AS node")))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.filter(pa.array(are_wanted(sent.value, batch.column(1).to_numpy().view(np.uint64))))
             for part in slices(batch, "text"):
-                values, first = document_sets(part.column(1), width, seed=1)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["node", "shingles"])
+                values, first = document_sets(part.column(2), width, seed=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:], strict=False)], pa.binary())], ["doc_id", "text_hash", "shingles"])
 
     def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -424,12 +428,14 @@ def verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, perc
                 linked.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    asked = nodes.join(pairs.selectExpr("explode(array(a, b)) AS node").distinct(), "node")
-    found = docs.select("doc_id", "text_hash", "text").join(keys(asked, "node"), F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash"))).select("node", "text")
-    found = found.dropDuplicates(["node"]) if repeated else found
-    have = found.mapInArrow(lean(sets), "node long, shingles binary")
+    known = docs.select("doc_id", "text_hash", "text").mapInArrow(lean(sets), "doc_id long, text_hash long, shingles binary")
+    have = known.join(keys(asked, "node"), F.col("doc_id").eqNullSafe(F.col("__key")) & (F.col("text_hash") == F.col("__hash"))).select("node", "shingles")
+    have = have.dropDuplicates(["node"]) if repeated else have
     joined = pairs.join(have.selectExpr("node AS a", "shingles AS x"), "a").join(have.selectExpr("node AS b", "shingles AS y"), "b")
-    return joined.select("a", "b", "x", "y").mapInArrow(lean(decide), "a long, b long, linked boolean")
+    out = scratch.table(joined.select("a", "b", "x", "y").mapInArrow(lean(decide), "a long, b long, linked boolean"), "decided")
+    sent.destroy()
+    scratch.drop(asked)
+    return out
 
 
 def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -460,7 +466,7 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     repeated = bool(sets.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count())
     members = nodes.select("*", F.explode("tokens").alias("token"))
     pairs = scratch.table(first_pairs(members, percent), "pairs")
-    checked = scratch.table(verify(pairs, rows_of, docs, width, percent, repeated), "checked")
+    checked = verify(pairs, rows_of, docs, width, percent, scratch, repeated)
     scratch.drop(pairs)
     reach, left = 8, None
     while True:
@@ -477,8 +483,9 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         fresh = asked.filter("token IS NULL").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.table(fresh, "pairs")
         if pairs.limit(1).count():
-            after = scratch.table(checked.unionByName(verify(pairs, rows_of, docs, width, percent, repeated)), "checked")
-            scratch.drop(checked)
+            more = verify(pairs, rows_of, docs, width, percent, scratch, repeated)
+            after = scratch.table(checked.unionByName(more), "checked")
+            scratch.drop(checked, more)
             checked = after
         scratch.drop(pairs)
         if not left.limit(1).count():
