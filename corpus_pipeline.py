@@ -57,7 +57,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     are judged alike; an empty benchmark or one of null texts takes nothing away.
     """
     found = positional.contamination(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    hit = found.filter("size(items) > 0").select("doc_id", "text_hash").distinct()
+    hit = Scratch(spark, "hit").table(found.filter("size(items) > 0").select("doc_id", "text_hash").distinct(), "rows")  # its size is known, so few hits need no shuffle of texts
     return docs.join(keys(hit), same("doc_id", "text"), "left_anti").select(*docs.columns)
 
 
