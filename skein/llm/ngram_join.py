@@ -505,10 +505,11 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
 
 def keep_first(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each group, by what ``link_components`` found for them; texts without words all stay."""
-    gone = found.filter("NOT stays").select("doc_id", "text_hash").distinct()
+    scratch = Scratch(docs.sparkSession, "kept")
+    gone = scratch.table(found.filter("NOT stays").select("doc_id", "text_hash").distinct(), "gone")
     kept = docs.join(keys(gone), same(key, text), "left_anti")
     again = found.filter("stays AND n_shingles > 0").groupBy("doc_id", "text_hash").count().filter("count > 1")
-    return once(kept, Scratch(docs.sparkSession, "kept").table(again.select("doc_id", "text_hash"), "again"), key, text)
+    return once(kept, scratch.table(again.select("doc_id", "text_hash"), "again"), key, text)
 
 
 def digest(found: DataFrame) -> DataFrame:
