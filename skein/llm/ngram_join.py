@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm.arrays import NOT_BLANK, bounds, buffers, distinct_by_owner, hash_spans, lean, mix, shingles, slices, words
-from skein.llm.components import components, lookup
+from skein.llm.components import components, joined_further, lookup
 from skein.llm.rows import are_wanted, keys, named, once, same, wanted_bits
 from skein.operators.parts import in_parts
 from skein.session import Scratch, ship_package
@@ -468,9 +468,9 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
     pairs = scratch.table(first_pairs(members, percent), "pairs")
     checked = verify(pairs, rows_of, docs, width, percent, scratch, repeated)
     scratch.drop(pairs)
+    joined = components(spark, checked.filter("linked").select("a", "b"), scratch)
     reach, left = 8, None
     while True:
-        joined = components(spark, checked.filter("linked").select("a", "b"), scratch)
         labelled = nodes.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
         rows = labelled.select("node", "n", "point", "component", "tokens", F.explode("tokens").alias("token"))
         if left is not None:
@@ -478,12 +478,13 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         split = rows.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("token")
         open_rows = scratch.table(rows.join(split, "token", "left_semi"), "open")
         asked = scratch.table(later_pairs(open_rows, percent, reach), "asked")
-        scratch.drop(open_rows, joined)
+        scratch.drop(open_rows)
         left = asked.filter("token IS NOT NULL").select("token").distinct()
         fresh = asked.filter("token IS NULL").selectExpr("least(a, b) AS a", "greatest(a, b) AS b").distinct().join(checked.select("a", "b"), ["a", "b"], "left_anti")
         pairs = scratch.table(fresh, "pairs")
         if pairs.limit(1).count():
             more = verify(pairs, rows_of, docs, width, percent, scratch, repeated)
+            joined = joined_further(spark, joined, more.filter("linked").select("a", "b"), scratch)
             after = scratch.table(checked.unionByName(more), "checked")
             scratch.drop(checked, more)
             checked = after
@@ -491,7 +492,6 @@ def link_components(spark: SparkSession, docs: DataFrame, key: str = "doc_id", t
         if not left.limit(1).count():
             break
         reach *= 8
-    joined = components(spark, checked.filter("linked").select("a", "b"), scratch)
     labelled = scratch.table(classes.join(joined, "node", "left").selectExpr("node", "coalesce(component, node) AS label", "row", "rows"), "labelled")
     firsts = scratch.table(labelled.groupBy("label").agg(F.min("row").alias("first"), F.count("*").alias("n")), "firsts")
     told = scratch.table(lookup(labelled, firsts, "label").selectExpr("node AS cls", "first", "rows AS n"), "told")

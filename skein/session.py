@@ -15,6 +15,9 @@ _SHIPPED: set[str] = set()
 #: what an Arrow batch holds at most, unless the session says otherwise: a worker and its JVM hold several
 BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
 
+#: whether a write takes its own shuffle files away when it ends; else they stay until the driver happens to collect its garbage
+SHUFFLES_GO = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def ship_package(spark: SparkSession) -> None:
     """Make ``skein`` importable in the Python workers, once per application, and bound Arrow batches in bytes
@@ -90,9 +93,13 @@ class Scratch:
         return f"{self.root}/{self.n:03d}-{label}"
 
     def table(self, df: DataFrame, label: str) -> DataFrame:
-        """Write ``df`` and read it back; what reads it survives lost executors."""
-        to = self.path(label)
-        df.write.parquet(to)
+        """Write ``df`` and read it back; what reads it survives lost executors, and what was shuffled for it goes at once."""
+        to, before = self.path(label), self.spark.conf.get(SHUFFLES_GO, None)
+        self.spark.conf.set(SHUFFLES_GO, "true")
+        try:
+            df.write.parquet(to)
+        finally:
+            self.spark.conf.unset(SHUFFLES_GO) if before is None else self.spark.conf.set(SHUFFLES_GO, before)
         out = self.spark.read.schema(df.schema).parquet(to)
         out._skein_path = to
         return out
