@@ -37,6 +37,18 @@ def _libc():
 KEPT: dict[str, Callable[[], None]] = {}
 
 
+def let_go(keeps: str = "") -> None:
+    """Let go of what other operators than ``keeps`` have kept in this process.
+
+    A function of the module: in a pickled closure ``KEPT`` would be a copy, without what the worker has kept.
+    """
+    others = [k for k in KEPT if k != keeps]
+    for owner in others:
+        KEPT.pop(owner)()
+    if others:
+        gc.collect()
+
+
 def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: str = "") -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` in a worker process that gives its freed memory back: workers are used again and again,
     by one operator after another, and would otherwise hold the peak of each. What other
@@ -45,8 +57,7 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], ke
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         libc = _libc()
-        for owner in [k for k in KEPT if k != keeps]:
-            KEPT.pop(owner)()
+        let_go(keeps)
         try:
             yield from run(batches)
         finally:

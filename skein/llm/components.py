@@ -85,7 +85,7 @@ def components(spark: SparkSession, edges: DataFrame, scratch: Scratch | None =
         scratch.drop(left, hook, *([known] if known is not None else []))
         left, known = after, merged
     if known is None:
-        out = scratch.table(together(left), "joined") if n else spark.createDataFrame([], "node long, component long")
+        out = scratch.table(together(left), "joined") if n else spark.range(0).selectExpr("id AS node", "id AS component")  # rows from Python would start a second worker daemon
         scratch.drop(left)
         return out
     if n:

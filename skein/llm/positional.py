@@ -46,16 +46,20 @@ def index(docs: DataFrame, key: str = "doc_id", text: str = "text", gap: int = W
     ship_package(docs.sparkSession)
 
     def segment(rows: list[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array]]) -> dict:
+        """``rows`` is used up; places are 32-bit numbers, as the postings are."""
         counts = np.concatenate([r[1] for r in rows])
         hashes = np.concatenate([r[2] for r in rows])
-        begins = np.cumsum(counts + gap) - counts
-        at = np.arange(len(hashes)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(begins, counts)
-        order = np.argsort(hashes, kind="stable")
-        terms, first = np.unique(hashes[order], return_index=True)
-        ends = np.append(first[1:], len(hashes)) if len(terms) else first
         keys = pa.concat_arrays([r[0] for r in rows]).to_pylist()
         texts = pa.concat_arrays([r[3] for r in rows]).to_pylist()
-        return {"keys": keys, "texts": texts, "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].astype("<u4").tobytes()}
+        rows.clear()
+        begins = np.cumsum(counts + gap) - counts
+        order = np.argsort(hashes, kind="stable")
+        hashes = hashes[order]
+        first = np.flatnonzero(np.concatenate([np.ones(min(len(hashes), 1), bool), hashes[1:] != hashes[:-1]]))
+        terms, ends = hashes[first], np.append(first[1:], len(hashes)) if len(first) else first
+        at = np.repeat((begins - np.cumsum(counts) + counts).astype("<u4"), counts)
+        at += np.arange(len(at), dtype="<u4")
+        return {"keys": keys, "texts": texts, "counts": counts.astype("<u4").tobytes(), "begins": begins.astype("<u4").tobytes(), "terms": terms.tobytes(), "lists": ends.astype("<u4").tobytes(), "postings": at[order].tobytes()}
 
     schema = pa.schema([("keys", pa.list_(pa.int64())), ("texts", pa.list_(pa.int64())), *((n, pa.binary()) for n in ("counts", "begins", "terms", "lists", "postings"))])
 

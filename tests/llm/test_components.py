@@ -36,6 +36,12 @@ def test_few_edges_take_few_jobs(spark):
     assert len(jobs) <= 6
 
 
+def test_no_edges_need_no_python_rdd(spark):
+    found = components(spark, spark.createDataFrame([], "a long, b long"))
+    assert found.count() == 0 and found.dtypes == [("node", "bigint"), ("component", "bigint")]
+    assert "ExistingRDD" not in found._jdf.queryExecution().toString()
+
+
 def test_rounds_before_the_last_edges(spark, monkeypatch):
     edges = some_edges()
     for few in (0, 30):

@@ -3,10 +3,11 @@ import io
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import zstandard
-from skein.llm import automaton, media, queries, seekable
+from skein.llm import arrays, automaton, media, queries, seekable
 from tokenizers import Tokenizer
 
 SF = "/root/testdata/sf0.001"
@@ -187,3 +188,18 @@ def test_area_resize_equals_direct_area_mean(shape):
 
     want = np.einsum("yh,hwc,xw->yxc", weights(shape[0], 8), image, weights(shape[1], 9))
     assert (np.abs(media.area_resize(image, 8, 9) - want) <= 0.5 + 1e-6).all()
+
+
+def test_workers_let_go_of_the_automaton(spark):
+    def alive(batches):
+        import gc
+
+        from skein.llm.automaton import WordBpe
+
+        n = sum(isinstance(x, WordBpe) for x in gc.get_objects())
+        yield from (pa.RecordBatch.from_pydict({"n": [n]}) for _ in batches)
+
+    rows = spark.range(0, 16, 1, 8)
+    automaton.encode_decode(rows.selectExpr("id AS doc_id", "'some words' AS text"), queries.tokenizer_path("word_bpe_49k.json")).collect()
+    assert sum(r.n for r in rows.mapInArrow(alive, "n long").collect()) > 0
+    assert sum(r.n for r in rows.mapInArrow(arrays.lean(alive), "n long").collect()) == 0
